@@ -182,12 +182,12 @@ def histogram(df: DataFrame, col: str, bins: int = 20, by: str | None = None) ->
     """PLT-1: equal-width histogram between the column's min and max; the
     last bin is closed. Optional per-group histograms (same edges).
 
-    The global min/max are scalar subqueries (computed once, then literals).
+    The global min/max come from one aggregation (two scalars to the driver).
     """
     x = F.col(col)
     base = df.filter(x.isNotNull())
-    lo = base.agg(F.min(x)).scalar()
-    hi = base.agg(F.max(x)).scalar()
+    mm = base.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+    lo, hi = F.lit(mm["lo"]), F.lit(mm["hi"])
     w = (hi - lo) / F.lit(float(bins))
     b = F.when(w > 0, F.least(F.floor((x - lo) / w), F.lit(bins - 1))
                ).otherwise(F.lit(0)).cast("int")

@@ -644,3 +644,50 @@ def q_status_bars(spark, sf):
     "FROM loans WHERE loan_status IS NOT NULL GROUP BY 1"))
 def q_status_shares(spark, sf):
     return E.status_shares(loans(spark, sf), "loan_status")
+
+
+# --- distributions (PLT-2, PLT-3) ----------------------------------------------------
+
+from ..operators import distribution as D  # noqa: E402
+
+_DECILES = [i / 10 for i in range(11)]
+
+
+@query("exact_quantiles", oracle(" UNION ALL ".join(
+    f"SELECT round(CAST({p!r} AS DOUBLE), 6) AS p, round(quantile_cont(loan_amnt, {p!r}), 6) AS q "
+    "FROM loans WHERE loan_amnt IS NOT NULL" for p in _DECILES)))
+def q_exact_quantiles(spark, sf):
+    # small accuracy so the bracket/verify/rank path is really exercised
+    return rnd(D.exact_quantiles(loans(spark, sf), "loan_amnt", _DECILES, accuracy=200))
+
+
+@query("box_stats", oracle(
+    "SELECT w.loan_status, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, "
+    "round(min(loan_amnt) FILTER (WHERE loan_amnt >= wlo), 6) AS whisker_lo, "
+    "round(max(loan_amnt) FILTER (WHERE loan_amnt <= whi), 6) AS whisker_hi, "
+    "count(*) FILTER (WHERE loan_amnt < wlo OR loan_amnt > whi) AS n_outliers, count(*) AS n "
+    "FROM loans JOIN w ON loans.loan_status = w.loan_status WHERE loan_amnt IS NOT NULL "
+    "GROUP BY w.loan_status, q1, median, q3",
+    ", q AS (SELECT loan_status, quantile_cont(loan_amnt, 0.25) AS q1, quantile_cont(loan_amnt, 0.5) AS median, "
+    "quantile_cont(loan_amnt, 0.75) AS q3 FROM loans WHERE loan_amnt IS NOT NULL GROUP BY 1), "
+    "w AS (SELECT *, q1 - CAST(1.5 AS DOUBLE) * (q3 - q1) AS wlo, q3 + CAST(1.5 AS DOUBLE) * (q3 - q1) AS whi FROM q)"))
+def q_box_stats(spark, sf):
+    return rnd(D.box_stats(loans(spark, sf), "loan_amnt", ["loan_status"], accuracy=500))
+
+
+_KDE = (", st AS (SELECT count(*) AS n, min(dti) AS mn, max(dti) AS mx, stddev_samp(dti) AS sd FROM loans WHERE dti IS NOT NULL), "
+        "p AS (SELECT n, mn, mx, sd * pow(CAST(n AS DOUBLE), -0.2) AS h, (mx - mn) / CAST(1024 AS DOUBLE) AS bw FROM st), "
+        "g AS (SELECT mn - 3 * h AS g0, ((mx + 3 * h) - (mn - 3 * h)) / CAST(99 AS DOUBLE) AS step FROM p), "
+        "hist AS (SELECT CAST(CASE WHEN bw > 0 THEN least(floor((dti - mn) / bw), 1023) ELSE 0 END AS INTEGER) AS bin, "
+        "count(*) AS m FROM loans, p WHERE dti IS NOT NULL GROUP BY 1), "
+        "c AS (SELECT m, mn + (bin + CAST(0.5 AS DOUBLE)) * bw AS c FROM hist, p), "
+        "pairs AS (SELECT m, c, unnest(generate_series(CAST(greatest(ceil((c - 8 * h - g0) / step), 0) AS BIGINT), "
+        "CAST(least(floor((c + 8 * h - g0) / step), 99) AS BIGINT))) AS i FROM c, p, g)")
+
+
+@query("kde", oracle(
+    "SELECT CAST(i AS INTEGER) AS i, round(g0 + i * step, 6) AS x, "
+    "round(sum(m * exp(-0.5 * ((g0 + i * step - c) / h) * ((g0 + i * step - c) / h))) / (n * h * sqrt(2 * pi())), 6) AS density "
+    "FROM pairs, p, g GROUP BY i, g0, step, n, h", _KDE))
+def q_kde(spark, sf):
+    return rnd(D.kde(loans(spark, sf), "dti", grid_points=100, bins=1024))
