@@ -22,7 +22,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.ml import Pipeline
+from pyspark import keyword_only
+from pyspark.ml import Pipeline, Transformer
+from pyspark.ml.param.shared import HasInputCols
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.ml.feature import (IndexToString, OneHotEncoder, SQLTransformer, StringIndexer,
                                 VectorAssembler)
 from pyspark.sql import DataFrame, functions as F
@@ -95,6 +98,19 @@ def one_hot_long(df: DataFrame, cols: Iterable[str], id_col: str = "id") -> Data
 # --- vector form -------------------------------------------------------------------
 
 
+class DropColumns(Transformer, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """Pipeline stage removing intermediate columns (persists with the pipeline)."""
+
+    @keyword_only
+    def __init__(self, inputCols=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return df.drop(*self.getInputCols())
+
+
+
 def feature_pipeline(columns, catalog: FeatureCatalog, sentinel: float = MISSING_FILL,
                      pre_epoch: str = "sentinel", output: str = "features",
                      max_categories: int | None = None) -> Pipeline:
@@ -124,8 +140,10 @@ def feature_pipeline(columns, catalog: FeatureCatalog, sentinel: float = MISSING
     inputs = ([f"__d_{c}" for c in g["date"]] + [f"__v_{c}" for c in g["dummy"]]
               + [f"__c_{c}" for c in g["calculate"]] + [f"__n_{c}" for c in g["numeric"]])
     stages.append(VectorAssembler(inputCols=inputs, outputCol=output, handleInvalid="keep"))
-    keep = [f"`{c}`" for c in columns] + [f"`{output}`"]
-    stages.append(SQLTransformer(statement=f"SELECT {', '.join(keep)} FROM __THIS__"))
+    temp = (["__d_" + c for c in g["date"]] + ["__i_" + c for c in g["dummy"]]
+            + ["__v_" + c for c in g["dummy"]] + ["__c_" + c for c in g["calculate"]]
+            + ["__n_" + c for c in g["numeric"]])
+    stages.append(DropColumns(inputCols=temp))
     return Pipeline(stages=stages)
 
 

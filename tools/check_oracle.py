@@ -49,7 +49,7 @@ def main():
     pats = [a for a in args if a != sf]
     from loanlab.session import get_session
     from loanlab.plans.registry import all_queries
-    spark = get_session("local[8]", shuffle_partitions=8)
+    spark = get_session("local[8]", shuffle_partitions=8, extra={"spark.ui.showConsoleProgress": "false"})
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
