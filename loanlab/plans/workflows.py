@@ -55,7 +55,10 @@ def prepare(loans: DataFrame, statuses, feature_catalog, application_only: bool
         keep_cols = [c for c in keep_cols if c in catalog.APPLICATION or c in ("id", "loan_status")]
     df = df.select(*keep_cols).withColumn("label", is_default("loan_status", statuses.default))
     feat_cols = [c for c in keep_cols if c not in ("id", "loan_status")]
-    df = S.train_test_split(df, test_size, split_seed)
+    # the fold ranks, the encoder fit and both encodings re-read the split
+    # table: materialise it once, release it when train/test exist
+    base = S.train_test_split(df, test_size, split_seed).persist(StorageLevel.MEMORY_AND_DISK)
+    df = base
     train_raw = S.stratified_k_fold(df.filter(~F.col("is_test")), "label", folds, fold_seed)
     test_raw = df.filter(F.col("is_test")).withColumn("fold", F.lit(-1))
     pipe = FE.feature_pipeline(feat_cols, feature_catalog)
@@ -68,6 +71,9 @@ def prepare(loans: DataFrame, statuses, feature_catalog, application_only: bool
 
     train = enc(train_raw).persist(StorageLevel.MEMORY_AND_DISK)
     test = enc(test_raw).persist(StorageLevel.MEMORY_AND_DISK)
+    train.count()
+    test.count()
+    base.unpersist()
     return Prepared(train, test, names, model, feat_cols)
 
 
