@@ -15,6 +15,9 @@ with a group holding a third of all rows that does not scale. Here:
 3. only the rows inside the brackets (about 4/accuracy of the group) are
    ranked by a window, and the two neighbouring order statistics are
    interpolated linearly (numpy's default definition).
+
+Groups of at most 4 x accuracy rows are ranked whole (a bounded amount per
+task); only larger groups use the sketch brackets.
 """
 
 from __future__ import annotations
@@ -57,9 +60,14 @@ def exact_quantiles(df: DataFrame, value: str, probs: Iterable[float], by: Itera
         br = br.select(*by, "_n", "_pi", F.col("_b._lo").alias("lo"), F.col("_b._hi").alias("hi"))
         br = br.join(F.broadcast(pdim), "_pi")
         br = br.withColumn("_k", F.floor(F.col("p") * (F.col("_n") - 1)).cast("long"))
-        # widen the outermost brackets to the full range: p near 0 or 1
-        br = (br.withColumn("lo", F.when(F.col("p") - F.lit(delta) <= 0, F.lit(-math.inf)).otherwise(F.col("lo")))
-              .withColumn("hi", F.when(F.col("p") + F.lit(delta) >= 1, F.lit(math.inf)).otherwise(F.col("hi"))))
+        # full range for p near 0 or 1, and for small groups (at most
+        # 4 x accuracy rows: cheap to rank whole, and their sketch brackets
+        # can miss a neighbouring order statistic)
+        small = F.col("_n") <= F.lit(4 * accuracy)
+        br = (br.withColumn("lo", F.when(small | (F.col("p") - F.lit(delta) <= 0), F.lit(-math.inf))
+                            .otherwise(F.col("lo")))
+              .withColumn("hi", F.when(small | (F.col("p") + F.lit(delta) >= 1), F.lit(math.inf))
+                          .otherwise(F.col("hi"))))
         br = br.cache()  # tiny: groups x probabilities
         tagged = join_small(base, br.select(*by, "_pi", "lo", "hi"), by, "inner")
         chk = tagged.groupBy(*by, "_pi").agg(
