@@ -30,6 +30,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ._util import join_small
 
 
+def _literal(v):
+    """A literal column for a collected value (structs and arrays included)."""
+    from pyspark.sql import Row
+    if isinstance(v, Row):
+        return F.struct(*[_literal(x).alias(k) for k, x in v.asDict().items()])
+    if isinstance(v, (list, tuple)):
+        return F.array(*[_literal(x) for x in v])
+    return F.lit(v)
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Iterable[float], by: Iterable[str] = (),
                     accuracy: int = 100_000, max_rounds: int = 4) -> DataFrame:
     """Exact linear-interpolation quantiles of ``value`` per group.
@@ -37,63 +47,74 @@ def exact_quantiles(df: DataFrame, value: str, probs: Iterable[float], by: Itera
     Returns (by..., p, q). NULL values are ignored.
     """
     by = list(by)
-    if not by:  # one constant group: every join below stays an equi-join
-        return exact_quantiles(df.withColumn("_all", F.lit(0)), value, probs, ["_all"],
-                               accuracy, max_rounds).drop("_all")
     probs = [float(p) for p in probs]
-    spark = df.sparkSession
+    J = len(probs)
     x = F.col(value).cast("double")
     base = df.filter(x.isNotNull()).select(*by, x.alias("_x"))
-    pdim = spark.createDataFrame([(i, p) for i, p in enumerate(probs)], "_pi int, p double")
 
-    # targets: 0-based ranks k = floor(p (n-1)) and k+1, fraction
+    def attach(rows: DataFrame, groups: DataFrame) -> DataFrame:
+        if by:
+            return join_small(rows, groups, by, "inner")
+        g = groups.first()  # one row (bounded): the brackets of the whole table
+        return rows.select("*", *[_literal(g[c]).alias(c) for c in groups.columns])
+
     delta = 2.0 / accuracy
     for _ in range(max_rounds):
         lo_p = [max(0.0, p - delta) for p in probs]
         hi_p = [min(1.0, p + delta) for p in probs]
         # group size and both sketches in one aggregation, one row per group
-        br = base.groupBy(*by).agg(
+        grp = base.groupBy(*by).agg(
             F.count(F.lit(1)).alias("_n"),
             F.percentile_approx("_x", lo_p, accuracy).alias("_lo"),
             F.percentile_approx("_x", hi_p, accuracy).alias("_hi"))
-        br = br.select(*by, "_n", F.posexplode(F.arrays_zip("_lo", "_hi")).alias("_pi", "_b"))
-        br = br.select(*by, "_n", "_pi", F.col("_b._lo").alias("lo"), F.col("_b._hi").alias("hi"))
-        br = br.join(F.broadcast(pdim), "_pi")
-        br = br.withColumn("_k", F.floor(F.col("p") * (F.col("_n") - 1)).cast("long"))
         # full range for p near 0 or 1, and for small groups (at most
         # 4 x accuracy rows: cheap to rank whole, and their sketch brackets
         # can miss a neighbouring order statistic)
         small = F.col("_n") <= F.lit(4 * accuracy)
-        br = (br.withColumn("lo", F.when(small | (F.col("p") - F.lit(delta) <= 0), F.lit(-math.inf))
-                            .otherwise(F.col("lo")))
-              .withColumn("hi", F.when(small | (F.col("p") + F.lit(delta) >= 1), F.lit(math.inf))
-                          .otherwise(F.col("hi"))))
-        br = br.cache()  # tiny: groups x probabilities
-        tagged = join_small(base, br.select(*by, "_pi", "lo", "hi"), by, "inner")
-        chk = tagged.groupBy(*by, "_pi").agg(
-            F.count_if(F.col("_x") < F.col("lo")).alias("_below"),
-            F.count_if((F.col("_x") >= F.col("lo")) & (F.col("_x") <= F.col("hi"))).alias("_inside"))
-        br2 = br.join(chk, by + ["_pi"], "inner").withColumn(
-            "_ok", (F.col("_below") <= F.col("_k"))
-            & (F.col("_below") + F.col("_inside") >= F.least(F.col("_k") + 2, F.col("_n"))))
-        br2 = br2.cache()
-        if br2.filter(~F.col("_ok")).limit(1).count() == 0:
+        lo = [F.when(small | F.lit(probs[j] - delta <= 0), F.lit(-math.inf)).otherwise(F.col("_lo")[j])
+              for j in range(J)]
+        hi = [F.when(small | F.lit(probs[j] + delta >= 1), F.lit(math.inf)).otherwise(F.col("_hi")[j])
+              for j in range(J)]
+        grp = grp.select(*by, "_n", F.array(*[
+            F.struct(F.lit(j).alias("j"), F.lit(probs[j]).alias("p"), lo[j].alias("lo"), hi[j].alias("hi"),
+                     F.floor(F.lit(probs[j]) * (F.col("_n") - 1)).cast("long").alias("k"))
+            for j in range(J)]).alias("_br")).cache()
+        tagged = attach(base, grp)
+        b = F.col("_br")
+        chk = tagged.groupBy(*by).agg(
+            *[F.count_if(F.col("_x") < b[j]["lo"]).alias(f"_below{j}") for j in range(J)],
+            *[F.count_if((F.col("_x") >= b[j]["lo"]) & (F.col("_x") <= b[j]["hi"])).alias(f"_in{j}")
+              for j in range(J)])
+        g2 = (grp.join(chk, by, "inner") if by else grp.select("*", *[
+            _literal(v).alias(k) for k, v in chk.first().asDict().items()]))
+        ok = F.lit(True)
+        for j in range(J):
+            ok = ok & (F.col(f"_below{j}") <= b[j]["k"]) & (
+                F.col(f"_below{j}") + F.col(f"_in{j}") >= F.least(b[j]["k"] + 2, F.col("_n")))
+        g2 = g2.withColumn("_ok", ok).cache()
+        if g2.filter(~F.col("_ok")).limit(1).count() == 0:
             break
-        br.unpersist()
-        br2.unpersist()
+        grp.unpersist()
+        g2.unpersist()
         delta *= 8
     else:
         raise RuntimeError("quantile brackets did not verify")
 
-    keep = br2.select(*by, "_pi", "p", "lo", "hi", "_below", "_k", "_n")
-    inside = (join_small(base, keep, by, "inner")
-              .filter((F.col("_x") >= F.col("lo")) & (F.col("_x") <= F.col("hi"))))
-    w = Window.partitionBy(*by, "_pi").orderBy("_x")
-    ranked = inside.withColumn("_r", F.col("_below") + F.row_number().over(w) - 1)
-    picked = (ranked.filter((F.col("_r") == F.col("_k")) | (F.col("_r") == F.col("_k") + 1))
-              .groupBy(*by, "_pi", "p", "_n", "_k")
-              .agg(F.max(F.when(F.col("_r") == F.col("_k"), F.col("_x"))).alias("_a"),
-                   F.max(F.when(F.col("_r") == F.col("_k") + 1, F.col("_x"))).alias("_b")))
+    # one bracket array per group, with its verified "below" counts
+    g3 = g2.select(*by, "_n", F.array(*[
+        F.struct(b[j]["j"].alias("j"), b[j]["p"].alias("p"), b[j]["lo"].alias("lo"), b[j]["hi"].alias("hi"),
+                 b[j]["k"].alias("k"), F.col(f"_below{j}").alias("below")) for j in range(J)]).alias("_br"))
+    t = attach(base, g3)
+    # a row is emitted once per bracket that contains it (only the bracket rows)
+    inside = t.select(*by, "_x", "_n", F.explode(F.filter("_br", lambda e: (F.col("_x") >= e["lo"])
+                                                           & (F.col("_x") <= e["hi"]))).alias("_e"))
+    w = Window.partitionBy(*by, F.col("_e.j")).orderBy("_x")
+    ranked = inside.withColumn("_r", F.col("_e.below") + F.row_number().over(w) - 1)
+    k = F.col("_e.k")
+    picked = (ranked.filter((F.col("_r") == k) | (F.col("_r") == k + 1))
+              .groupBy(*by, F.col("_e.j").alias("_j"), F.col("_e.p").alias("p"), "_n", k.alias("_k"))
+              .agg(F.max(F.when(F.col("_r") == F.col("_e.k"), F.col("_x"))).alias("_a"),
+                   F.max(F.when(F.col("_r") == F.col("_e.k") + 1, F.col("_x"))).alias("_b")))
     frac = F.col("p") * (F.col("_n") - 1) - F.col("_k")
     q = F.col("_a") + frac * (F.coalesce(F.col("_b"), F.col("_a")) - F.col("_a"))
     return picked.select(*by, "p", q.alias("q"))
@@ -104,8 +125,6 @@ def box_stats(df: DataFrame, value: str, by: Iterable[str] = (), whis: float = 1
     """PLT-3: per group the quartiles, the whisker ends (most extreme values
     within ``whis`` x IQR of the box) and the count of points beyond."""
     by = list(by)
-    if not by:
-        return box_stats(df.withColumn("_all", F.lit(0)), value, ["_all"], whis, accuracy).drop("_all")
     qs = exact_quantiles(df, value, [0.25, 0.5, 0.75], by, accuracy)
     wide = qs.groupBy(*by).agg(
         F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
@@ -116,13 +135,20 @@ def box_stats(df: DataFrame, value: str, by: Iterable[str] = (), whis: float = 1
         "_whi", F.col("q3") + F.lit(whis) * iqr)
     x = F.col(value).cast("double")
     rows = df.filter(x.isNotNull()).select(*by, x.alias("_x"))
-    t = join_small(rows, wide.select(*by, "_wlo", "_whi"), by, "inner")
+    if by:
+        t = join_small(rows, wide.select(*by, "_wlo", "_whi"), by, "inner")
+    else:  # the whole table: two scalars to the driver, then literals
+        lim = wide.first()
+        t = rows.withColumn("_wlo", F.lit(lim["_wlo"])).withColumn("_whi", F.lit(lim["_whi"]))
     wh = t.groupBy(*by).agg(
         F.min(F.when(F.col("_x") >= F.col("_wlo"), F.col("_x"))).alias("whisker_lo"),
         F.max(F.when(F.col("_x") <= F.col("_whi"), F.col("_x"))).alias("whisker_hi"),
         F.count_if((F.col("_x") < F.col("_wlo")) | (F.col("_x") > F.col("_whi"))).alias("n_outliers"),
         F.count(F.lit(1)).alias("n"))
-    return wide.drop("_wlo", "_whi").join(wh, by, "inner")
+    if by:
+        return wide.drop("_wlo", "_whi").join(wh, by, "inner")
+    q = wide.first()
+    return wh.select(*[F.lit(q[c]).alias(c) for c in ("q1", "median", "q3")], "*")
 
 
 def kde(df: DataFrame, value: str, grid_points: int = 100, bins: int = 1024,

@@ -25,6 +25,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.expr import is_default
+from ._util import join_small
 
 # --- metric expressions --------------------------------------------------------
 
@@ -168,7 +169,13 @@ def cumulative_counts(scored: DataFrame, label: str = "label", score: str = "sco
     if buckets is None:
         n_dist = dist.count()
         buckets = max(1, min(max_buckets, math.ceil(n_dist / rows_per_bucket)))
-    if buckets > 1:
+    wg = Window.partitionBy(*group)
+    if buckets <= 1:
+        # small input: one window per group over the distinct scores
+        w = Window.partitionBy(*group).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+        cum = (dist.withColumn("cum_tp", F.sum("pos").over(w)).withColumn("cum_fp", F.sum("neg").over(w))
+               .withColumn("P", F.sum("pos").over(wg)).withColumn("N", F.sum("neg").over(wg)))
+    else:
         probs = [i / buckets for i in range(1, buckets)]
         bounds = dist.agg(F.percentile_approx("score", probs, 10 * buckets)).first()[0]
         splits = sorted(set(float(b) for b in bounds))
@@ -176,21 +183,18 @@ def cumulative_counts(scored: DataFrame, label: str = "label", score: str = "sco
                         outputCol="_asc", handleInvalid="keep")
         dist = bz.transform(dist).withColumn(
             "bucket", (F.lit(len(splits)) - F.col("_asc")).cast("int")).drop("_asc")
-    else:
-        dist = dist.withColumn("bucket", F.lit(0))
-    # exact totals per bucket -> exclusive offsets (tiny table)
-    tot = dist.groupBy(*group, "bucket").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
-    wo = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    wg = Window.partitionBy(*group)
-    offs = (tot.withColumn("_op", F.coalesce(F.sum("_bp").over(wo), F.lit(0)))
-            .withColumn("_on", F.coalesce(F.sum("_bn").over(wo), F.lit(0)))
-            .withColumn("P", F.sum("_bp").over(wg)).withColumn("N", F.sum("_bn").over(wg))
-            .drop("_bp", "_bn"))
-    joined = dist.join(F.broadcast(offs), group + ["bucket"], "inner")
-    w = (Window.partitionBy(*group, "bucket").orderBy(F.desc("score"))
-         .rowsBetween(Window.unboundedPreceding, 0))
-    cum = (joined.withColumn("cum_tp", F.col("_op") + F.sum("pos").over(w))
-           .withColumn("cum_fp", F.col("_on") + F.sum("neg").over(w)))
+        # exact totals per bucket -> exclusive offsets (a bucket-sized table)
+        tot = dist.groupBy(*group, "bucket").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
+        wo = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        offs = (tot.withColumn("_op", F.coalesce(F.sum("_bp").over(wo), F.lit(0)))
+                .withColumn("_on", F.coalesce(F.sum("_bn").over(wo), F.lit(0)))
+                .withColumn("P", F.sum("_bp").over(wg)).withColumn("N", F.sum("_bn").over(wg))
+                .drop("_bp", "_bn"))
+        joined = join_small(dist, offs, group + ["bucket"], "inner", max_rows=1_000_000)
+        w = (Window.partitionBy(*group, "bucket").orderBy(F.desc("score"))
+             .rowsBetween(Window.unboundedPreceding, 0))
+        cum = (joined.withColumn("cum_tp", F.col("_op") + F.sum("pos").over(w))
+               .withColumn("cum_fp", F.col("_on") + F.sum("neg").over(w)))
     return cum.select(*group, "score", "pos", "neg", "cum_tp", "cum_fp",
                       (F.col("cum_tp") - F.col("pos")).alias("prev_tp"),
                       (F.col("cum_fp") - F.col("neg")).alias("prev_fp"), "P", "N")

@@ -73,3 +73,14 @@ def test_box_stats_and_kde(spark):
     exact = np.exp(-0.5 * ((xsg[:, None] - v[None, :]) / h) ** 2).sum(1) / (len(v) * h * math.sqrt(2 * math.pi))
     assert np.allclose(dens, exact, atol=2e-3)        # binned estimate of the exact density
     assert abs(np.trapezoid(dens, xsg) - 1.0) < 0.02
+
+
+def test_whole_table_quantiles_and_box(spark):
+    rnd = random.Random(4)
+    xs = [rnd.gauss(0, 1) for _ in range(500)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double").repartition(3)
+    got = {r.p: r.q for r in D.exact_quantiles(df, "x", [0.1, 0.5, 0.9], accuracy=20).collect()}
+    for p in (0.1, 0.5, 0.9):
+        assert got[p] == pytest.approx(float(np.percentile(xs, 100 * p)), abs=1e-12)
+    b = D.box_stats(df, "x").first()
+    assert b.median == pytest.approx(float(np.median(xs)), abs=1e-12) and b.n == 500
