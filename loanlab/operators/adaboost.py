@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark import keyword_only
+from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -77,9 +77,16 @@ class AdaBoost(Estimator, _AdaParams):
             stumps.append(stump)
             alphas.append(alpha)
             nw = F.col("_w") * F.exp(F.lit(alpha) * miss)
+            prev = work
             work = pred.select("_f", "_y", (nw / F.lit(r["t"])).alias("_w"))
+            # every stump fit reads the table several times: keep this round's
+            # weights; cut the lineage reliably every few rounds
             if (m + 1) % self.getOrDefault(self.checkpointInterval) == 0:
                 work = work.checkpoint()
+            else:
+                work = work.persist(StorageLevel.MEMORY_AND_DISK)
+            work.count()
+            prev.unpersist()
         model = AdaBoostModel(stumps=stumps, alphas=alphas, num_classes=K)
         return self._copyValues(model)
 

@@ -44,21 +44,32 @@ def bernoulli_sample(df: DataFrame, p: float, seed: int = 0, id_col: str = "id")
     return df.filter(hash_fraction_filter(id_col, seed, p))
 
 
+def prefix_for(n: int, rows_per_bucket: int = 1_000_000) -> int:
+    """Hex digits of the hash prefix so that a bucket holds about
+    ``rows_per_bucket`` rows (16^digits buckets, 1..5 digits)."""
+    buckets = max(1, math.ceil(n / rows_per_bucket))
+    return max(1, min(5, math.ceil(math.log(buckets, 16)) if buckets > 1 else 1))
+
+
 def hash_rank(df: DataFrame, id_col: str = "id", seed: int = 0, partition: list | None = None,
-              prefix: int = 3, out: str = "rank") -> DataFrame:
+              prefix: int | None = None, out: str = "rank", n: int | None = None) -> DataFrame:
     """WIN-3: exact 1-based rank of each row in (partition..., hash, id) order.
 
     Equivalent to ``row_number() over (partition by ... order by md5, id)``
-    but computed with hash-prefix buckets and offsets (see module doc).
+    but computed with hash-prefix buckets and offsets (see module doc). The
+    prefix length grows with the row count (about a million rows per window
+    task); pass ``n`` when it is known to save a count.
     """
     part = list(partition or [])
+    if prefix is None:
+        prefix = prefix_for(n if n is not None else df.count())
     h = hash_key(id_col, seed)
     t = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, prefix))
     sizes = t.groupBy(*part, "_b").agg(F.count(F.lit(1)).alias("_n"))
     wo = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(wo), F.lit(0))).drop("_n")
     # 16^prefix rows per partition value: broadcast only after a size check
-    joined = join_small(t, offs, part + ["_b"], "inner", max_rows=200_000)
+    joined = join_small(t, offs, part + ["_b"], "inner", max_rows=2_000_000)
     w = Window.partitionBy(*part, "_b").orderBy("_h", id_col)
     return joined.withColumn(out, F.col("_off") + F.row_number().over(w)).drop("_h", "_b", "_off")
 
@@ -74,9 +85,9 @@ def train_test_split(df: DataFrame, test_size: float = 0.3, seed: int = 123,
     """
     if not exact:
         return df.withColumn(out, hash_fraction_filter(id_col, seed, test_size))
-    n = df.agg(F.count(F.lit(1))).scalar()
-    ranked = hash_rank(df, id_col, seed, out="_r")
-    return ranked.withColumn(out, F.col("_r") <= F.ceil(n * F.lit(float(test_size)))).drop("_r")
+    n = df.count()
+    ranked = hash_rank(df, id_col, seed, out="_r", n=n)
+    return ranked.withColumn(out, F.col("_r") <= F.lit(math.ceil(n * float(test_size)))).drop("_r")
 
 
 def k_fold(df: DataFrame, k: int = 10, seed: int = 0, id_col: str = "id",
