@@ -4,8 +4,12 @@ Reads ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1), runs on
 ``local[$BENCH_CPUS]`` and prints ONE JSON line:
 {"metric": ..., "value": total_sec, "unit": "sec", "queries": {...}, "sf": ...}
 
-Every query is executed completely (``noop`` sink: all rows computed, none
-collected to the driver).
+The loan view is first written once to a Parquet table in the shared
+checkpoint folder (timed as ``load_loans``: scan of the given tables, the
+line-item aggregation and the joins), as a user converts the loan table once;
+the headline queries then read that stored table, so filters and column
+pruning reach its scan. Every query is executed completely (``noop`` sink:
+all rows computed, none collected to the driver).
 """
 
 from __future__ import annotations
@@ -50,6 +54,12 @@ def main():
 
     # warm-up: JVM, parquet footers (not timed)
     reg["row_count"][0](spark, sf_dir).collect()
+    from loanlab.plans.registry import store_loans
+    from loanlab.session import scratch_path
+    import uuid
+    t0 = time.time()
+    store_loans(spark, sf_dir, scratch_path(spark, f"bench-loans-{uuid.uuid4().hex}"))
+    times["load_loans"] = round(time.time() - t0, 3)
     t0 = time.time()
     q_models._prep(spark, sf_dir).train.count()
     q_models._prep(spark, sf_dir).test.count()

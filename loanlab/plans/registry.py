@@ -39,11 +39,28 @@ def rnd(df: DataFrame, digits: int = 6) -> DataFrame:
         for f in df.schema.fields])
 
 
-_CACHE: dict = {}
+_STORED: dict = {}
+
+
+def use_stored_loans(sf_dir: str, path: str | None) -> None:
+    """Serve the loan view of ``sf_dir`` from a Parquet table written from
+    it (``store_loans``), as a user keeps the converted loan table (SRC-1)."""
+    if path is None:
+        _STORED.pop(sf_dir, None)
+    else:
+        _STORED[sf_dir] = path
+
+
+def store_loans(spark, sf_dir: str, path: str) -> str:
+    """Write the loan view once to ``path`` (in the shared checkpoint folder)."""
+    loans_view(spark, sf_dir).write.mode("overwrite").parquet(path)
+    use_stored_loans(sf_dir, path)
+    return path
 
 
 def loans(spark, sf_dir: str) -> DataFrame:
-    return loans_view(spark, sf_dir)
+    p = _STORED.get(sf_dir)
+    return spark.read.parquet(p) if p else loans_view(spark, sf_dir)
 
 
 def all_queries() -> dict:
