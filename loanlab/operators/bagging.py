@@ -49,7 +49,8 @@ def fit_bagged_trees(train: DataFrame, num_trees: int = 50, max_depth: int = 12,
         part = train.withColumn("_bw", w).filter(F.col("_bw") > 0)
         rf = RandomForestClassifier(numTrees=1, bootstrap=False, featureSubsetStrategy="sqrt",
                                     maxDepth=max_depth, minInstancesPerNode=min_instances, maxBins=max_bins,
-                                    seed=seed + t, labelCol=label, featuresCol=features, weightCol="_bw")
+                                    seed=seed + t, labelCol=label, featuresCol=features, weightCol="_bw",
+                                    cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=1024)
         models.append(rf.fit(part))
     return models
 
