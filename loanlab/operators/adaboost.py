@@ -57,13 +57,20 @@ class AdaBoost(Estimator, _AdaParams):
         work = data.withColumn("_w", F.lit(1.0 / n)).checkpoint()
         lr = self.getOrDefault(self.learningRate)
         stumps, alphas = [], []
+        held = None  # the cached scored table the current weights are read from
         for m in range(self.getMaxIter()):
             dt = DecisionTreeClassifier(maxDepth=1, featuresCol="_f", labelCol="_y", weightCol="_w",
                                         maxBins=self.getOrDefault(self.maxBins), seed=self.getSeed() + m)
             stump = dt.fit(work)
-            pred = stump.setPredictionCol("_p").setRawPredictionCol("").setProbabilityCol("").transform(work)
+            # the scored rows are kept: the error aggregation fills the cache and the
+            # next round's weights are a projection of it (one pass per round saved)
+            pred = (stump.setPredictionCol("_p").setRawPredictionCol("").setProbabilityCol("")
+                    .transform(work).persist(StorageLevel.MEMORY_AND_DISK))
             miss = (F.col("_p") != F.col("_y")).cast("double")
             r = pred.agg(F.sum(F.col("_w") * miss).alias("e"), F.sum("_w").alias("t")).first()
+            if held is not None:
+                held.unpersist()
+            held = pred
             err = (r["e"] or 0.0) / r["t"]
             if err <= 0:
                 stumps.append(stump)
@@ -77,16 +84,14 @@ class AdaBoost(Estimator, _AdaParams):
             stumps.append(stump)
             alphas.append(alpha)
             nw = F.col("_w") * F.exp(F.lit(alpha) * miss)
-            prev = work
             work = pred.select("_f", "_y", (nw / F.lit(r["t"])).alias("_w"))
-            # every stump fit reads the table several times: keep this round's
-            # weights; cut the lineage reliably every few rounds
             if (m + 1) % self.getOrDefault(self.checkpointInterval) == 0:
+                # cut the lineage reliably (shared checkpoint folder)
                 work = work.checkpoint()
-            else:
-                work = work.persist(StorageLevel.MEMORY_AND_DISK)
-            work.count()
-            prev.unpersist()
+                held.unpersist()
+                held = None
+        if held is not None:
+            held.unpersist()
         model = AdaBoostModel(stumps=stumps, alphas=alphas, num_classes=K)
         return self._copyValues(model)
 
