@@ -40,7 +40,7 @@ def gradient_boosted_trees(max_depth: int = 4, max_iter: int = 100, step: float
     """MOD-8: gradient-boosted trees (logistic loss)."""
     return GBTClassifier(maxDepth=max_depth, maxIter=max_iter, stepSize=step, seed=seed,
                          labelCol=label, featuresCol=features, maxBins=max_bins,
-                         cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=1024)
+                         checkpointInterval=10, maxMemoryInMB=1024)
 
 
 def ovr_logistic(reg: float = 1e-4, max_iter: int = 100, label: str = "label",
