@@ -13,9 +13,11 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
     is measured first; only when it is at most ``max_rows`` is it broadcast,
     otherwise the join is left to Catalyst/AQE (sort-merge with skew splitting).
     """
+    small = small.cache()  # counted once, then reused by the join (no second pass)
     n = small.count()
     if n <= max_rows:
         return big.join(F.broadcast(small), on, how)
+    small.unpersist()
     return big.join(small, on, how)
 
 

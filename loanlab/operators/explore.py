@@ -10,10 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.expr import (col_of, is_default, log1p, month_end, parse_month)
-from ._util import join_small
 
 # --- filters ---------------------------------------------------------------
 
@@ -81,12 +80,12 @@ def value_counts(df: DataFrame, col: str, name: str = "n") -> DataFrame:
 def value_shares(df: DataFrame, col: str) -> DataFrame:
     """AGG-9 / WIN-4: share of each value among non-missing values.
 
-    The window over the already-aggregated table has no partition key, but it
-    runs on one row per distinct value (bounded), not on the input rows.
+    The total is a scalar subquery (one partial-aggregated pass), so no
+    window ever holds all distinct values of a high-cardinality column.
     """
-    vc = (df.filter(F.col(col).isNotNull()).groupBy(col)
-          .agg(F.count(F.lit(1)).alias("n")))
-    return vc.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    base = df.filter(F.col(col).isNotNull())
+    vc = base.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    return vc.withColumn("share", F.col("n") / base.agg(F.count(F.lit(1))).scalar())
 
 
 def group_size(df: DataFrame, col: str) -> DataFrame:

@@ -88,3 +88,16 @@ def test_model_comparison_and_errors(spark):
     assert ea == {"a": (2, 1), "b": (2, 1)}
     nc = V.null_classifier(df).first()
     assert nc.accuracy == 0.5
+
+
+def test_auc_and_counts_invariant_under_repartition(spark):
+    rnd = random.Random(21)
+    rows = [(i, round(rnd.random(), 3), int(rnd.random() < 0.25)) for i in range(800)]
+    base = spark.createDataFrame(rows, "id long, score double, label int")
+    ref = V.auc(base.coalesce(1)).first().auc
+    for parts in (4, 16):
+        df = base.repartition(parts)
+        assert V.auc(df).first().auc == pytest.approx(ref, abs=1e-12)
+        assert V.auc(df, buckets=5).first().auc == pytest.approx(ref, abs=1e-12)
+        assert sorted(tuple(r) for r in V.confusion_matrix(V.at_cutoff(df, 0.5)).collect()) == \
+            sorted(tuple(r) for r in V.confusion_matrix(V.at_cutoff(base.coalesce(1), 0.5)).collect())
