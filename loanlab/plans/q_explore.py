@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import catalog
 from ..functions import expr as X
 from ..operators import explore as E, profile as P, split as S
-from ..sources.fixture import FIXTURE_FEATURES, FIXTURE_STATUSES, LOAN_COLUMNS
+from ..sources.fixture import FIXTURE_STATUSES, LOAN_COLUMNS
 from ..sources.loans import null_sentinel
 from .registry import loans, oracle, query, rnd
 

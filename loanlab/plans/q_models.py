@@ -4,14 +4,12 @@ through the loan view (or the embeddings / labels tables)."""
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from ..functions import expr as X
 from ..operators import bagging as BG, evaluate as V, features as FE, models as M, split as S, validate as VA
 from ..operators.adaboost import AdaBoost
 from ..operators.discriminant import DiscriminantAnalysis

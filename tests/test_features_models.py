@@ -126,3 +126,17 @@ def test_forest_oob_cv_save_load(spark, tmp_path):
     a = [r.score for r in M.score(pm, df).orderBy("id").collect()]
     b = [r.score for r in M.score(back, df).orderBy("id").collect()]
     assert a == b
+
+
+def test_auc_signal_vs_shuffled_labels(spark):
+    from loanlab.operators import evaluate as V
+    df, *_ = _signal(spark, 600, 7)
+    tr = S.train_test_split(df, 0.3, 123)
+    m = M.random_forest(10, max_depth=4).fit(tr.filter(~F.col("is_test")))
+    auc = V.auc(M.score(m, tr.filter(F.col("is_test")))).first().auc
+    assert auc > 0.85
+    # labels re-assigned by a hash of the id: no relation to the features
+    shuf = tr.withColumn("label", (S.hash_share("id", 99) < 0.5).cast("double"))
+    m2 = M.random_forest(10, max_depth=4).fit(shuf.filter(~F.col("is_test")))
+    auc2 = V.auc(M.score(m2, shuf.filter(F.col("is_test")))).first().auc
+    assert abs(auc2 - 0.5) < 0.12
