@@ -472,7 +472,7 @@ _TOP = "SELECT * FROM loans ORDER BY id LIMIT 5"
 
 
 @query("head_most_distinct", oracle(
-    "SELECT k.rank, k.col AS \"column\", t.id AS row_id, CASE k.col " +
+    "SELECT CAST(k.rank AS INTEGER) AS rank, k.col AS \"column\", t.id AS row_id, CASE k.col " +
     " ".join(f"WHEN '{c}' THEN CAST(t.{c} AS VARCHAR)" for c in LOAN_COLUMNS if c != "id") +
     " END AS value FROM (SELECT col, row_number() OVER (ORDER BY nd DESC, col) AS rank FROM ("
     + _DC + ") QUALIFY rank <= 3) k, (" + _TOP.replace("loans", "clean") + ") t", CLEAN_CTE))
