@@ -17,7 +17,9 @@ with a group holding a third of all rows that does not scale. Here:
    interpolated linearly (numpy's default definition).
 
 Groups of at most 4 x accuracy rows are ranked whole (a bounded amount per
-task); only larger groups use the sketch brackets.
+task); only larger groups use the sketch brackets. The verified bracket table
+(one row per group) is checkpointed into the shared checkpoint folder, so a
+recomputation after executor loss uses the same brackets.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import ensure_checkpoint_dir
 from ._util import join_small
 
 
@@ -47,6 +50,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Iterable[float], by: Itera
     Returns (by..., p, q). NULL values are ignored.
     """
     by = list(by)
+    ensure_checkpoint_dir(df.sparkSession)
     probs = [float(p) for p in probs]
     J = len(probs)
     x = F.col(value).cast("double")
@@ -91,11 +95,12 @@ def exact_quantiles(df: DataFrame, value: str, probs: Iterable[float], by: Itera
         for j in range(J):
             ok = ok & (F.col(f"_below{j}") <= b[j]["k"]) & (
                 F.col(f"_below{j}") + F.col(f"_in{j}") >= F.least(b[j]["k"] + 2, F.col("_n")))
-        g2 = g2.withColumn("_ok", ok).cache()
+        # frozen (reliable checkpoint, tiny): a recomputed sketch after an
+        # executor loss could differ from the brackets verified here
+        g2 = g2.withColumn("_ok", ok).checkpoint()
+        grp.unpersist()
         if g2.filter(~F.col("_ok")).limit(1).count() == 0:
             break
-        grp.unpersist()
-        g2.unpersist()
         delta *= 8
     else:
         raise RuntimeError("quantile brackets did not verify")
