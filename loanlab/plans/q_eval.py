@@ -258,3 +258,11 @@ def q_stratified_k_fold(spark, sf):
 def q_null_classifier(spark, sf):
     df = S.train_test_split(scored_fixture(spark, sf), 0.3, seed=123, exact=False)
     return rnd(V.null_classifier(df.filter(~F.col("is_test"))))
+
+
+SWEEP5 = V.linspace(0.4, 0.6, 20)
+
+
+@query("threshold_sweep_f5", oracle("SELECT threshold, f5 FROM sw", _sweep_cte(SWEEP5, [5])))
+def q_threshold_sweep_f5(spark, sf):
+    return rnd(V.threshold_sweep(scored_fixture(spark, sf), SWEEP5, betas=(5,)).select("threshold", "f5"))

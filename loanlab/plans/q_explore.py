@@ -691,3 +691,20 @@ _KDE = (", st AS (SELECT count(*) AS n, min(dti) AS mn, max(dti) AS mx, stddev_s
     "FROM pairs, p, g GROUP BY i, g0, step, n, h", _KDE))
 def q_kde(spark, sf):
     return rnd(D.kde(loans(spark, sf), "dti", grid_points=100, bins=1024))
+
+
+@query("box_stats_by_default", oracle(
+    "SELECT w.is_default, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, "
+    "round(min(loan_amnt) FILTER (WHERE loan_amnt >= wlo), 6) AS whisker_lo, "
+    "round(max(loan_amnt) FILTER (WHERE loan_amnt <= whi), 6) AS whisker_hi, "
+    "count(*) FILTER (WHERE loan_amnt < wlo OR loan_amnt > whi) AS n_outliers, count(*) AS n "
+    "FROM t JOIN w ON t.is_default = w.is_default WHERE loan_amnt IS NOT NULL "
+    "GROUP BY w.is_default, q1, median, q3",
+    f", t AS (SELECT CASE WHEN loan_status IN {DEF_SQL} THEN 1 ELSE 0 END AS is_default, loan_amnt FROM loans), "
+    "q AS (SELECT is_default, quantile_cont(loan_amnt, 0.25) AS q1, quantile_cont(loan_amnt, 0.5) AS median, "
+    "quantile_cont(loan_amnt, 0.75) AS q3 FROM t WHERE loan_amnt IS NOT NULL GROUP BY 1), "
+    "w AS (SELECT *, q1 - CAST(1.5 AS DOUBLE) * (q3 - q1) AS wlo, q3 + CAST(1.5 AS DOUBLE) * (q3 - q1) AS whi FROM q)"))
+def q_box_stats_by_default(spark, sf):
+    df = loans(spark, sf).select(X.is_default("loan_status", DEFAULT).alias("is_default"), "loan_amnt")
+    # small accuracy: the default group (a third of the loans or less) goes through the bracket path
+    return rnd(D.box_stats(df, "loan_amnt", ["is_default"], accuracy=300))
