@@ -115,8 +115,8 @@ def distinct_count(df: DataFrame, cols: Iterable[str] | None = None,
     else:
         n = df.agg(F.count(F.lit(1))).scalar()
         kv = _as_text(df, cols)
-        out = (kv.groupBy("column", "value").agg(F.lit(1).alias("_one"))
-               .groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
+        # distinct (column, value) pairs, de-duplicated map-side, then counted
+        out = (kv.distinct().groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
                .withColumn("n_rows", n))
     return (out.withColumn("ratio", F.col("n_distinct") / F.col("n_rows")).drop("n_rows")
             .orderBy(F.desc("n_distinct"), F.asc("column")))
