@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -163,9 +164,13 @@ def cumulative_counts(scored: DataFrame, label: str = "label", score: str = "sco
     """
     group = list(group)
     y = F.col(label).cast("int") == 1
+    # one row per distinct score; kept because the count, the boundary sketch,
+    # the bucket totals and the windows all read it (and the scored input is
+    # often a model's output, expensive to recompute)
     dist = (scored.filter(F.col(score).isNotNull())
             .groupBy(*group, F.col(score).cast("double").alias("score"))
-            .agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg")))
+            .agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
+            .persist(StorageLevel.MEMORY_AND_DISK))
     if buckets is None:
         n_dist = dist.count()
         buckets = max(1, min(max_buckets, math.ceil(n_dist / rows_per_bucket)))
