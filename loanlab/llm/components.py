@@ -15,18 +15,26 @@ from pyspark.sql import DataFrame, functions as F
 from .common import stored
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+PER_TASK = 50_000  # edges; small graphs need no wide stages
+
+
+def _narrow(df: DataFrame, n: int) -> DataFrame:
+    return df.coalesce(max(6, -(-n // PER_TASK)))
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's minimum."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "large-star")
+    low = stored(_narrow(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), n),
+                 "large-star")
     return (both.where("v > u").join(low, "u").where(F.col("v") != F.col("m"))
             .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Every smaller neighbour of a node, and the node, is linked to their minimum."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = stored(down.groupBy("u").agg(F.min("v").alias("m")), "small-star")
+    low = stored(_narrow(down.groupBy("u").agg(F.min("v").alias("m")), n), "small-star")
     moved = (down.join(low, "u").where(F.col("v") != F.col("m"))
              .select(F.col("v").alias("u"), F.col("m").alias("v")))
     return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
@@ -40,11 +48,14 @@ def _state(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that has an edge; root is the smallest node
     of the component. Self loops and repeated edges are allowed."""
-    edges = stored(edges.select("u", "v").where("u != v")
-                   .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    edges = edges.select("u", "v").where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    edges = stored(edges.distinct(), "edges")
     state = _state(edges)
-    while True:
-        edges = stored(_small_star(_large_star(edges)), "edges")
+    while state[0]:
+        n = state[0]
+        # the shuffled star of a round is read twice by the next half round
+        star = stored(_narrow(_large_star(edges, n), n), "star")
+        edges = stored(_narrow(_small_star(star, n), n), "edges")
         new = _state(edges)
         if new == state:
             break

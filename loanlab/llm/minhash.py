@@ -11,9 +11,10 @@ class, so that copies are never paired. Per class:
 * within a band's bucket no list of all pairs is made. Each member is paired
   with the bucket's hub; verified links give components; a bucket whose
   members are already in one component needs nothing more. The others get
-  another hub (chosen by hash), and when few pairs between different
-  components are left, all of those are verified. So every pair that shares a
-  bucket is either tested or already connected: no link is lost to a cap;
+  another hub (chosen by hash), and at the end, or when few are left, all
+  pairs of members in different components are verified. So every pair that
+  shares a bucket is either tested or already connected: no link is lost to a
+  cap;
 * a pair is verified by its signature (an estimate under 0.5 cannot be 0.75
   but with probability 1e-8) and then on the full sets: 100 * intersection
   >= 75 * union;
@@ -36,6 +37,7 @@ from .components import connected_components
 SHINGLE = 5
 HASHES, ROWS = 128, 4
 MIN_ESTIMATE = 0.5
+MAX_TURNS = 4  # hub turns; after them all pairs that are open are tested
 SEED = 20240229
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -174,59 +176,53 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stored(linkable.groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "classes")
     reps = (linkable.join(classes, ["cls", "doc_id"], "left_semi")).dropDuplicates(["cls"])
     bands = reps.select("cls", "sig").mapInArrow(_bands, "bucket long, cls binary")
-    # buckets that more than one class shares; the hub of the first round is the smallest class
-    shared = stored(bands.groupBy("bucket").agg(F.min("cls").alias("hub"), F.max("cls").alias("last"))
-                    .where("hub != last").select("bucket", "hub"), "buckets")
-    members = stored(bands.join(shared, "bucket").select("bucket", "hub", "cls"), "members")
-    needed = stored(members.select("cls").distinct(), "needed")
-    wanted = needed.join(reps, "cls").select("cls", "doc_id", "sig")
+    # Buckets that more than one class shares. Bands that hold the same classes say the
+    # same: of buckets with equal member sets (count and two sums of hashes) one stays.
+    shared = stored(bands.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("h1"),
+        F.sum(F.xxhash64("cls", F.lit(1)).cast("decimal(20,0)")).alias("h2"))
+        .where("n > 1").groupBy("n", "h1", "h2").agg(F.min("bucket").alias("bucket")).select("bucket"), "buckets")
+    active = stored(bands.join(shared, "bucket").select("bucket", "cls"), "members")
+    wanted = stored(active.select("cls").distinct().join(reps, "cls").select("cls", "doc_id", "sig"), "needed")
     # one text per class (a doc_id that repeats with other texts is told apart in _verify)
-    texts = stored(docs.join(wanted, "doc_id").select("cls", "sig", "text").distinct(), "texts")
+    texts = stored(docs.join(wanted, "doc_id").withColumn("h", F.xxhash64("text")).dropDuplicates(["cls", "h"])
+                   .select("cls", "sig", "text"), "texts")
 
-    tested = None
-    links = None
-    roots = None
-    pairs = stored(_ordered(members.where(F.col("cls") != F.col("hub"))
-                            .select(F.col("cls").alias("u"), F.col("hub").alias("v"))), "pairs")
+    links = roots = tested = None
     turn = 0
     while True:
-        found = _links(pairs, texts)
-        links = found if links is None else stored(links.union(found), "links")
-        tested = pairs if tested is None else stored(tested.union(pairs), "tested")
-        roots = stored(connected_components(links), "roots")
-        placed = (members.select("bucket", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-                  .select("bucket", "cls", F.coalesce("root", "cls").alias("root")))
-        placed = stored(placed, "placed")
-        mixed = stored(placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-                       .where("low != high").select("bucket"), "mixed")
-        open_ = stored(placed.join(mixed, "bucket"), "open")
-        # (bucket, component) sizes: the largest component of a bucket against the rest
-        sizes = open_.groupBy("bucket", "root").count()
-        main = stored(sizes.groupBy("bucket").agg(F.max(F.struct("count", "root")).alias("top"),
-                                                  F.sum("count").alias("total"))
-                      .select("bucket", F.col("top.root").alias("main"),
-                              (F.col("total") - F.col("top.count")).alias("rest"), "total"), "main")
-        n_open, bound = main.agg(F.sum("total"), F.sum(F.col("rest") * F.col("total"))).first()
+        placed = active.withColumn("root", F.col("cls")) if roots is None else active.join(
+            roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        # a bucket is open while members of it are in different components; its hub changes every turn
+        hub = F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("o"), "cls", "root")).alias("h")
+        open_ = stored(placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"),
+                                                    F.count("*").alias("n"), hub)
+                       .where("low != high")
+                       .select("bucket", "n", F.col("h.cls").alias("hub"), F.col("h.root").alias("hub_root")), "open")
+        n_open, all_pairs = open_.agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()
         if not n_open:
             break
-        last = bound <= 8 * n_open or turn >= 8
-        if last:
-            rest = open_.join(main.select("bucket", "main"), "bucket").where(F.col("root") != F.col("main"))
-            cross = (rest.select("bucket", F.col("cls").alias("u"), F.col("root").alias("root_u"))
-                     .join(open_.select("bucket", F.col("cls").alias("v"), F.col("root").alias("root_v")), "bucket")
-                     .where("root_u != root_v"))
+        rows_open = placed.join(open_, "bucket")
+        last = all_pairs <= 2 * n_open or turn >= MAX_TURNS
+        if not last:
+            rows_open = stored(rows_open, "open-rows")
+            cross = rows_open.where("root != hub_root").select(F.col("cls").alias("u"), F.col("hub").alias("v"))
+            active = rows_open.where("cls != hub").select("bucket", "cls")  # the hub has met every other member
         else:
-            order = F.xxhash64(F.col("cls"), F.lit(turn))
-            hubs = stored(open_.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "cls", "root")).alias("h"))
-                          .select("bucket", F.col("h.cls").alias("v"), F.col("h.root").alias("root_v")), "hubs")
-            cross = (open_.select("bucket", F.col("cls").alias("u"), F.col("root").alias("root_u"))
-                     .join(hubs, "bucket").where("root_u != root_v"))
-        pairs = stored(_ordered(cross.select("u", "v")).join(tested, ["u", "v"], "left_anti"), "pairs")
+            own = rows_open.select("bucket", F.col("cls").alias("u"), F.col("root").alias("root_u"))
+            other = rows_open.select("bucket", F.col("cls").alias("v"), F.col("root").alias("root_v"))
+            cross = own.join(other, "bucket").where("u < v and root_u != root_v")
+        pairs = _ordered(cross.select("u", "v"))
+        pairs = stored(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.union(pairs)
+        found = _links(pairs, texts)
+        links = found if links is None else links.union(found)
+        roots = connected_components(links)
         if last:
-            links = stored(links.union(_links(pairs, texts)), "links")
-            roots = stored(connected_components(links), "roots")
             break
         turn += 1
+    if roots is None:
+        roots = spark.createDataFrame([], "node binary, root binary")
 
     # smallest doc_id of every component, then of every class
     lowest = (roots.join(classes, roots["node"] == classes["cls"])
