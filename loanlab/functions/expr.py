@@ -104,7 +104,7 @@ def log_shift(c, shift: float = 10.0) -> Column:
 
 def pct_round(x, n, digits: int = 1) -> Column:
     """MTH-3: round(100 * x / n, digits); NULL when n is 0."""
-    return F.round(F.try_divide(F.lit(100.0) * col_of(x), col_of(n)), digits)
+    return F.round(F.try_divide(F.lit(100.0) * col_of(x), col_of(n).cast("double")), digits)
 
 
 def safe_ratio(x, n) -> Column:

@@ -15,17 +15,19 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
     """
     small = small.cache()  # counted once, then reused by the join (no second pass)
     n = small.count()
-    if n <= max_rows:
-        return big.join(F.broadcast(small), on, how)
-    small.unpersist()
-    return big.join(small, on, how)
-
-
-def literal_table(spark, rows, schema) -> DataFrame:
-    """A dimension from a fixed, bounded list of values (safe to broadcast)."""
-    return spark.createDataFrame(rows, schema)
-
-
-def unpivot_columns(df: DataFrame, ids, columns, var="column", val="value") -> DataFrame:
-    """Long form (ids..., column, value) of ``columns`` (cast to one type by Spark)."""
-    return df.unpivot(list(ids), list(columns), var, val)
+    if n > max_rows:
+        small.unpersist()
+    return join_groups(big, F.broadcast(small) if n <= max_rows else small, on, how)
+
+
+def join_groups(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Equi-join on group keys of which any may be NULL: a NULL group is a group
+    like any other, as in ``groupBy``; the keys come from the left side."""
+    keys = [on] if isinstance(on, str) else list(on)
+    names = {k: f"__right_{k}" for k in keys}
+    right = right.withColumnsRenamed(names)
+    cond = None
+    for k, name in names.items():
+        same = left[k].eqNullSafe(right[name])
+        cond = same if cond is None else cond & same
+    return left.join(right, cond, how).drop(*names.values())

@@ -112,10 +112,12 @@ class AdaBoostModel(Model, _AdaParams):
         feat = self.getFeaturesCol()
         out = df
         acc = None
+        votes = []  # (prediction column, weight) of every stump
         for i, (s, a) in enumerate(zip(self.stumps, self.alphas)):
             col = f"_ada_p{i}"
             out = (s.copy().setFeaturesCol(feat).setProbabilityCol(col).setRawPredictionCol("")
-                   .setPredictionCol("").transform(out))
+                   .setPredictionCol(f"_ada_v{i}").transform(out))
+            votes.append((f"_ada_v{i}", float(a)))
             term = F.transform(vector_to_array(F.col(col)), _scale_by(a))
             acc = term if acc is None else F.zip_with(acc, term, lambda x, y: x + y)
             out = out.withColumn(f"_ada_acc{i}", acc).drop(col)
@@ -129,7 +131,10 @@ class AdaBoostModel(Model, _AdaParams):
         prob = F.transform(dec, lambda v: v / z)
         last = f"_ada_acc{len(self.stumps) - 1}"
         out = out.withColumn("probability", array_to_vector(prob))
-        pa = vector_to_array(F.col("probability"))
+        # the label is the weighted vote of the stumps, ties to the smaller class
+        tally = F.array(*[F.aggregate(
+            F.array(*[F.when(F.col(v) == k, F.lit(a)).otherwise(F.lit(0.0)) for v, a in votes]),
+            F.lit(0.0), lambda s_, v: s_ + v) for k in range(K)])
         return (out.withColumn(self.getPredictionCol(),
-                               (F.array_position(pa, F.array_max(pa)) - 1).cast("double"))
-                .drop(last))
+                               (F.array_position(tally, F.array_max(tally)) - 1).cast("double"))
+                .drop(last, *[v for v, _ in votes]))

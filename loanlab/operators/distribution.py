@@ -157,14 +157,15 @@ def box_stats(df: DataFrame, value: str, by: Iterable[str] = (), whis: float = 1
 
 
 def kde(df: DataFrame, value: str, grid_points: int = 100, bins: int = 1024,
-        cut: float = 3.0, reach: float = 8.0) -> DataFrame:
+        cut: float = 3.0) -> DataFrame:
     """PLT-2: Gaussian kernel density on an even grid, from a fine histogram.
 
     Bandwidth by Scott's rule (sample std x n^(-1/5)); the grid spans
     [min - cut*h, max + cut*h]. Each histogram bin (``bins`` rows at most)
-    adds its mass to the grid points within ``reach`` bandwidths (beyond that
-    a Gaussian term is below 1e-14) -- a band join generated with
-    ``sequence``, bounded by bins x grid_points, never rows x grid.
+    adds its mass to every grid point, so the result has ``grid_points`` rows
+    whatever the outliers; the work is bounded by bins x grid_points, never
+    rows x grid. A column without spread (one row, or one value) has no
+    density: its grid is the one point, with density NULL.
     """
     x = F.col(value).cast("double")
     base = df.filter(x.isNotNull()).select(x.alias("_x"))
@@ -173,6 +174,8 @@ def kde(df: DataFrame, value: str, grid_points: int = 100, bins: int = 1024,
                   F.stddev_samp("_x").alias("sd")).first()
     if not st["n"]:
         return df.sparkSession.createDataFrame([], "i int, x double, density double")
+    if not st["sd"]:
+        return df.sparkSession.createDataFrame([(0, st["mn"], None)], "i int, x double, density double")
     n, mn, mx, sd = (F.lit(st[c]) for c in ("n", "mn", "mx", "sd"))
     h = sd * F.pow(n.cast("double"), F.lit(-0.2))
     bw = (mx - mn) / F.lit(float(bins))
@@ -181,11 +184,8 @@ def kde(df: DataFrame, value: str, grid_points: int = 100, bins: int = 1024,
     center = mn + (F.col("bin") + F.lit(0.5)) * bw
     g0 = mn - F.lit(cut) * h
     step = ((mx + F.lit(cut) * h) - g0) / F.lit(float(grid_points - 1))
-    i_lo = F.greatest(F.ceil((center - F.lit(reach) * h - g0) / step), F.lit(0)).cast("int")
-    i_hi = F.least(F.floor((center + F.lit(reach) * h - g0) / step), F.lit(grid_points - 1)).cast("int")
     pairs = (hist.withColumn("_c", center)
-             .filter(i_lo <= i_hi)
-             .select("m", "_c", F.explode(F.sequence(i_lo, i_hi)).alias("i")))
+             .select("m", "_c", F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("i")))
     gx = g0 + F.col("i") * step
     z = (gx - F.col("_c")) / h
     contrib = F.col("m") * F.exp(F.lit(-0.5) * z * z)

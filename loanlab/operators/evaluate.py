@@ -26,7 +26,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.expr import is_default
-from ._util import join_small
+from ._util import join_groups, join_small
 
 # --- metric expressions --------------------------------------------------------
 
@@ -268,7 +268,7 @@ def model_comparison(scored: DataFrame, model: str = "model", label: str = "labe
     m = scored.groupBy(model).agg(
         F.avg((y == p).cast("double")).alias("accuracy"),
         _ratio(F.count_if(y & p), F.count_if(y)).alias("recall"))
-    return m.join(auc(scored, label, score, [model], **kw), model, "inner")
+    return join_groups(m, auc(scored, label, score, [model], **kw), [model], "left")
 
 
 def collapse_multiclass(df: DataFrame, class_col: str, default: Iterable[str],

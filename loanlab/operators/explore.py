@@ -164,9 +164,11 @@ def counts_of_counts(df: DataFrame, status: str, default: Iterable[str]) -> Data
 
 def bincount(df: DataFrame, col: str) -> DataFrame:
     """AGG-23: histogram of a non-negative integer column over 0..max, with
-    zeros for absent values (calendar-style fill, no cross join)."""
+    zeros for absent values (calendar-style fill, no cross join). A negative
+    value is refused with an error."""
     x = F.col(col).cast("long")
-    counts = df.filter(x.isNotNull()).groupBy(x.alias("value")).agg(
+    x = F.when(x < 0, F.raise_error(F.lit(f"bincount: {col} holds a negative value"))).otherwise(x)
+    counts = df.filter(F.col(col).isNotNull()).groupBy(x.alias("value")).agg(
         F.count(F.lit(1)).alias("n"))
     rng = counts.agg(F.max("value").alias("_hi")).filter(F.col("_hi").isNotNull())
     cal = rng.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("_hi"))).alias("value"))

@@ -6,7 +6,7 @@ which does not depend on partitioning, task order or retries (unlike
 re-execution unchanged.
 
 Exact ranks without a single-task window: rows are grouped by the first hex
-digits of their hash (up to 16^4 buckets, in hash order), bucket sizes are
+digits of their hash (up to 16^5 buckets, in hash order), bucket sizes are
 counted (a small table), exclusive offsets are taken over that small table,
 and the rank inside a bucket comes from a window partitioned by bucket. A
 label holding a third of all rows is therefore still spread over many tasks.
@@ -58,7 +58,8 @@ def hash_rank(df: DataFrame, id_col: str = "id", seed: int = 0, partition: list
     Equivalent to ``row_number() over (partition by ... order by md5, id)``
     but computed with hash-prefix buckets and offsets (see module doc). The
     prefix length grows with the row count (about a million rows per window
-    task); pass ``n`` when it is known to save a count.
+    task); pass ``n`` when it is known to save a count. Every row gets a rank:
+    a NULL partition value is a partition, rows without id come first in it.
     """
     part = list(partition or [])
     if prefix is None:

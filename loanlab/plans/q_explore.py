@@ -582,7 +582,9 @@ def q_log_shift(spark, sf):
     "SELECT loan_status, count(*) AS n, round(CAST(100 AS DOUBLE) * count(*) / (SELECT count(*) FROM loans), 1) AS pct "
     "FROM loans WHERE loan_status IS NOT NULL GROUP BY 1"))
 def q_pct_round(spark, sf):
-    return E.status_shares(loans(spark, sf), "loan_status")
+    df = loans(spark, sf)
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return E.group_size(df, "loan_status").select("loan_status", "n", X.pct_round("n", total).alias("pct"))
 
 
 @query("safe_ratio", oracle(
@@ -681,8 +683,7 @@ _KDE = (", st AS (SELECT count(*) AS n, min(dti) AS mn, max(dti) AS mx, stddev_s
         "hist AS (SELECT CAST(CASE WHEN bw > 0 THEN least(floor((dti - mn) / bw), 1023) ELSE 0 END AS INTEGER) AS bin, "
         "count(*) AS m FROM loans, p WHERE dti IS NOT NULL GROUP BY 1), "
         "c AS (SELECT m, mn + (bin + CAST(0.5 AS DOUBLE)) * bw AS c FROM hist, p), "
-        "pairs AS (SELECT m, c, unnest(generate_series(CAST(greatest(ceil((c - 8 * h - g0) / step), 0) AS BIGINT), "
-        "CAST(least(floor((c + 8 * h - g0) / step), 99) AS BIGINT))) AS i FROM c, p, g)")
+        "pairs AS (SELECT m, c, unnest(generate_series(0, 99)) AS i FROM c)")
 
 
 @query("kde", oracle(

@@ -79,11 +79,8 @@ def q_select_top_importance(spark, sf):
 @query("select_ranked_features")
 def q_select_ranked_features(spark, sf):
     p = _prep(spark, sf)
-    arr = p.train.select("id", "label", vector_to_array("features").alias("_x"))
-    nn = [i for i, n in enumerate(p.names) if not n.endswith("annual_inc")]  # chi2 needs x >= 0
-    wide = arr.select("label", *[F.greatest(F.col("_x")[i], F.lit(0.0)).alias(p.names[i]) for i in nn])
-    names = FE.select_k_best(FE.chi2_scores(wide, "label", [p.names[i] for i in nn]), 5)
-    idx = sorted(p.names.index(n) for n in names)
+    m = M.random_forest(20, max_depth=10).fit(p.train)  # ranked by importance, over unchanged features
+    idx = sorted(M.top_indices(M.feature_importance(m, p.names), p.names, 5))
     out = M.slice_features(p.test, idx)
     slot = F.array(*[F.lit(p.names[i]) for i in idx])
     return rnd(out.select("id", F.posexplode(vector_to_array("features_k")).alias("i", "value"))
@@ -187,8 +184,7 @@ def q_row_normalize_vector(spark, sf):
 @query("gradient_boosted_trees")
 def q_gradient_boosted_trees(spark, sf):
     p = _prep(spark, sf, "application")
-    sample = S.bernoulli_sample(p.train, 0.5, seed=3)  # the boosted variant trains on a row sample
-    m = M.gradient_boosted_trees(max_depth=4, max_iter=100).fit(sample)
+    m = M.gradient_boosted_trees(max_depth=4, max_iter=100).fit(p.train)
     return rnd(M.score(m, p.test))
 
 

@@ -42,8 +42,9 @@ def get_session(master: str | None = None, app: str = "loanlab",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is used as is.
-    Only when it is unset (local tests) a scratch folder is created.
+    On a cluster this setting points at shared storage and is used as is. Only
+    in local mode, where driver and tasks are one process, a scratch folder is
+    created if it is unset; on a cluster an unset folder is an error.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -51,6 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
+    if not d and not sc.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="loanlab-ckpt-")
     sc.setCheckpointDir(d)

@@ -11,30 +11,47 @@ def load_loans(spark: SparkSession, path: str, schema: T.StructType | None = Non
                fmt: str = "csv") -> DataFrame:
     """Full scan of the loan table.
 
-    CSV is read with an explicit schema (never inferred: two columns are of
-    mixed type), multi-line records (free-text ``desc``), leading blanks kept
-    (``' 36 months'`` is a category value), and no NaN text mapping so no
-    double NaN survives the load. Parquet is read as is.
+    CSV columns are found by the names of the header, in any order; a name that
+    the schema does not have, or a missing one, is an error. Types are those of
+    the schema (never inferred: two columns are of mixed type), records may
+    span lines (free-text ``desc``), leading blanks stay (``' 36 months'`` is
+    a category value), NaN becomes NULL. Cells that do not parse are NULL and
+    their record is in ``MALFORMED`` (``count_malformed``). Parquet is read
+    as is. A multi-line file is one task: convert the CSV once.
     """
     if fmt == "parquet":
         return spark.read.parquet(path)
-    return (spark.read.schema(schema or loan_schema())
-            .option("header", True)
-            .option("multiLine", True)
-            .option("escape", '"')
-            .option("ignoreLeadingWhiteSpace", False)
-            .option("ignoreTrailingWhiteSpace", False)
-            .option("mode", "PERMISSIVE")
-            .csv(path))
-
-
-def convert_to_parquet(df: DataFrame, path: str, partition_by: list | None = None) -> None:
-    """One-off conversion of the CSV to Parquet (optionally laid out by a
-    coarse column such as issue year, for partition pruning)."""
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    return _read_csv(spark, path, schema or loan_schema()).drop(MALFORMED)
+
+
+MALFORMED = "_malformed_record"
+
+
+def _csv(spark: SparkSession):
+    return (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", MALFORMED))
+
+
+def _read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    header = _csv(spark).csv(path).columns  # names only: without inference no data is parsed
+    known = {f.name: f for f in schema.fields}
+    if set(header) != set(known) or len(header) != len(known):
+        raise ValueError(f"loan file: unknown columns {sorted(set(header) - set(known))}, "
+                         f"missing columns {sorted(set(known) - set(header))}")
+    by_file = T.StructType([known[c] for c in header] + [T.StructField(MALFORMED, T.StringType())])
+    df = _csv(spark).schema(by_file).csv(path)
+    return df.select(*[F.nanvl(F.col(f.name), F.lit(None).cast(f.dataType)).alias(f.name)
+                       if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
+                       for f in schema.fields], MALFORMED)
+
+
+def count_malformed(spark: SparkSession, path: str, schema: T.StructType | None = None) -> int:
+    """Records of a CSV loan file with a cell that does not parse."""
+    schema = schema or loan_schema()
+    # every column is asked for: a cell that no query needs is not parsed
+    return _read_csv(spark, path, schema).agg(
+        F.count_if(F.col(MALFORMED).isNotNull()), F.max(F.xxhash64(*schema.names))).first()[0]
 
 
 def null_sentinel(df: DataFrame, sentinel: str = SENTINEL_TEXT) -> DataFrame:

@@ -1,6 +1,10 @@
+import random
+
+import pytest
+
 from loanlab.catalog import loan_schema
 from loanlab.plans import registry
-from loanlab.sources.loans import load_loans, null_sentinel
+from loanlab.sources.loans import count_malformed, load_loans, null_sentinel
 
 
 def test_csv_with_schema_keeps_text(spark, tmp_path):
@@ -29,3 +33,18 @@ def test_stored_loan_table_gives_same_rows(spark, sf001, tmp_path):
     finally:
         registry.use_stored_loans(sf001, None)
     assert a == b
+
+
+def test_csv_columns_go_by_header_name(spark, tmp_path):
+    cols = [f.name for f in loan_schema().fields]
+    random.Random(5).shuffle(cols)
+    rows = [{"id": "1", "loan_amnt": "10.5", "int_rate": "NaN", "grade": "B"},
+            {"id": "2", "loan_amnt": "not a number", "int_rate": "3", "grade": "C"}]
+    p = tmp_path / "shuffled.csv"
+    p.write_text("\n".join([",".join(cols)] + [",".join(r.get(c, "") for c in cols) for r in rows]) + "\n")
+    got = {r.id: (r.loan_amnt, r.int_rate, r.grade, r.url) for r in load_loans(spark, str(p)).collect()}
+    assert got == {1: (10.5, None, "B", None), 2: (None, 3.0, "C", None)}
+    assert count_malformed(spark, str(p)) == 1
+    p.write_text("id,other\n1,2\n")
+    with pytest.raises(ValueError, match="other"):
+        load_loans(spark, str(p))
