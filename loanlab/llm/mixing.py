@@ -8,7 +8,7 @@ shortest paths route the quotas at least total cost, so nothing is repeated
 while fresh tokens are left (``route``). A pattern's flow is then spent on its
 documents: every document floor(flow / tokens) times, and the rest on
 documents in the order of a seeded hash while they fit, and last on the
-document that fits the remainder best.
+documents that fit the remainder best (``FILL_TURNS`` of them at most).
 
 Scale: texts are only counted; counts go to the shared folder. The driver
 sees one row per pattern (sets of the named sources of the mix) and refuses more
@@ -34,6 +34,7 @@ from .common import WORD, stored, whole_text
 MAX_REPEATS = 3
 MAX_PATTERNS = 20_000
 PER_RANGE = 50_000
+FILL_TURNS = 3
 SEED = "mix-1"
 
 
@@ -150,16 +151,18 @@ def select(rows: DataFrame, amounts: DataFrame, seed: str = SEED, key: str = "do
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     last = placed.where(~(whole | none)).withColumn("__more", F.col("__before") + F.sum("size").over(w) <= F.col("__want"))
     state = stored(settled.unionByName(last), "mix-state")
-    # what is missing to the flow then goes to the document that fits it best
-    gaps = stored(state.groupBy("pattern").agg(
-        (F.max("__want") - F.sum(F.when(F.col("__more"), F.col("size")).otherwise(0))).alias("__gap")), "mix-gaps")
-    best = stored(state.where(~F.col("__more") & (F.col("size") > 0)).join(gaps, "pattern")
-                  .where(F.col("size") <= F.col("__gap")).groupBy("pattern")
-                  .agg(F.max(F.struct("size", "__u")).alias("__best")), "mix-best")
-    fits = F.coalesce(~F.col("__more") & (F.struct("size", "__u") == F.col("__best")), F.lit(False))
-    out = state.join(best, "pattern", "left").withColumn(
-        "times", F.col("__full") + F.when(F.col("__more") | fits, 1).otherwise(0))
-    return out.drop("__u", "__range", "__sum", "__before", "__full", "__want", "__more", "__best")
+    # what is missing to the flow then goes to the documents that fit it best, one a turn
+    for _ in range(FILL_TURNS):
+        gaps = stored(state.groupBy("pattern").agg(
+            (F.max("__want") - F.sum(F.when(F.col("__more"), F.col("size")).otherwise(0))).alias("__gap")), "mix-gaps")
+        best = stored(state.where(~F.col("__more") & (F.col("size") > 0)).join(gaps, "pattern")
+                      .where(F.col("size") <= F.col("__gap")).groupBy("pattern")
+                      .agg(F.max(F.struct("size", "__u")).alias("__best")), "mix-best")
+        fits = F.coalesce(~F.col("__more") & (F.struct("size", "__u") == F.col("__best")), F.lit(False))
+        state = stored(state.join(best, "pattern", "left").withColumn("__more", F.col("__more") | fits).drop("__best"),
+                       "mix-state")
+    out = state.withColumn("times", F.col("__full") + F.when(F.col("__more"), 1).otherwise(0))
+    return out.drop("__u", "__range", "__sum", "__before", "__full", "__want", "__more")
 
 
 def _plan(patterns: list, weights=cycle_weights):
