@@ -73,7 +73,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOC
     unit = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
     picked = known.where("toxic in (0, 1)").where(unit < share)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return rows.join(picked, "doc_id").select("doc_id", "toxic", "text").dropDuplicates(["doc_id"])
+    # the picked labels are a bounded sample (``per_class`` expected of each class): texts stay in place
+    return rows.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text").dropDuplicates(["doc_id"])
 
 
 def _document_counts(batches):
