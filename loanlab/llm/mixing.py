@@ -8,7 +8,9 @@ shortest paths route the quotas at least total cost, so nothing is repeated
 while fresh tokens are left (``route``). A pattern's flow is then spent on its
 documents: every document floor(flow / tokens) times, and the rest on
 documents in the order of a seeded hash while they fit, and last on the
-documents that fit the remainder best (``FILL_TURNS`` of them at most).
+documents that fit the remainder best (``FILL_TURNS`` of them at most); where
+more than ``ROUGH`` of it is missing then, a document too many is taken and
+others are left for it.
 
 Scale: texts are only counted; counts go to the shared folder. The driver
 sees one row per pattern (sets of the named sources of the mix) and refuses more
@@ -35,6 +37,7 @@ MAX_REPEATS = 3
 MAX_PATTERNS = 20_000
 PER_RANGE = 50_000
 FILL_TURNS = 3
+ROUGH = 0.005
 SEED = "mix-1"
 
 
@@ -151,20 +154,29 @@ def select(rows: DataFrame, amounts: DataFrame, seed: str = SEED, key: str = "do
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     last = placed.where(~(whole | none)).withColumn("__more", F.col("__before") + F.sum("size").over(w) <= F.col("__want"))
     state = stored(settled.unionByName(last), "mix-state")
+    gap, size, more = F.col("__gap"), F.col("size"), F.col("__more")
     # what is missing to the flow then goes to the documents that fit it best, one a turn
     for _ in range(FILL_TURNS):
-        gaps = stored(state.groupBy("pattern").agg(
-            (F.max("__want") - F.sum(F.when(F.col("__more"), F.col("size")).otherwise(0))).alias("__gap")), "mix-gaps")
-        best = stored(state.where(~F.col("__more") & (F.col("size") > 0)).join(gaps, "pattern")
-                      .where(F.col("size") <= F.col("__gap")).groupBy("pattern")
-                      .agg(F.max(F.struct("size", "__u")).alias("__best")), "mix-best")
-        fits = F.coalesce(~F.col("__more") & (F.struct("size", "__u") == F.col("__best")), F.lit(False))
-        state = stored(state.join(best, "pattern", "left").withColumn("__more", F.col("__more") | fits).drop("__best"),
-                       "mix-state")
+        state = _flip(state, ~more & (size <= gap), F.max)
+    # where much is still missing, a document too many goes in and others leave for it
+    state = _flip(state, ~more & (gap > ROUGH * F.col("__want")) & (size > gap), F.min)
+    for _ in range(FILL_TURNS):
+        state = _flip(state, more & (size <= -gap), F.max)
     out = state.withColumn("times", F.col("__full") + F.when(F.col("__more"), 1).otherwise(0))
     return out.drop("__u", "__range", "__sum", "__before", "__full", "__want", "__more")
 
 
+def _flip(state: DataFrame, eligible: Column, pick) -> DataFrame:
+    """Take or leave, in every pattern, the largest or smallest eligible document."""
+    gaps = stored(state.groupBy("pattern").agg(
+        (F.max("__want") - F.sum(F.when(F.col("__more"), F.col("size")).otherwise(0))).alias("__gap")), "mix-gaps")
+    best = stored(state.where("size > 0").join(gaps, "pattern").where(eligible).groupBy("pattern")
+                  .agg(pick(F.struct("__more", "size", "__u")).alias("__best")), "mix-best")
+    hit = F.coalesce(F.struct("__more", "size", "__u") == F.col("__best"), F.lit(False))
+    return stored(state.join(best, "pattern", "left").withColumn(
+        "__more", F.when(hit, ~F.col("__more")).otherwise(F.col("__more"))).drop("__best"), "mix-state")
+
+
 def _plan(patterns: list, weights=cycle_weights):
     """From (pattern, tokens) rows: sources' sizes, targets and patterns' amounts."""
     tokens = {frozenset(p): t for p, t in patterns}
