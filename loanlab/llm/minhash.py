@@ -9,12 +9,17 @@ class, so that copies are never paired. Per class:
   ``ROWS``; at a similarity of 0.75 a pair shares no band with probability
   (1 - 0.75^4)^32 = 5e-6;
 * within a band's bucket no list of all pairs is made. Each member is paired
-  with the bucket's hub; verified links give components; a bucket whose
-  members are already in one component needs nothing more. The others get
-  another hub (chosen by hash), and at the end, or when few are left, all
-  pairs of members in different components are verified. So every pair that
-  shares a bucket is either tested or already connected: no link is lost to a
-  cap;
+  with the bucket's hub (``HUB_TURNS`` hubs, chosen by hash); verified links
+  give components; a bucket whose members are in one component needs nothing
+  more. Members of the others meet through their rarest shingles: of sets with
+  a similarity of 0.75, one shares at least a shingle of the other's
+  n - ceil(0.75 n) + 1 first in any common order of all shingles, so taking
+  the rare ones first is exact, and a passage that many documents hold pairs
+  nobody. Only members of different components are paired, those of a
+  shingle's largest component not with each other, and only where parity bits
+  of both sets leave a link possible. So every pair that shares
+  a bucket is tested, already connected, or shown to be no link: nothing is
+  lost to a cap;
 * a pair is verified by its signature (an estimate under 0.5 cannot be 0.75
   but with probability 1e-8) and then on the full sets: 100 * intersection
   >= 75 * union;
@@ -37,7 +42,9 @@ from .components import connected_components
 SHINGLE = 5
 HASHES, ROWS = 128, 4
 MIN_ESTIMATE = 0.5
-MAX_TURNS = 4  # hub turns; after them all pairs that are open are tested
+HUB_TURNS = 1
+SLOTS = 1 << 18  # counters that tell frequent shingles from rare ones
+PARITY = 8  # 64-bit numbers of a set's parity bits
 SEED = 20240229
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -120,7 +127,6 @@ def _bands(batches):
 
 def _verify(batches):
     """Of candidate pairs with both texts, those whose sets are similar enough."""
-    import hashlib
     from collections import OrderedDict
 
     import numpy as np
@@ -131,9 +137,9 @@ def _verify(batches):
     def of(cls, text):
         s = sets.get(cls)
         if s is None:
-            s = shingle_hashes(text, memo)
-            if not len(s) or hashlib.blake2b(s.tobytes(), digest_size=16).digest() != cls:
-                return None  # another row with the same doc_id
+            s = _own_set(cls, text, memo)
+            if s is None:
+                return None
             sets[cls] = s
             if len(sets) > 64:
                 sets.popitem(last=False)
@@ -154,6 +160,89 @@ def _verify(batches):
         yield pa.RecordBatch.from_pydict({"u": pa.array(us, pa.binary()), "v": pa.array(vs, pa.binary())})
 
 
+def _own_set(cls, text, memo: dict):
+    """The set of a class, or None if the text is of another row with the same doc_id."""
+    import hashlib
+    s = shingle_hashes(text, memo)
+    return s if len(s) and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == cls else None
+
+
+def _slot_counts(batches):
+    """(slot, n): shingles of this task's sets, counted by a hash slot."""
+    import numpy as np
+    import pyarrow as pa
+    memo: dict = {}
+    counts = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for cls, text in zip(batch.column("cls").to_pylist(), batch.column("text").to_pylist()):
+            s = _own_set(cls, text, memo)
+            if s is not None:
+                counts += np.bincount((s % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+    slot = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_pydict({"slot": pa.array(slot, pa.int64()), "n": pa.array(counts[slot], pa.int64())})
+
+
+def _parity(s):
+    """Parity of the shingles in each of 64 * PARITY hash slots. Where two sets differ in a
+    bit, they differ in a shingle: so many shingles, at least, are in one of them only."""
+    import numpy as np
+    slot = ((s >> np.uint64(32)) % np.uint64(64 * PARITY)).astype(np.int64)
+    return np.packbits(np.bincount(slot, minlength=64 * PARITY).astype(np.uint8) & 1).view(np.int64)
+
+
+def _rarest(counts_b):
+    """(shingle, cls, root, n, bits) for the shingles of each set of which a similar set holds one."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        memo: dict = {}
+        for batch in batches:
+            found = []  # (first shingles, cls, root, n, bits) of a set
+            for c, r, text in zip(*[batch.column(k).to_pylist() for k in ("cls", "root", "text")]):
+                s = _own_set(c, text, memo)
+                if s is not None:
+                    order = np.lexsort((s, counts_b.value[(s % np.uint64(SLOTS)).astype(np.int64)]))
+                    found.append((s[order[:len(s) - (75 * len(s) + 99) // 100 + 1]], c, r, len(s), _parity(s)))
+            times = [len(f[0]) for f in found]
+
+            def spread(k, kind):
+                return pa.array([f[k] for f, t in zip(found, times) for _ in range(t)], kind)
+            bits = np.repeat(np.array([f[4] for f in found], np.int64).reshape(-1, PARITY), times, axis=0)
+            yield pa.RecordBatch.from_pydict({
+                "shingle": pa.array([x for f in found for x in f[0].view(np.int64).tolist()], pa.int64()),
+                "cls": spread(1, pa.binary()), "root": spread(2, pa.binary()), "n": spread(3, pa.int64()),
+                **{f"b{k}": pa.array(bits[:, k], pa.int64()) for k in range(PARITY)}})
+    return run
+
+
+def _rare_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (u, v) of ``members`` (cls, root) in different components that may be similar enough."""
+    import numpy as np
+    spark = members.sparkSession
+    own = stored(members.join(texts, "cls").select("cls", "root", "text"), "open-texts")
+    found = own.select("cls", "text").mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(
+        F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
+    counts = np.zeros(SLOTS, np.int64)
+    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    rare = stored(own.mapInArrow(_rarest(spark.sparkContext.broadcast(counts)),
+                                 "shingle long, cls binary, root binary, n long, "
+                                 + ", ".join(f"b{k} long" for k in range(PARITY))), "rare-shingles")
+    # of the members of a shingle, those outside its largest component meet all of another component
+    shared = stored(rare.groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle").agg(
+        F.count("*").alias("roots"), F.max(F.struct("n", "root"))["root"].alias("main"))
+        .where("roots > 1").select("shingle", "main"), "rare-shared")
+    placed = stored(rare.join(shared, "shingle"), "rare-members")
+    columns = ["cls", "root", "n", *[f"b{k}" for k in range(PARITY)]]
+    few = placed.where("root != main").select("shingle", "main", *[F.col(c).alias(f"{c}_u") for c in columns])
+    every = placed.select("shingle", *[F.col(c).alias(f"{c}_v") for c in columns])
+    # 100 * intersection >= 75 * union if and only if 7 * (shingles in one set only) <= n_u + n_v
+    differ = " + ".join(f"bit_count(b{k}_u ^ b{k}_v)" for k in range(PARITY))
+    return (few.join(every, (few["shingle"] == every["shingle"])
+                     & F.expr("root_u != root_v and (root_v = main or cls_u < cls_v)")
+                     & F.expr(f"7 * ({differ}) <= n_u + n_v"))
+            .select(F.col("cls_u").alias("u"), F.col("cls_v").alias("v")))
+
+
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     u = texts.select(F.col("cls").alias("u"), F.col("text").alias("text_u"), F.col("sig").alias("sig_u"))
     v = texts.select(F.col("cls").alias("v"), F.col("text").alias("text_v"), F.col("sig").alias("sig_v"))
@@ -189,38 +278,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                    .select("cls", "sig", "text"), "texts")
 
     links = roots = tested = None
-    turn = 0
-    while True:
+    for turn in range(HUB_TURNS + 1):
         placed = active.withColumn("root", F.col("cls")) if roots is None else active.join(
             roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         # a bucket is open while members of it are in different components; its hub changes every turn
         hub = F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("o"), "cls", "root")).alias("h")
-        open_ = stored(placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"),
-                                                    F.count("*").alias("n"), hub)
-                       .where("low != high")
-                       .select("bucket", "n", F.col("h.cls").alias("hub"), F.col("h.root").alias("hub_root")), "open")
-        n_open, all_pairs = open_.agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()
-        if not n_open:
+        open_ = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), hub).where(
+            "low != high").select("bucket", F.col("h.cls").alias("hub"), F.col("h.root").alias("hub_root"))
+        rows_open = stored(placed.join(stored(open_, "open"), "bucket"), "open-rows")
+        if rows_open.isEmpty():
             break
-        rows_open = placed.join(open_, "bucket")
-        last = all_pairs <= 2 * n_open or turn >= MAX_TURNS
-        if not last:
-            rows_open = stored(rows_open, "open-rows")
+        if turn < HUB_TURNS:
             cross = rows_open.where("root != hub_root").select(F.col("cls").alias("u"), F.col("hub").alias("v"))
             active = rows_open.where("cls != hub").select("bucket", "cls")  # the hub has met every other member
         else:
-            own = rows_open.select("bucket", F.col("cls").alias("u"), F.col("root").alias("root_u"))
-            other = rows_open.select("bucket", F.col("cls").alias("v"), F.col("root").alias("root_v"))
-            cross = own.join(other, "bucket").where("u < v and root_u != root_v")
+            cross = _rare_pairs(rows_open.select("cls", "root").distinct(), texts)
         pairs = _ordered(cross.select("u", "v"))
         pairs = stored(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.union(pairs)
         found = _links(pairs, texts)
         links = found if links is None else links.union(found)
         roots = connected_components(links)
-        if last:
-            break
-        turn += 1
     if roots is None:
         roots = spark.createDataFrame([], "node binary, root binary")
 

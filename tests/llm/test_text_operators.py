@@ -94,6 +94,35 @@ def test_near_duplicates_equal_brute_force(spark, odd, docs):
     assert got == brute_components([tuple(r) for r in both.collect()])
 
 
+def test_rare_shingles_lose_no_link(spark):
+    """Copies near the limit, some only linked through others, and a passage that unlike texts share."""
+    import random
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(70)]
+    rows = []
+    for i in range(150):  # one to three words changed: some pairs just above, most just below 0.75
+        words = list(base)
+        for k in rng.sample(range(70), rng.choice((1, 1, 2, 3))):
+            words[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(words)))
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows += [(1000 + i, passage + " " + " ".join(f"own{i}-{k}" for k in range(20 + i % 9))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = Counter(tuple(r) for r in minhash.near_duplicates(docs).collect())
+    assert got == brute_components(rows)
+    assert 1 < len({c for i, _, c, _ in got if i < 150}) < 150
+
+
+def test_parity_bits_never_exceed_the_difference():
+    import numpy as np
+    rng = np.random.default_rng(1)
+    for n in (1, 50, 5000):
+        a = rng.integers(0, 2 ** 63, n, dtype=np.uint64)
+        b = np.concatenate([a[n // 3:], rng.integers(0, 2 ** 63, n // 2, dtype=np.uint64)])
+        differ = sum(int(x).bit_count() for x in (minhash._parity(a) ^ minhash._parity(b)).view(np.uint64))
+        assert differ <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
 def test_near_duplicates_of_odd_rows(odd):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == len(ODD)
