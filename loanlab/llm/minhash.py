@@ -191,7 +191,8 @@ def _parity(s):
 
 
 def _rarest(counts_b):
-    """(shingle, cls, root, n, bits) for the shingles of each set of which a similar set holds one."""
+    """(shingle, cls, root, n, at, bits) for the shingles of each set of which a similar set holds
+    one; ``at`` is the shingle's place (from 1) in the set's order, rare ones first."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -211,6 +212,7 @@ def _rarest(counts_b):
             yield pa.RecordBatch.from_pydict({
                 "shingle": pa.array([x for f in found for x in f[0].view(np.int64).tolist()], pa.int64()),
                 "cls": spread(1, pa.binary()), "root": spread(2, pa.binary()), "n": spread(3, pa.int64()),
+                "at": pa.array([i + 1 for t in times for i in range(t)], pa.int64()),
                 **{f"b{k}": pa.array(bits[:, k], pa.int64()) for k in range(PARITY)}})
     return run
 
@@ -225,20 +227,23 @@ def _rare_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
     counts = np.zeros(SLOTS, np.int64)
     counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
     rare = stored(own.mapInArrow(_rarest(spark.sparkContext.broadcast(counts)),
-                                 "shingle long, cls binary, root binary, n long, "
+                                 "shingle long, cls binary, root binary, n long, at long, "
                                  + ", ".join(f"b{k} long" for k in range(PARITY))), "rare-shingles")
     # of the members of a shingle, those outside its largest component meet all of another component
     shared = stored(rare.groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle").agg(
         F.count("*").alias("roots"), F.max(F.struct("n", "root"))["root"].alias("main"))
         .where("roots > 1").select("shingle", "main"), "rare-shared")
     placed = stored(rare.join(shared, "shingle"), "rare-members")
-    columns = ["cls", "root", "n", *[f"b{k}" for k in range(PARITY)]]
+    columns = ["cls", "root", "n", "at", *[f"b{k}" for k in range(PARITY)]]
     few = placed.where("root != main").select("shingle", "main", *[F.col(c).alias(f"{c}_u") for c in columns])
     every = placed.select("shingle", *[F.col(c).alias(f"{c}_v") for c in columns])
     # 100 * intersection >= 75 * union if and only if 7 * (shingles in one set only) <= n_u + n_v
+    # similar sets share 3 / 7 of n_u + n_v shingles, so after the first one that they share
+    # (itself included) at least so many are left in either order
     differ = " + ".join(f"bit_count(b{k}_u ^ b{k}_v)" for k in range(PARITY))
     return (few.join(every, (few["shingle"] == every["shingle"])
                      & F.expr("root_u != root_v and (root_v = main or cls_u < cls_v)")
+                     & F.expr("7 * (least(n_u - at_u, n_v - at_v) + 1) >= 3 * (n_u + n_v)")
                      & F.expr(f"7 * ({differ}) <= n_u + n_v"))
             .select(F.col("cls_u").alias("u"), F.col("cls_v").alias("v")))
 
