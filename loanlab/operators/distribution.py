@@ -12,14 +12,17 @@ with a group holding a third of all rows that does not scale. Here:
 2. one algebraic pass counts per group the rows below each bracket and the
    rows inside it -- this *verifies* the bracket (widened and retried if a
    check ever fails, so the result is exact, never approximate);
-3. only the rows inside the brackets (about 4/accuracy of the group) are
-   ranked by a window, and the two neighbouring order statistics are
-   interpolated linearly (numpy's default definition).
-
-Groups of at most 4 x accuracy rows are ranked whole (a bounded amount per
-task); only larger groups use the sketch brackets. The verified bracket table
-(one row per group) is checkpointed into the shared checkpoint folder, so a
-recomputation after executor loss uses the same brackets.
+3. only the rows inside the brackets (about 4/accuracy of the group) go on.
+   They collapse to distinct values with counts first (combined before the
+   shuffle), so a value that most rows share is one row; a window over the
+   distinct values gives each its range of ranks, and the two neighbouring
+   order statistics are interpolated linearly (numpy's default definition).
+
+Groups of at most 4 x accuracy rows are ranked whole, once for all wanted
+probabilities (a bounded amount per task); only larger groups use the sketch
+brackets. The verified bracket table (one row per group) is checkpointed into
+the shared checkpoint folder, so a recomputation after executor loss uses the
+same brackets.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import ensure_checkpoint_dir
-from ._util import join_small
+from ._util import join_groups, join_small
 
 
 def _literal(v):
@@ -47,14 +50,16 @@ def exact_quantiles(df: DataFrame, value: str, probs: Iterable[float], by: Itera
                     accuracy: int = 100_000, max_rounds: int = 4) -> DataFrame:
     """Exact linear-interpolation quantiles of ``value`` per group.
 
-    Returns (by..., p, q). NULL values are ignored.
+    Returns (by..., p, q). NULL and NaN values are ignored; a NULL group is a
+    group like any other. Brackets that fail their check are widened, in the
+    last of ``max_rounds`` to the whole range, which cannot fail. A table
+    without values gives no rows.
     """
     by = list(by)
     ensure_checkpoint_dir(df.sparkSession)
     probs = [float(p) for p in probs]
     J = len(probs)
-    x = F.col(value).cast("double")
-    base = df.filter(x.isNotNull()).select(*by, x.alias("_x"))
+    base = _values(df, value, by)
 
     def attach(rows: DataFrame, groups: DataFrame) -> DataFrame:
         if by:
@@ -63,7 +68,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: Iterable[float], by: Itera
         return rows.select("*", *[_literal(g[c]).alias(c) for c in groups.columns])
 
     delta = 2.0 / accuracy
-    for _ in range(max_rounds):
+    for turn in range(max_rounds):
+        if turn == max_rounds - 1:
+            delta = 1.0
         lo_p = [max(0.0, p - delta) for p in probs]
         hi_p = [min(1.0, p + delta) for p in probs]
         # group size and both sketches in one aggregation, one row per group
@@ -79,7 +86,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Iterable[float], by: Itera
               for j in range(J)]
         hi = [F.when(small | F.lit(probs[j] + delta >= 1), F.lit(math.inf)).otherwise(F.col("_hi")[j])
               for j in range(J)]
-        grp = grp.select(*by, "_n", F.array(*[
+        grp = grp.select(*by, "_n", small.alias("_small"), F.array(*[
             F.struct(F.lit(j).alias("j"), F.lit(probs[j]).alias("p"), lo[j].alias("lo"), hi[j].alias("hi"),
                      F.floor(F.lit(probs[j]) * (F.col("_n") - 1)).cast("long").alias("k"))
             for j in range(J)]).alias("_br")).cache()
@@ -89,7 +96,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Iterable[float], by: Itera
             *[F.count_if(F.col("_x") < b[j]["lo"]).alias(f"_below{j}") for j in range(J)],
             *[F.count_if((F.col("_x") >= b[j]["lo"]) & (F.col("_x") <= b[j]["hi"])).alias(f"_in{j}")
               for j in range(J)])
-        g2 = (grp.join(chk, by, "inner") if by else grp.select("*", *[
+        g2 = (join_groups(grp, chk, by) if by else grp.select("*", *[
             _literal(v).alias(k) for k, v in chk.first().asDict().items()]))
         ok = F.lit(True)
         for j in range(J):
@@ -97,34 +104,52 @@ def exact_quantiles(df: DataFrame, value: str, probs: Iterable[float], by: Itera
                 F.col(f"_below{j}") + F.col(f"_in{j}") >= F.least(b[j]["k"] + 2, F.col("_n")))
         # frozen (reliable checkpoint, tiny): a recomputed sketch after an
         # executor loss could differ from the brackets verified here
-        g2 = g2.withColumn("_ok", ok).checkpoint()
+        g2 = g2.withColumn("_ok", ok | (F.col("_n") == 0)).checkpoint()
         grp.unpersist()
-        if g2.filter(~F.col("_ok")).limit(1).count() == 0:
+        if g2.filter(~F.col("_ok")).isEmpty():
             break
         delta *= 8
-    else:
-        raise RuntimeError("quantile brackets did not verify")
-
-    # one bracket array per group, with its verified "below" counts
-    g3 = g2.select(*by, "_n", F.array(*[
-        F.struct(b[j]["j"].alias("j"), b[j]["p"].alias("p"), b[j]["lo"].alias("lo"), b[j]["hi"].alias("hi"),
-                 b[j]["k"].alias("k"), F.col(f"_below{j}").alias("below")) for j in range(J)]).alias("_br"))
-    t = attach(base, g3)
-    # a row is emitted once per bracket that contains it (only the bracket rows)
-    inside = t.select(*by, "_x", "_n", F.explode(F.filter("_br", lambda e: (F.col("_x") >= e["lo"])
-                                                           & (F.col("_x") <= e["hi"]))).alias("_e"))
-    w = Window.partitionBy(*by, F.col("_e.j")).orderBy("_x")
-    ranked = inside.withColumn("_r", F.col("_e.below") + F.row_number().over(w) - 1)
-    k = F.col("_e.k")
-    picked = (ranked.filter((F.col("_r") == k) | (F.col("_r") == k + 1))
-              .groupBy(*by, F.col("_e.j").alias("_j"), F.col("_e.p").alias("p"), "_n", k.alias("_k"))
-              .agg(F.max(F.when(F.col("_r") == F.col("_e.k"), F.col("_x"))).alias("_a"),
-                   F.max(F.when(F.col("_r") == F.col("_e.k") + 1, F.col("_x"))).alias("_b")))
+
+    # the brackets of a group with their verified "below" counts and wanted ranks;
+    # a group that is ranked whole has one bracket for all of its ranks
+    b = F.col("_br")
+
+    def wanted(j):
+        return F.struct(b[j]["p"].alias("p"), b[j]["k"].alias("k"))
+
+    whole = F.array(F.struct(F.lit(0).alias("j"), F.lit(-math.inf).alias("lo"), F.lit(math.inf).alias("hi"),
+                             F.lit(0).cast("long").alias("below"),
+                             F.array(*[wanted(j) for j in range(J)]).alias("ranks")))
+    cut = F.array(*[F.struct(b[j]["j"].alias("j"), b[j]["lo"].alias("lo"), b[j]["hi"].alias("hi"),
+                             F.col(f"_below{j}").alias("below"), F.array(wanted(j)).alias("ranks"))
+                    for j in range(J)])
+    g3 = g2.select(*by, "_n", F.when(F.col("_small"), whole).otherwise(cut).alias("_br"))
+
+    def holds(e):
+        return (F.col("_x") >= e["lo"]) & (F.col("_x") <= e["hi"])
+
+    # distinct values with counts, so that ties are one row, then the brackets that hold them
+    values = attach(base, g3).filter(F.exists("_br", holds)).groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_m"))
+    inside = attach(values, g3).select(*by, "_x", "_m", "_n", F.explode(F.filter("_br", holds)).alias("_e"))
+    w = Window.partitionBy(*by, F.col("_e.j")).orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = (inside.withColumn("_last", F.col("_e.below") + F.sum("_m").over(w) - 1)
+              .withColumn("_first", F.col("_last") - F.col("_m") + 1))
+    near = F.filter("_e.ranks", lambda r: (r["k"] + 1 >= F.col("_first")) & (r["k"] <= F.col("_last")))
+    near = ranked.select(*by, "_x", "_n", "_first", "_last", F.explode(near).alias("_r"))
+    picked = (near.groupBy(*by, F.col("_r.p").alias("p"), "_n", F.col("_r.k").alias("_k"))
+              .agg(F.max(F.when(F.col("_r.k").between(F.col("_first"), F.col("_last")), F.col("_x"))).alias("_a"),
+                   F.max(F.when((F.col("_r.k") + 1).between(F.col("_first"), F.col("_last")), F.col("_x"))).alias("_b")))
     frac = F.col("p") * (F.col("_n") - 1) - F.col("_k")
     q = F.col("_a") + frac * (F.coalesce(F.col("_b"), F.col("_a")) - F.col("_a"))
     return picked.select(*by, "p", q.alias("q"))
 
 
+def _values(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """The group keys and the value as ``_x``, without NULL and NaN."""
+    x = F.col(value).cast("double")
+    return df.filter(x.isNotNull() & ~F.isnan(x)).select(*by, x.alias("_x"))
+
+
 def box_stats(df: DataFrame, value: str, by: Iterable[str] = (), whis: float = 1.5,
               accuracy: int = 100_000) -> DataFrame:
     """PLT-3: per group the quartiles, the whisker ends (most extreme values
@@ -137,23 +162,22 @@ def box_stats(df: DataFrame, value: str, by: Iterable[str] = (), whis: float = 1
         F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     wide = wide.withColumn("_wlo", F.col("q1") - F.lit(whis) * iqr).withColumn(
-        "_whi", F.col("q3") + F.lit(whis) * iqr)
-    x = F.col(value).cast("double")
-    rows = df.filter(x.isNotNull()).select(*by, x.alias("_x"))
+        "_whi", F.col("q3") + F.lit(whis) * iqr).checkpoint()  # one row per group, read twice
+    rows = _values(df, value, by)
     if by:
         t = join_small(rows, wide.select(*by, "_wlo", "_whi"), by, "inner")
     else:  # the whole table: two scalars to the driver, then literals
         lim = wide.first()
-        t = rows.withColumn("_wlo", F.lit(lim["_wlo"])).withColumn("_whi", F.lit(lim["_whi"]))
+        t = rows.withColumn("_wlo", F.lit(lim["_wlo"]).cast("double")).withColumn(
+            "_whi", F.lit(lim["_whi"]).cast("double"))
     wh = t.groupBy(*by).agg(
         F.min(F.when(F.col("_x") >= F.col("_wlo"), F.col("_x"))).alias("whisker_lo"),
         F.max(F.when(F.col("_x") <= F.col("_whi"), F.col("_x"))).alias("whisker_hi"),
         F.count_if((F.col("_x") < F.col("_wlo")) | (F.col("_x") > F.col("_whi"))).alias("n_outliers"),
         F.count(F.lit(1)).alias("n"))
     if by:
-        return wide.drop("_wlo", "_whi").join(wh, by, "inner")
-    q = wide.first()
-    return wh.select(*[F.lit(q[c]).alias(c) for c in ("q1", "median", "q3")], "*")
+        return join_groups(wide.drop("_wlo", "_whi"), wh, by)
+    return wh.select(*[F.lit(lim[c]).cast("double").alias(c) for c in ("q1", "median", "q3")], "*")
 
 
 def kde(df: DataFrame, value: str, grid_points: int = 100, bins: int = 1024,

@@ -663,6 +663,17 @@ def q_exact_quantiles(spark, sf):
     return rnd(D.exact_quantiles(loans(spark, sf), "loan_amnt", _DECILES, accuracy=200))
 
 
+@query("exact_quantiles_tied", oracle(" UNION ALL ".join(
+    f"SELECT '{c}' AS col, round(CAST({p!r} AS DOUBLE), 6) AS p, round(quantile_cont(CAST({c} AS DOUBLE), {p!r}), 6) AS q "
+    f"FROM loans WHERE {c} IS NOT NULL" for c in ("recoveries", "open_acc") for p in _DECILES)))
+def q_exact_quantiles_tied(spark, sf):
+    """Columns of which most rows hold one value, or few distinct ones."""
+    df = loans(spark, sf)
+    parts = [D.exact_quantiles(df, c, _DECILES, accuracy=200).select(F.lit(c).alias("col"), "p", "q")
+             for c in ("recoveries", "open_acc")]
+    return rnd(parts[0].unionByName(parts[1]))
+
+
 @query("box_stats", oracle(
     "SELECT w.loan_status, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, "
     "round(min(loan_amnt) FILTER (WHERE loan_amnt >= wlo), 6) AS whisker_lo, "

@@ -84,3 +84,32 @@ def test_whole_table_quantiles_and_box(spark):
         assert got[p] == pytest.approx(float(np.percentile(xs, 100 * p)), abs=1e-12)
     b = D.box_stats(df, "x").first()
     assert b.median == pytest.approx(float(np.median(xs)), abs=1e-12) and b.n == 500
+
+
+@pytest.mark.parametrize("accuracy", [20, 100_000])
+def test_quantiles_under_ties_nan_and_null_groups(spark, accuracy):
+    rows = [(None if i % 4 == 0 else "g", 0.0 if i % 20 else float(i)) for i in range(4000)]
+    df = spark.createDataFrame(rows + [("g", float("nan")), ("g", None)], "g string, x double").repartition(5)
+    ps = [0.0, 0.1, 0.5, 0.94, 0.95, 0.99, 1.0]
+    got = {(r.g, r.p): r.q for r in D.exact_quantiles(df, "x", ps, ["g"], accuracy=accuracy).collect()}
+    assert len(got) == 2 * len(ps)
+    for g in (None, "g"):
+        v = np.array([x for k, x in rows if k == g])
+        for p in ps:
+            assert got[(g, p)] == pytest.approx(float(np.percentile(v, 100 * p)), rel=1e-12, abs=1e-12)
+    assert {r.g: r.n for r in D.box_stats(df, "x", ["g"], accuracy=accuracy).collect()} == {None: 1000, "g": 3000}
+
+
+def test_brackets_that_fail_their_check_widen_to_the_whole_range(spark):
+    xs = [float(i * 37 % 1009) for i in range(1000)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    for rounds in (1, 2):
+        got = D.exact_quantiles(df, "x", [0.5], accuracy=1, max_rounds=rounds).first()
+        assert got.q == pytest.approx(float(np.percentile(xs, 50)))
+
+
+def test_quantiles_and_box_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "g string, x double")
+    assert D.exact_quantiles(df, "x", [0.5]).count() == 0
+    assert D.exact_quantiles(df, "x", [0.5], ["g"]).count() == 0
+    assert D.box_stats(df, "x").first().n == 0
