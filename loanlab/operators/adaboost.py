@@ -18,12 +18,14 @@ import math
 
 from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasMaxIter, HasPredictionCol, HasSeed, Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import ensure_checkpoint_dir
+from ._persist import SavedState
 
 
 class _AdaParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasMaxIter, HasSeed):
@@ -39,7 +41,7 @@ class _AdaParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasMaxIter, HasS
                          maxIter=50, learningRate=1.0, checkpointInterval=5, maxBins=64, seed=123)
 
 
-class AdaBoost(Estimator, _AdaParams):
+class AdaBoost(Estimator, _AdaParams, DefaultParamsReadable, DefaultParamsWritable):
     @keyword_only
     def __init__(self, featuresCol="features", labelCol="label", predictionCol="prediction",
                  maxIter=50, learningRate=1.0, checkpointInterval=5, maxBins=64, seed=123):
@@ -101,13 +103,24 @@ def _scale_by(a: float):
     return lambda v: v * w
 
 
-class AdaBoostModel(Model, _AdaParams):
+class AdaBoostModel(Model, _AdaParams, SavedState):
     def __init__(self, stumps=None, alphas=None, num_classes=2):
         super().__init__()
         self.stumps = stumps or []
         self.alphas = alphas or []
         self.num_classes = num_classes
 
+    def _state(self) -> dict:
+        return {"alphas": [float(a) for a in self.alphas], "num_classes": self.num_classes}
+
+    def _parts(self) -> list:
+        return self.stumps
+
+    @classmethod
+    def _from_state(cls, state: dict, path: str) -> AdaBoostModel:
+        stumps = [DecisionTreeClassificationModel.load(f"{path}/part-{i}") for i in range(len(state["alphas"]))]
+        return cls(stumps=stumps, **state)
+
     def _transform(self, df: DataFrame) -> DataFrame:
         feat = self.getFeaturesCol()
         out = df

@@ -25,8 +25,11 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol, Param, Params, TypeConverters
 from pyspark.ml.stat import Summarizer
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
+from ._persist import SavedState
+
 
 class _LDAParams(HasFeaturesCol, HasLabelCol, HasPredictionCol):
     probabilityCol = Param(Params._dummy(), "probabilityCol", "class probabilities column",
@@ -58,7 +61,7 @@ def _moments(batches, p, mean, scale, feat, label):
         yield pd.DataFrame({"cls": [float(k)], "n": [int(n)], "s": [s.tolist()], "g": [g.ravel().tolist()]})
 
 
-class DiscriminantAnalysis(Estimator, _LDAParams):
+class DiscriminantAnalysis(Estimator, _LDAParams, DefaultParamsReadable, DefaultParamsWritable):
     """Linear discriminant analysis (shared covariance), any number of classes."""
 
     @keyword_only
@@ -77,25 +80,18 @@ class DiscriminantAnalysis(Estimator, _LDAParams):
         arr = df.select(vector_to_array(F.col(feat)).alias("x"), F.col(label).cast("double").alias("y"))
         parts = arr.mapInPandas(lambda it: _moments(it, p, mean, scale, "x", "y"),
                                 "cls double, n long, s array<double>, g array<double>")
-        # sum per class over partitions: sums of exploded slots (partial aggregation)
-        long = parts.select("cls", "n", F.posexplode(F.concat(F.col("s"), F.col("g"))).alias("i", "v"))
-        tot = long.groupBy("cls", "i").agg(F.sum("v").alias("v"))
-        ns = parts.groupBy("cls").agg(F.sum("n").alias("n")).collect()
-        vals = tot.collect()  # bounded: classes x (p + p^2)
-        classes = sorted(r["cls"] for r in ns)
+        # sum per class over partitions: sums of exploded slots (partial aggregation);
+        # slot 0 is the row count, then p sums and the p x p Gram matrix
+        slots = F.concat(F.array(F.col("n").cast("double")), F.col("s"), F.col("g"))
+        vals = (parts.select("cls", F.posexplode(slots).alias("i", "v"))
+                .groupBy("cls", "i").agg(F.sum("v").alias("v")).collect())  # bounded: classes x (1 + p + p^2)
+        classes = sorted({r["cls"] for r in vals})
         cidx = {c: j for j, c in enumerate(classes)}
         K = len(classes)
-        counts = np.zeros(K)
-        for r in ns:
-            counts[cidx[r["cls"]]] = r["n"]
-        S = np.zeros((K, p))
-        G = np.zeros((K, p, p))
+        M = np.zeros((K, 1 + p + p * p))
         for r in vals:
-            j, i = cidx[r["cls"]], r["i"]
-            if i < p:
-                S[j, i] = r["v"]
-            else:
-                G[j].flat[i - p] = r["v"]
+            M[cidx[r["cls"]], r["i"]] = r["v"]
+        counts, S, G = M[:, 0], M[:, 1:p + 1], M[:, p + 1:].reshape(K, p, p)
         n = counts.sum()
         mu = S / counts[:, None]
         Sw = sum(G[j] - counts[j] * np.outer(mu[j], mu[j]) for j in range(K))
@@ -120,7 +116,7 @@ class DiscriminantAnalysis(Estimator, _LDAParams):
         return self._copyValues(m)
 
 
-class DiscriminantAnalysisModel(Model, _LDAParams):
+class DiscriminantAnalysisModel(Model, _LDAParams, SavedState):
     def __init__(self, classes=None, coef=None, intercept=None, explained_variance_ratio=None, means=None):
         super().__init__()
         self.classes = classes or []
@@ -129,6 +125,13 @@ class DiscriminantAnalysisModel(Model, _LDAParams):
         self.explained_variance_ratio = explained_variance_ratio or []
         self.means = means or []
 
+    def _state(self) -> dict:
+        return {k: getattr(self, k) for k in ("classes", "coef", "intercept", "explained_variance_ratio", "means")}
+
+    @classmethod
+    def _from_state(cls, state: dict, path: str) -> DiscriminantAnalysisModel:
+        return cls(**state)
+
     def binary_coefficients(self):
         """Two-class form: w = coef[1] - coef[0], b = intercept[1] - intercept[0]."""
         w = (np.array(self.coef[1]) - np.array(self.coef[0])).tolist()

@@ -250,6 +250,28 @@ def q_save_load_model(spark, sf):
     return a.join(b, "id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") == F.col("b")).alias("n_equal"))
 
 
+@query("save_load_custom_models")
+def q_save_load_custom_models(spark, sf):
+    """The learners written here, saved and read back alone and inside a pipeline."""
+    from pyspark.ml import Pipeline, PipelineModel
+    p = _prep(spark, sf)
+    out = None
+    for name, learner in (("adaboost", AdaBoost(maxIter=3)), ("discriminant", DiscriminantAnalysis())):
+        model = Pipeline(stages=[learner]).fit(p.train)
+        path = scratch_path(spark, f"model-{uuid.uuid4().hex}")
+        model_io.save_model(model, path)
+        model_io.save_model(model.stages[0], f"{path}-alone")
+        back = model_io.load_model(path, PipelineModel)
+        alone = model_io.load_model(f"{path}-alone", type(model.stages[0]))
+        scored = [m.transform(p.test).select("id", F.struct("probability", "prediction").alias(c))
+                  for m, c in ((model, "a"), (back, "b"), (alone, "c"))]
+        row = scored[0].join(scored[1], "id").join(scored[2], "id").agg(
+            F.lit(name).alias("model"), F.count(F.lit(1)).alias("n"),
+            F.count_if((F.col("a") == F.col("b")) & (F.col("a") == F.col("c"))).alias("n_equal"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("weighted_binary")
 def q_weighted_binary(spark, sf):
     """FEA-10 in a model: an imbalanced label (toxic documents) with

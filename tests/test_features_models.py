@@ -140,3 +140,25 @@ def test_auc_signal_vs_shuffled_labels(spark):
     m2 = M.random_forest(10, max_depth=4).fit(shuf.filter(~F.col("is_test")))
     auc2 = V.auc(M.score(m2, shuf.filter(F.col("is_test")))).first().auc
     assert abs(auc2 - 0.5) < 0.12
+
+
+@pytest.mark.parametrize("kind", ["adaboost", "discriminant"])
+def test_custom_models_save_and_load(spark, tmp_path, kind):
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.linalg import Vectors
+
+    from loanlab.sources import model_io
+    rows = [(Vectors.dense([(i * 37 % 100) / 100.0, (i * 61 % 90) / 90.0]), float((i * 37 % 100) + (i * 61 % 90) > 95))
+            for i in range(200)]
+    df = spark.createDataFrame(rows, ["f", "label"])
+    learner = AdaBoost(maxIter=3, featuresCol="f") if kind == "adaboost" else DiscriminantAnalysis(featuresCol="f")
+    model = Pipeline(stages=[learner]).fit(df)
+    expected = model.transform(df).select("probability", "prediction").collect()
+    model_io.save_model(model, str(tmp_path / "pipe"))
+    model_io.save_model(model.stages[0], str(tmp_path / "alone"))
+    model_io.save_model(learner, str(tmp_path / "learner"))
+    back = model_io.load_model(str(tmp_path / "pipe"), PipelineModel)
+    alone = model_io.load_model(str(tmp_path / "alone"), type(model.stages[0]))
+    for m in (back, alone):
+        assert m.transform(df).select("probability", "prediction").collect() == expected
+    assert model_io.load_model(str(tmp_path / "learner"), type(learner)).getFeaturesCol() == "f"
