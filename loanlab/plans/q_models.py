@@ -19,6 +19,10 @@ from ..sources.fixture import FIXTURE_FEATURES, FIXTURE_STATUSES, table
 from .registry import loans, query, rnd
 from .workflows import prepare
 
+# The reference's sizes: 50 trees (100 in the grid, 20 in the learning curve), none with a
+# depth limit; 30 is the deepest that Spark grows.
+TREES, GRID_TREES, CURVE_TREES, DEPTH = 50, 100, 20, 30
+
 _PREP: dict = {}
 
 
@@ -45,7 +49,7 @@ def q_random_forest(spark, sf):
 @query("predict_proba")
 def q_predict_proba(spark, sf):
     p = _prep(spark, sf)
-    m = M.random_forest(20, max_depth=10).fit(p.train)
+    m = M.random_forest(TREES, max_depth=DEPTH).fit(p.train)
     out = m.transform(p.test)
     arr = vector_to_array("probability")
     return rnd(out.select("id", arr[0].alias("p0"), arr[1].alias("p1"), F.col("prediction").cast("int")))
@@ -54,32 +58,32 @@ def q_predict_proba(spark, sf):
 @query("feature_importance")
 def q_feature_importance(spark, sf):
     p = _prep(spark, sf)
-    m = M.random_forest(20, max_depth=10).fit(p.train)
+    m = M.random_forest(TREES, max_depth=DEPTH).fit(p.train)
     return rnd(M.feature_importance(m, p.names))
 
 
 @query("top_k_importance")
 def q_top_k_importance(spark, sf):
     p = _prep(spark, sf)
-    m = M.random_forest(20, max_depth=10).fit(p.train)
+    m = M.random_forest(TREES, max_depth=DEPTH).fit(p.train)
     return rnd(M.top_k_importance(M.feature_importance(m, p.names), 10))
 
 
 @query("select_top_importance")
 def q_select_top_importance(spark, sf):
     p = _prep(spark, sf)
-    m = M.random_forest(20, max_depth=10).fit(p.train)
+    m = M.random_forest(TREES, max_depth=DEPTH).fit(p.train)
     idx = M.top_indices(M.feature_importance(m, p.names), p.names, 20)
     tr = M.slice_features(p.train, idx)
     te = M.slice_features(p.test, idx)
-    m2 = M.random_forest(20, max_depth=10, features="features_k").fit(tr)
+    m2 = M.random_forest(TREES, max_depth=DEPTH, features="features_k").fit(tr)
     return rnd(M.score(m2, te))
 
 
 @query("select_ranked_features")
 def q_select_ranked_features(spark, sf):
     p = _prep(spark, sf)
-    m = M.random_forest(20, max_depth=10).fit(p.train)  # ranked by importance, over unchanged features
+    m = M.random_forest(TREES, max_depth=DEPTH).fit(p.train)  # ranked by importance, over unchanged features
     idx = sorted(M.top_indices(M.feature_importance(m, p.names), p.names, 5))
     out = M.slice_features(p.test, idx)
     slot = F.array(*[F.lit(p.names[i]) for i in idx])
@@ -93,7 +97,7 @@ def q_random_forest_multiclass(spark, sf):
     tr, im = FE.make_multiclass(p.train)
     te = im.transform(p.test)
     tr = tr.withColumn("weight", F.lit(4.0) * F.col("label") + F.lit(1.0))  # defaults weigh 5
-    m = M.random_forest(20, max_depth=10, label="label_idx", weight="weight").fit(tr)
+    m = M.random_forest(TREES, max_depth=DEPTH, label="label_idx", weight="weight").fit(tr)
     pred = FE.decode_labels(m.transform(te), im, "prediction", "pred_class")
     pred = V.collapse_multiclass(pred, "pred_class", FIXTURE_STATUSES.default, "pred_default")
     return pred.select("id", "loan_status", "pred_class", F.col("label").alias("true_default"), "pred_default")
@@ -191,34 +195,34 @@ def q_gradient_boosted_trees(spark, sf):
 @query("cross_val_predict")
 def q_cross_val_predict(spark, sf):
     p = _prep(spark, sf, "application")
-    return rnd(VA.cross_val_predict(M.random_forest(20, max_depth=10), p.train))
+    return rnd(VA.cross_val_predict(M.random_forest(TREES, max_depth=DEPTH), p.train))
 
 
 @query("cross_val_score")
 def q_cross_val_score(spark, sf):
     p = _prep(spark, sf, "application")
-    oof = VA.cross_val_predict(M.random_forest(20, max_depth=10), p.train)
+    oof = VA.cross_val_predict(M.random_forest(TREES, max_depth=DEPTH), p.train)
     return rnd(VA.cross_val_score(oof))
 
 
 @query("grid_search")
 def q_grid_search(spark, sf):
     p = _prep(spark, sf, "application")
-    rf = M.random_forest(10, max_depth=5)
-    _, table_ = VA.grid_search(rf, {"numTrees": [10, 20], "maxDepth": [4, 8]}, p.train)
+    rf = M.random_forest(GRID_TREES, max_depth=DEPTH)
+    _, table_ = VA.grid_search(rf, {"numTrees": [TREES, GRID_TREES], "maxDepth": [12, DEPTH]}, p.train)
     return rnd(table_)
 
 
 @query("learning_curve")
 def q_learning_curve(spark, sf):
     p = _prep(spark, sf, "application")
-    return rnd(VA.learning_curve(M.random_forest(10, max_depth=8), p.train))
+    return rnd(VA.learning_curve(M.random_forest(CURVE_TREES, max_depth=DEPTH), p.train))
 
 
 @query("learning_curve_means")
 def q_learning_curve_means(spark, sf):
     p = _prep(spark, sf, "application")
-    curve = VA.learning_curve(M.random_forest(10, max_depth=8), p.train)
+    curve = VA.learning_curve(M.random_forest(CURVE_TREES, max_depth=DEPTH), p.train)
     null_acc = V.null_classifier(p.train).first()["accuracy"]
     return rnd(VA.learning_curve_means(curve, null_acc))
 
@@ -226,14 +230,14 @@ def q_learning_curve_means(spark, sf):
 @query("oob_score")
 def q_oob_score(spark, sf):
     p = _prep(spark, sf, "application")
-    trees = BG.fit_bagged_trees(p.train, num_trees=10, max_depth=10)
+    trees = BG.fit_bagged_trees(p.train, num_trees=TREES, max_depth=DEPTH)
     return rnd(BG.oob_score(p.train, trees))
 
 
 @query("bagged_forest")
 def q_bagged_forest(spark, sf):
     p = _prep(spark, sf, "application")
-    trees = BG.fit_bagged_trees(p.train, num_trees=10, max_depth=10)
+    trees = BG.fit_bagged_trees(p.train, num_trees=TREES, max_depth=DEPTH)
     return rnd(BG.bagged_predict(p.test, trees).select("id", "label", "prediction", "score"))
 
 
