@@ -180,16 +180,26 @@ def box_stats(df: DataFrame, value: str, by: Iterable[str] = (), whis: float = 1
     return wh.select(*[F.lit(lim[c]).cast("double").alias(c) for c in ("q1", "median", "q3")], "*")
 
 
-def kde(df: DataFrame, value: str, grid_points: int = 100, bins: int = 1024,
+FINE = 1024  # bins of a bandwidth
+REACH = 9.0  # bandwidths
+
+
+def kde(df: DataFrame, value: str, grid_points: int = 100, bins: int | None = None,
         cut: float = 3.0) -> DataFrame:
     """PLT-2: Gaussian kernel density on an even grid, from a fine histogram.
 
-    Bandwidth by Scott's rule (sample std x n^(-1/5)); the grid spans
-    [min - cut*h, max + cut*h]. Each histogram bin (``bins`` rows at most)
-    adds its mass to every grid point, so the result has ``grid_points`` rows
-    whatever the outliers; the work is bounded by bins x grid_points, never
-    rows x grid. A column without spread (one row, or one value) has no
-    density: its grid is the one point, with density NULL.
+    Bandwidth h by Scott's rule (sample std x n^(-1/5)); the grid spans
+    [min - cut*h, max + cut*h]. A bin is h / ``FINE`` wide and adds its rows by
+    their count, mean and variance, so that the sum differs from the exact one
+    by less than 1e-9 of it however skewed the column is. With ``bins`` the
+    histogram has so many equal bins instead, each at its centre; on a skewed
+    column such bins are wider than the kernel and the result is not the density.
+    Empty bins are absent, and a bin adds its mass to the grid points within
+    ``REACH`` h (beyond, a row adds less than 1e-17 of its peak); the others
+    are 0. Far outliers make bins many but grid points in reach few, so the
+    work stays below about FINE x (max - min) / h pairs. A column without
+    spread (one row, or one value) has no density: its grid is the one point,
+    with density NULL.
     """
     x = F.col(value).cast("double")
     base = df.filter(x.isNotNull()).select(x.alias("_x"))
@@ -202,17 +212,24 @@ def kde(df: DataFrame, value: str, grid_points: int = 100, bins: int = 1024,
         return df.sparkSession.createDataFrame([(0, st["mn"], None)], "i int, x double, density double")
     n, mn, mx, sd = (F.lit(st[c]) for c in ("n", "mn", "mx", "sd"))
     h = sd * F.pow(n.cast("double"), F.lit(-0.2))
-    bw = (mx - mn) / F.lit(float(bins))
-    b = F.when(bw > 0, F.least(F.floor((F.col("_x") - mn) / bw), F.lit(bins - 1))).otherwise(F.lit(0))
-    hist = base.groupBy(b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("m"))
-    center = mn + (F.col("bin") + F.lit(0.5)) * bw
+    bw = h / F.lit(float(FINE)) if bins is None else (mx - mn) / F.lit(float(bins))
+    off = F.col("_x") - mn
+    at = F.floor(off / bw) if bins is None else F.least(F.floor(off / bw), F.lit(bins - 1))
+    hist = base.groupBy(at.alias("bin")).agg(
+        F.count(F.lit(1)).alias("m"), F.avg(off).alias("_off"), F.var_pop(off).alias("_v"))
+    if bins is not None:
+        hist = hist.select("m", ((F.col("bin") + F.lit(0.5)) * bw).alias("_off"), F.lit(0.0).alias("_v"))
     g0 = mn - F.lit(cut) * h
     step = ((mx + F.lit(cut) * h) - g0) / F.lit(float(grid_points - 1))
-    pairs = (hist.withColumn("_c", center)
-             .select("m", "_c", F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("i")))
+    center = mn + F.col("_off")
+    low = F.greatest(F.ceil((center - F.lit(REACH) * h - g0) / step), F.lit(0))
+    high = F.least(F.floor((center + F.lit(REACH) * h - g0) / step), F.lit(grid_points - 1))
+    near = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+    pairs = hist.select("m", "_v", center.alias("_c"), F.explode(near).alias("i"))
     gx = g0 + F.col("i") * step
     z = (gx - F.col("_c")) / h
-    contrib = F.col("m") * F.exp(F.lit(-0.5) * z * z)
-    dens = pairs.groupBy("i").agg(F.sum(contrib).alias("_s"))
+    contrib = F.col("m") * F.exp(F.lit(-0.5) * z * z) * (F.lit(1.0) + F.col("_v") / (F.lit(2.0) * h * h) * (z * z - 1))
+    grid = df.sparkSession.range(grid_points).select(F.col("id").cast("int").alias("i"), F.lit(0.0).alias("_s"))
+    dens = pairs.select(F.col("i").cast("int").alias("i"), contrib.alias("_s")).unionByName(grid).groupBy("i").agg(F.sum("_s").alias("_s"))
     norm = n.cast("double") * h * F.lit(math.sqrt(2 * math.pi))
     return dens.select("i", gx.alias("x"), (F.col("_s") / norm).alias("density"))

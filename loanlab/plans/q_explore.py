@@ -705,6 +705,21 @@ def q_kde(spark, sf):
     return rnd(D.kde(loans(spark, sf), "dti", grid_points=100, bins=1024))
 
 
+_KDE_EXACT = (", st AS (SELECT count(*) AS n, min(dti) AS mn, max(dti) AS mx, stddev_samp(dti) AS sd FROM loans WHERE dti IS NOT NULL), "
+              "p AS (SELECT n, mn, mx, sd * pow(CAST(n AS DOUBLE), -0.2) AS h FROM st), "
+              "g AS (SELECT i, mn - 3 * h + i * (((mx + 3 * h) - (mn - 3 * h)) / CAST(99 AS DOUBLE)) AS x "
+              "FROM p, (SELECT unnest(generate_series(0, 99)) AS i))")
+
+
+@query("kde_exact", oracle(
+    "SELECT CAST(i AS INTEGER) AS i, round(x, 6) AS x, "
+    "round(sum(exp(-0.5 * ((x - dti) / h) * ((x - dti) / h))) / (n * h * sqrt(2 * pi())), 6) AS density "
+    "FROM loans, g, p WHERE dti IS NOT NULL GROUP BY i, x, n, h", _KDE_EXACT))
+def q_kde_exact(spark, sf):
+    """The density without a number of bins; the oracle sums over all rows."""
+    return rnd(D.kde(loans(spark, sf), "dti", grid_points=100))
+
+
 @query("box_stats_by_default", oracle(
     "SELECT w.is_default, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, "
     "round(min(loan_amnt) FILTER (WHERE loan_amnt >= wlo), 6) AS whisker_lo, "

@@ -38,6 +38,18 @@ def test_density_has_every_grid_point(spark):
     assert [tuple(r) for r in D.kde(flat, "v").collect()] == [(0, 2.0, None)]
 
 
+@pytest.mark.parametrize("far", [None, 50.0, 1e6])
+def test_density_is_the_exact_sum_however_skewed(spark, far):
+    import numpy as np
+    v = np.append(np.random.default_rng(5).uniform(size=30_000), [] if far is None else [far])
+    rows = sorted(D.kde(spark.createDataFrame([(float(x),) for x in v], "v double"), "v").collect())
+    h = v.std(ddof=1) * len(v) ** -0.2
+    x = np.linspace(v.min() - 3 * h, v.max() + 3 * h, 100)
+    exact = np.array([np.exp(-0.5 * ((g - v) / h) ** 2).sum() for g in x]) / (len(v) * h * np.sqrt(2 * np.pi))
+    assert np.allclose([r.x for r in rows], x, rtol=1e-9, atol=1e-9 * h)
+    assert np.allclose([r.density for r in rows], exact, rtol=1e-8, atol=1e-13 * exact.max())
+
+
 def test_bincount_refuses_negative_values(spark):
     with pytest.raises(Exception, match="negative"):
         E.bincount(spark.createDataFrame([(-1,), (1,)], "v int"), "v").collect()
