@@ -12,9 +12,12 @@ documents that fit the remainder best (``FILL_TURNS`` of them at most); where
 more than ``ROUGH`` of it is missing then, a document too many is taken and
 others are left for it.
 
-Scale: texts are only counted; counts go to the shared folder. The driver
-sees one row per pattern (sets of the named sources of the mix) and refuses more
-than ``MAX_PATTERNS``, for which the flow would need a solver. The seeded
+Scale: texts are only counted; counts go to the shared folder. Weights and
+targets are worked out on tables with a row per source, of any number; the
+driver sees a few sums. Sources that share no document with another need no
+search: their amount is the rounded target. Sources that share documents,
+directly or through others, are a component, and each is routed in one task:
+only the time for the largest component bounds what can be mixed. The seeded
 order needs no global sort: documents fall into hash ranges, sizes are summed
 per (pattern, range), and only the one range in which a pattern's flow ends is
 ranked document by document; the number of ranges grows with the documents.
@@ -32,9 +35,9 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import WORD, stored, whole_text
+from .components import connected_components
 
 MAX_REPEATS = 3
-MAX_PATTERNS = 20_000
 PER_RANGE = 50_000
 FILL_TURNS = 3
 ROUGH = 0.005
@@ -157,80 +160,132 @@ def select(rows: DataFrame, amounts: DataFrame, seed: str = SEED, key: str = "do
     gap, size, more = F.col("__gap"), F.col("size"), F.col("__more")
     # what is missing to the flow then goes to the documents that fit it best, one a turn
     for _ in range(FILL_TURNS):
-        state = _flip(state, ~more & (size <= gap), F.max)
+        state = _flip(state, ~more & (size <= gap), F.max, key)
     # where much is still missing, a document too many goes in and others leave for it
-    state = _flip(state, ~more & (gap > ROUGH * F.col("__want")) & (size > gap), F.min)
+    state = _flip(state, ~more & (gap > ROUGH * F.col("__want")) & (size > gap), F.min, key)
     for _ in range(FILL_TURNS):
-        state = _flip(state, more & (size <= -gap), F.max)
+        state = _flip(state, more & (size <= -gap), F.max, key)
     out = state.withColumn("times", F.col("__full") + F.when(F.col("__more"), 1).otherwise(0))
     return out.drop("__u", "__range", "__sum", "__before", "__full", "__want", "__more")
 
 
-def _flip(state: DataFrame, eligible: Column, pick) -> DataFrame:
+def _flip(state: DataFrame, eligible: Column, pick, key: str) -> DataFrame:
     """Take or leave, in every pattern, the largest or smallest eligible document."""
     gaps = stored(state.groupBy("pattern").agg(
         (F.max("__want") - F.sum(F.when(F.col("__more"), F.col("size")).otherwise(0))).alias("__gap")), "mix-gaps")
+    one = F.struct("__more", "size", "__u", key)
     best = stored(state.where("size > 0").join(gaps, "pattern").where(eligible).groupBy("pattern")
-                  .agg(pick(F.struct("__more", "size", "__u")).alias("__best")), "mix-best")
-    hit = F.coalesce(F.struct("__more", "size", "__u") == F.col("__best"), F.lit(False))
+                  .agg(pick(one).alias("__best")), "mix-best")
+    hit = F.coalesce(one == F.col("__best"), F.lit(False))
     return stored(state.join(best, "pattern", "left").withColumn(
         "__more", F.when(hit, ~F.col("__more")).otherwise(F.col("__more"))).drop("__best"), "mix-state")
 
 
-def _plan(patterns: list, weights=cycle_weights):
-    """From (pattern, tokens) rows: sources' sizes, targets and patterns' amounts."""
-    tokens = {frozenset(p): t for p, t in patterns}
-    sizes: dict = {}
-    for p, t in tokens.items():
-        for s in p:
-            sizes[s] = sizes.get(s, 0) + t
-    goal = targets(sizes, weights(list(sizes)))
-    flow = route(tokens, {s: round(g) for s, g in goal.items()})
-    amounts = dict.fromkeys(tokens, 0)
-    for (p, _), n in flow.items():
-        amounts[p] += n
-    return sizes, goal, tokens, amounts
-
-
-def measured(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                       F.regexp_count(whole_text(), F.lit(WORD)).cast("long").alias("size"))
+def _goals(sources: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """(name, source_size, target) from (name, source_size): ``cycle_weights`` and ``targets``
+    without a list of the sources on the driver. ``name`` is "0" for null, else "1" and the source."""
+    last = (F.col("name") == "0").cast("int")
+    dealt = stored(sources.repartitionByRange(last, "name").withColumn("__part", F.spark_partition_id()), "mix-sources")
+    parts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    parts = parts.select("__part", F.coalesce(F.sum("__n").over(
+        Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__first"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(last, "name")) - 1 + F.col("__first")
+    weighed = stored(dealt.join(F.broadcast(parts), "__part").withColumn("__w", F.lit(1) + place % 3)
+                     .select("name", "source_size", "__w"), "mix-weights")
+    total, sums = float(weighed.agg(F.sum("source_size")).first()[0] or 0), None
+    share, most = F.lit(0.0), F.lit(float(max_repeats)) * F.col("source_size")
+    while True:  # the share of a weight only grows, so a source that is over stays over
+        over = share > most
+        new = weighed.agg(F.sum(F.when(over, most).otherwise(0.0)), F.sum(F.when(~over, F.col("__w")).otherwise(0)),
+                          F.count_if(over)).first()
+        if new == sums or not new[1]:
+            return stored(weighed.select("name", "source_size", F.when(over, most).otherwise(share).alias("target")),
+                          "mix-goals")
+        sums = new
+        share = F.lit(total - new[0]) * F.col("__w") / F.lit(float(new[1]))
+
+
+def _amounts(patterns: DataFrame, goals: DataFrame) -> DataFrame:
+    """(pattern, amount): a source that shares no document gives its rounded target; sources
+    that share some are routed together, each such component in one task."""
+    quota = F.bround("target").cast("long")
+    named = patterns.select("pattern", "names", "tokens")
+    shared = stored(named.where(F.size("names") > 1), "mix-shared")
+    alone = named.where(F.size("names") == 1).withColumn("name", F.col("names")[0])
+    if shared.isEmpty():
+        return alone.join(goals, "name").select("pattern", quota.alias("amount"))
+    edges = shared.select(F.col("names")[0].alias("u"), F.explode("names").alias("v"))
+    roots = connected_components(edges).select(F.col("node").alias("name"), "root")
+    single = alone.join(goals, "name").join(roots, "name", "left_anti").select("pattern", quota.alias("amount"))
+    held = named.select("pattern", "tokens", F.explode("names").alias("name")).join(roots, "name").join(
+        goals, "name").select("root", "pattern", "tokens", "name", quota.alias("quota"))
+    return single.unionByName(held.groupBy("root").applyInArrow(_routed, "pattern string, amount long"))
+
+
+def _routed(table):
+    """(pattern, amount) for the rows (pattern, tokens, name, quota) of one component."""
+    import pyarrow as pa
+    names: dict = {}
+    tokens, quotas = {}, {}
+    for r in table.to_pylist():
+        names.setdefault(r["pattern"], set()).add(r["name"])
+        tokens[r["pattern"]] = r["tokens"]
+        quotas[r["name"]] = r["quota"]
+    found = {frozenset(v): p for p, v in names.items()}
+    amounts = dict.fromkeys(names, 0)
+    for (k, _), n in route({k: tokens[p] for k, p in found.items()}, quotas).items():
+        amounts[found[k]] += n
+    return pa.table({"pattern": pa.array(amounts, pa.string()), "amount": pa.array(amounts.values(), pa.int64())})
+
+
+def measured(docs: DataFrame, *extra: Column) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.array(F.col("source").cast("string")).alias("sources"),
+                       F.regexp_count(whole_text(), F.lit(WORD)).cast("long").alias("size"), *extra)
+
+
+def _name(source: Column) -> Column:
+    return F.when(source.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), source))
 
 
 def mix(sized: DataFrame, seed: str = SEED) -> DataFrame:
     """doc_id, sources, size, times for documents with ``sources`` (array of the
     sources that hold them), mixed to ``cycle_weights``; also attaches
-    source_size and target of the document's first source."""
-    spark = sized.sparkSession
-    label = F.array_join(F.transform(F.array_sort(F.array_distinct("sources")), lambda s: F.when(
-        s.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), s))), "\x00")
-    rows = sized.withColumn("pattern", label)
-    found = rows.groupBy("pattern").agg(F.sum("size").alias("tokens"), F.first("sources").alias("sources")).limit(
-        MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    sizes, goal, _, amounts = _plan([(r.sources, r.tokens) for r in found])
-    listed = [(r.pattern, int(amounts[frozenset(r.sources)]), int(r.tokens), int(sizes[r.sources[0]]),
-               float(goal[r.sources[0]])) for r in found]
-    plan = spark.createDataFrame(listed, "pattern string, amount long, tokens long, source_size long, target double")
-    taken = select(rows, plan.select("pattern", "amount", "tokens"), seed)
-    return taken.join(plan.select("pattern", "source_size", "target"), "pattern").drop("pattern")
+    source_size and target of the document's first source. ``__row``, if
+    there, tells rows apart that agree in the other columns."""
+    columns = sized.columns
+    names = F.transform(F.array_sort(F.array_distinct("sources")), _name)
+    rows = sized.withColumn("names", names).withColumn("pattern", F.array_join("names", "\x00"))
+    # a row's key: its values and its place among equal rows
+    same = F.xxhash64("doc_id", "pattern", "size", *[c for c in columns if c == "__row"])
+    rows = rows.withColumn("__same", same)
+    place = F.row_number().over(Window.partitionBy("__same").orderBy("size"))
+    rows = stored(rows.withColumn("__key", F.xxhash64("__same", place)).drop("__same"), "mix-rows")
+    patterns = stored(rows.groupBy("pattern").agg(F.sum("size").alias("tokens"), F.first("names").alias("names")),
+                      "mix-patterns")
+    goals = _goals(patterns.select(F.explode("names").alias("name"), "tokens").groupBy("name").agg(
+        F.sum("tokens").alias("source_size")))
+    plan = stored(patterns.select("pattern", "tokens").join(_amounts(patterns, goals), "pattern"), "mix-plan")
+    taken = select(rows.drop("names"), plan, seed, "__key")
+    return (taken.withColumn("name", _name(F.col("sources")[0])).join(goals, "name")
+            .select(*columns, "times", "source_size", "target"))
 
 
 def mix_sources(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of ``docs``."""
-    rows = stored(measured(docs).select("doc_id", F.array("source").alias("sources"), "size"), "mix-sizes")
-    out = mix(rows, seed)
+    out = mix(stored(measured(docs, F.xxhash64("text").alias("__row")), "mix-sizes"), seed)
     return out.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken."""
     columns = docs.columns
-    rows = stored(measured(docs.select("doc_id", "source", "text")).select(
-        "doc_id", "source", "size").withColumn("sources", F.array("source")).drop("source"), "mix-sizes")
-    times = (mix(rows, seed).groupBy("doc_id").agg(F.max("times").alias("__llm_times")))
-    times = stored(times.where("__llm_times > 0").withColumnRenamed("doc_id", "__llm_id"), "mix-times")
-    return (docs.join(times, docs["doc_id"].eqNullSafe(times["__llm_id"]))
-            .withColumn("__llm_copy", F.explode(F.sequence(F.lit(1), F.col("__llm_times").cast("int"))))
+    key = F.xxhash64(*columns, F.lit(1))
+    rows = stored(measured(docs, F.xxhash64(*columns).alias("__row"), key.alias("__row2")), "mix-sizes")
+    # rows that are equal in all columns stand for each other: one of them goes out for all
+    times = stored(mix(rows, seed).groupBy("__row", "__row2").agg(
+        F.sum("times").alias("__llm_times"), F.count("*").alias("__llm_rows")).where("__llm_times > 0"), "mix-times")
+    found = docs.withColumns({"__row": F.xxhash64(*columns), "__row2": key}).join(times, ["__row", "__row2"])
+    found = found.where("__llm_rows = 1").unionByName(
+        found.where("__llm_rows > 1").dropDuplicates(["__row", "__row2"]))
+    return (found.withColumn("__llm_copy", F.explode(F.sequence(F.lit(1), F.col("__llm_times").cast("int"))))
             .select(*columns))
