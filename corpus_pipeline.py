@@ -9,7 +9,7 @@ the last return the columns of documents.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from loanlab.llm import bpe, minhash, mixing, secretscan, toxicity
 from loanlab.llm.common import stored, table
@@ -21,13 +21,9 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: its smallest doc_id, one row of it.
-    Documents without words are no duplicates; rows without doc_id stay."""
-    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select(
-        F.col("doc_id").alias("__llm_id")).distinct()
-    with_id = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return (with_id.join(kept, with_id["doc_id"] == kept["__llm_id"], "left_semi")
-            .unionByName(docs.where("doc_id is null")))
+    """One row of each near-duplicate group: that of its smallest doc_id, null last.
+    Rows without words are no duplicates."""
+    return minhash.unique_rows(docs)
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, stored, whole_text
+from .common import WORD, bounded_batches, stored, whole_text
 from .components import connected_components
 
 SHINGLE = 5
@@ -318,3 +318,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                     F.when(F.col("doc_id").isNull(), None)
                     .otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+
+
+def unique_rows(docs: DataFrame) -> DataFrame:
+    """One row of each near-duplicate group of rows: that of the smallest doc_id
+    (null last). Rows are told apart by id and text, so rows that share an id are
+    decided each on their own, as are rows without one; of rows equal in both, one
+    with the smallest hash of all columns stays. Rows without words all stay."""
+    columns = docs.columns
+    keys = {"__row": F.xxhash64(F.col("doc_id").cast("long"), whole_text()), "__all": F.xxhash64(*columns)}
+    keyed, words = docs.withColumns(keys), whole_text().rlike(WORD)
+    ids = stored(keyed.where(words).select("__row", "__all", F.col("doc_id").cast("long").alias("__id")), "row-keys")
+    found = near_duplicates(keyed.where(words).select(F.col("__row").alias("doc_id"), "text"))
+    groups = found.groupBy(F.col("doc_id").alias("__row")).agg(F.min("component_id").alias("__group"))
+    first = F.min(F.struct(F.col("__id").isNull().alias("o"), "__id", "__row", "__all")).alias("__first")
+    kept = stored(ids.join(groups, "__row").groupBy("__group").agg(first).select("__first.__row", "__first.__all"),
+                  "kept-rows")
+    once = keyed.join(kept, ["__row", "__all"], "left_semi").dropDuplicates(["__row"])
+    return once.unionByName(keyed.where(~words)).select(*columns)
