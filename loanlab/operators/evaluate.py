@@ -14,6 +14,8 @@ sketch, a bounded list on the driver); each bucket is ordered by its own
 window task and shifted by the exact totals of all higher buckets (a
 bucket-sized table, broadcast). No window ever runs over the whole table in
 one task.
+
+A NULL label, prediction or score is an error: no row is left out silently.
 """
 
 from __future__ import annotations
@@ -35,6 +37,12 @@ def _ratio(a, b):
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
+def _given(name: str):
+    """The column; a NULL in it is an error, as a row without it would be missing from the counts."""
+    c = F.col(name)
+    return F.when(c.isNull(), F.raise_error(F.lit(f"NULL in {name}: rows cannot be evaluated"))).otherwise(c)
+
+
 def fbeta_expr(tp, fp, fn, beta: float):
     """EVA-7: (1+b^2) tp / ((1+b^2) tp + b^2 fn + fp); 0 when undefined."""
     b2 = F.lit(float(beta) ** 2)
@@ -43,8 +51,8 @@ def fbeta_expr(tp, fp, fn, beta: float):
 
 
 def _counts(scored: DataFrame, label: str, prediction: str) -> DataFrame:
-    y = F.col(label).cast("int") == 1
-    p = F.col(prediction).cast("int") == 1
+    y = _given(label).cast("int") == 1
+    p = _given(prediction).cast("int") == 1
     return scored.agg(F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"),
                       F.count_if(y & ~p).alias("fn"), F.count_if(~y & ~p).alias("tn"))
 
@@ -121,7 +129,8 @@ def threshold_sweep(scored: DataFrame, thresholds: Iterable[float], label: str =
     """
     ts = sorted(float(t) for t in thresholds)
     k = len(ts)
-    y = F.col(label).cast("int") == 1
+    y = _given(label).cast("int") == 1
+    scored = scored.withColumn(score, _given(score))
     bucket = sum((F.col(score) > F.lit(t)).cast("int") for t in ts) if ts else F.lit(0)
     counts = (scored.groupBy(bucket.alias("bucket"))
               .agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg")))
@@ -163,12 +172,11 @@ def cumulative_counts(scored: DataFrame, label: str = "label", score: str = "sco
     Returns (group..., score, pos, neg, cum_tp, cum_fp, prev_tp, prev_fp, P, N).
     """
     group = list(group)
-    y = F.col(label).cast("int") == 1
+    y = _given(label).cast("int") == 1
     # one row per distinct score; kept because the count, the boundary sketch,
     # the bucket totals and the windows all read it (and the scored input is
     # often a model's output, expensive to recompute)
-    dist = (scored.filter(F.col(score).isNotNull())
-            .groupBy(*group, F.col(score).cast("double").alias("score"))
+    dist = (scored.groupBy(*group, _given(score).cast("double").alias("score"))
             .agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
             .persist(StorageLevel.MEMORY_AND_DISK))
     if buckets is None:

@@ -69,3 +69,13 @@ def test_adaboost_label_is_the_weighted_vote(spark):
         for s, a in zip(model.stumps, model.alphas):
             tally[int(s.predict(r.features))] += a
         assert r.prediction == float(tally.index(max(tally)))
+
+
+@pytest.mark.parametrize("gap", ["label", "score", "prediction"])
+@pytest.mark.parametrize("name", ["auc", "roc_curve", "pr_curve", "threshold_sweep", "binary_metrics"])
+def test_evaluation_refuses_null(scored, name, gap):
+    if (gap == "prediction") != (name == "binary_metrics") and gap != "label":
+        return  # not read
+    holed = scored.withColumn(gap, F.when(F.col("id") != 7, F.col(gap)))
+    with pytest.raises(Exception, match=f"NULL in {gap}"):
+        getattr(V, name)(holed, *([[0.2, 0.5]] if name == "threshold_sweep" else [])).collect()
