@@ -45,3 +45,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def whole_text(col: str = "text") -> Column:
     """The text as a string column; null counts as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
+
+
+def _low(b: int) -> int:
+    if 0x41 <= b <= 0x5A:
+        return b + 32
+    return b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20
+
+
+# for bytes.translate: A-Z to a-z, ASCII that is neither letter nor digit to a blank
+WORD_BYTES = bytes(map(_low, range(256)))
+
+
+def byte_pieces(raw: bytes, size: int):
+    """``raw`` by ``WORD_BYTES``, in pieces of about ``size`` bytes that begin at a blank."""
+    low = raw.translate(WORD_BYTES)
+    at = 0
+    while len(low) - at > size:
+        end = low.find(b" ", at + size)
+        if end < 0:
+            break
+        yield low[at:end]
+        at = end
+    yield low[at:]

@@ -68,9 +68,25 @@ def op10_pack_token_ids(spark, sf_dir):
                         public_tokenizers.PATTERN)
 
 
+def op11_benchmark_decontamination(spark, sf_dir):
+    from . import decontam
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_embedding_whitening(spark, sf_dir):
+    from . import whiten
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark, sf_dir):
+    from . import lexical
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _oracles():
-    from . import chat, hostrules, pivots
-    return {"op6_pivot_top_k": pivots.ORACLE, "op3_host_quality": hostrules.ORACLE, "op8_chat_prefix_target": chat.ORACLE}
+    from . import chat, decontam, hostrules, lexical, pivots
+    return {"op11_benchmark_decontamination": decontam.ORACLE, "op13_lexical_search": lexical.ORACLE,
+            "op6_pivot_top_k": pivots.ORACLE, "op3_host_quality": hostrules.ORACLE, "op8_chat_prefix_target": chat.ORACLE}
 
 
 def all_queries() -> dict:
