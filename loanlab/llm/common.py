@@ -68,3 +68,10 @@ def byte_pieces(raw: bytes, size: int):
         yield low[at:end]
         at = end
     yield low[at:]
+
+
+def row_key(columns: list) -> Column:
+    """128 bits of a row's values (binary), nulls included: rows that differ in which
+    of two columns is null have different keys."""
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"})
+    return F.unhex(F.substring(F.sha2(row, 256), 1, 32))

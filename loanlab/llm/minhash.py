@@ -36,7 +36,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WORD, bounded_batches, stored, whole_text
+from .common import WORD, bounded_batches, row_key, stored, whole_text
 from .components import connected_components
 
 SHINGLE = 5
@@ -105,7 +105,8 @@ def _describe(batches):
             n.append(len(s))
             cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             sig.append(signature(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array(n, pa.int64()),
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "h": batch.column("h"),
+                                          "g": batch.column("g"), "n": pa.array(n, pa.int64()),
                                           "cls": pa.array(cls, pa.binary()), "sig": pa.array(sig, pa.binary())})
 
 
@@ -262,10 +263,17 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``
     (``kept``: doc_id is the component's smallest)."""
+    return _grouped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")))
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` of (doc_id, text) with ids of any type that has an order."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    rows = stored(docs.mapInArrow(_describe, "doc_id long, n long, cls binary, sig binary"), "signatures")
+    # an id and 96 bits of its text find a text again, also where many texts have one id
+    docs = docs.withColumns({"h": F.xxhash64("text"), "g": F.hash("text")})
+    rows = stored(docs.mapInArrow(_describe, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long, g int, "
+                                             "n long, cls binary, sig binary"), "signatures")
     linkable = rows.where("n > 0 and doc_id is not null")
     classes = stored(linkable.groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "classes")
     reps = (linkable.join(classes, ["cls", "doc_id"], "left_semi")).dropDuplicates(["cls"])
@@ -277,10 +285,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.sum(F.xxhash64("cls", F.lit(1)).cast("decimal(20,0)")).alias("h2"))
         .where("n > 1").groupBy("n", "h1", "h2").agg(F.min("bucket").alias("bucket")).select("bucket"), "buckets")
     active = stored(bands.join(shared, "bucket").select("bucket", "cls"), "members")
-    wanted = stored(active.select("cls").distinct().join(reps, "cls").select("cls", "doc_id", "sig"), "needed")
-    # one text per class (a doc_id that repeats with other texts is told apart in _verify)
-    texts = stored(docs.join(wanted, "doc_id").withColumn("h", F.xxhash64("text")).dropDuplicates(["cls", "h"])
-                   .select("cls", "sig", "text"), "texts")
+    wanted = stored(active.select("cls").distinct().join(reps, "cls").select("cls", "doc_id", "h", "g", "sig"), "needed")
+    texts = stored(docs.join(wanted, ["doc_id", "h", "g"]).dropDuplicates(["cls"]).select("cls", "sig", "text"), "texts")
 
     links = roots = tested = None
     for turn in range(HUB_TURNS + 1):
@@ -322,14 +328,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def unique_rows(docs: DataFrame) -> DataFrame:
     """One row of each near-duplicate group of rows: that of the smallest doc_id
-    (null last). Rows are told apart by id and text, so rows that share an id are
-    decided each on their own, as are rows without one; of rows equal in both, one
-    with the smallest hash of all columns stays. Rows without words all stay."""
+    (null last). Rows are told apart by 128 bits of id and text, so rows that share
+    an id are decided each on their own, as are rows without one; of rows equal in both,
+    one with the smallest key of all columns (nulls included) stays. Rows without words all
+    stay. Input columns may have any names but ``__row`` and ``__all``, which are refused."""
     columns = docs.columns
-    keys = {"__row": F.xxhash64(F.col("doc_id").cast("long"), whole_text()), "__all": F.xxhash64(*columns)}
+    if {"__row", "__all"} & set(columns):
+        raise ValueError("columns __row and __all are used here")
+    pair = F.to_json(F.struct(F.col("doc_id").cast("long").alias("i"), whole_text().alias("t")), {"ignoreNullFields": "false"})
+    keys = {"__row": F.unhex(F.substring(F.sha2(pair, 256), 1, 32)), "__all": row_key(columns)}
     keyed, words = docs.withColumns(keys), whole_text().rlike(WORD)
     ids = stored(keyed.where(words).select("__row", "__all", F.col("doc_id").cast("long").alias("__id")), "row-keys")
-    found = near_duplicates(keyed.where(words).select(F.col("__row").alias("doc_id"), "text"))
+    found = _grouped(keyed.where(words).select(F.col("__row").alias("doc_id"), whole_text().alias("text")))
     groups = found.groupBy(F.col("doc_id").alias("__row")).agg(F.min("component_id").alias("__group"))
     first = F.min(F.struct(F.col("__id").isNull().alias("o"), "__id", "__row", "__all")).alias("__first")
     kept = stored(ids.join(groups, "__row").groupBy("__group").agg(first).select("__first.__row", "__first.__all"),

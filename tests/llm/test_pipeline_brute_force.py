@@ -103,8 +103,72 @@ def test_op7_taken_words_by_source(spark):
         sizes[r.source] += r["size"]
         taken[r.source] += r.taken
     goal = mixing.targets(dict(sizes), mixing.cycle_weights(list(sizes)))
+    # what the sources take of each set of texts that the same sources hold is a cheapest flow
+    names, tokens, held, of = defaultdict(set), Counter(), Counter(), {}
     for r in rows:
-        assert (r.source_size, r.target) == (sizes[r.source], goal[r.source])
-        full = round(goal[r.source]) // sizes[r.source]  # every document so often, some once more
-        assert not r["size"] or r.taken // r["size"] in (full, full + 1)
+        names[r.text].add(r.source)
+    for t, n in Counter({r.text: r["size"] for r in rows}).items():
+        tokens[frozenset(names[t])] += n
+    for r in rows:
+        held[(frozenset(names[r.text]), r.source)] += r["size"]
+        of.setdefault((frozenset(names[r.text]), r.source), []).append(r)
+    assert any(len(p) > 1 for p in tokens)
+    quotas = {s: round(g) for s, g in goal.items()}
+    flow = mixing.route(dict(tokens), quotas, held=dict(held))
+    assert cost(flow, tokens) == cheapest(dict(tokens), quotas, dict(held)) and sum(flow.values()) == sum(quotas.values())
+    for (p, s), members in of.items():
+        got, want, most = sum(r.taken for r in members), flow.get((p, s), 0), max(r["size"] for r in members)
+        full = want // max(1, held[(p, s)])
+        for r in members:
+            assert (r.source_size, r.target) == (sizes[r.source], goal[r.source])
+            assert len(p) == 1 or not r["size"] or r.taken // r["size"] in (full, full + 1)
+        if len(p) > 1:
+            assert abs(got - want) <= most
+        else:  # a source's own texts also take what whole documents left of its other flows
+            rest = quotas[s] - sum(r.taken for (q, x), own in of.items() if x == s and len(q) > 1 for r in own)
+            assert abs(got - rest) <= max(3, 0.005 * goal[s])
     assert all(abs(taken[s] - g) <= 0.005 * g + 3 for s, g in goal.items())
+
+
+def cost(flow, tokens):
+    """Repetition costs: the i-th use of a pattern's tokens costs i - 1 a token, beyond the third alike."""
+    used = Counter()
+    for (p, _), n in flow.items():
+        used[p] += n
+    return sum(sum(i * max(0, min(used[p] - i * n, n)) for i in range(3)) + 3 * max(0, used[p] - 3 * n) for p, n in tokens.items())
+
+
+def cheapest(tokens, quotas, held):
+    """Cost of the cheapest flow by plain shortest paths (Bellman-Ford) on the whole graph."""
+    at = {k: i + 2 for i, k in enumerate([*tokens, *[("source", s) for s in quotas]])}
+    arcs: list = []  # [from, to, room, cost]; the reverse of arc k is k ^ 1
+
+    def arc(a, b, room, price):
+        arcs.extend([[a, b, room, price], [b, a, 0, -price]])
+    for p, n in tokens.items():
+        for i in range(3):
+            arc(0, at[p], n, i)
+        arc(0, at[p], max(0, 3 * sum(held[(p, s)] for s in p) - 3 * n), 3)
+        for s in p:
+            arc(at[p], at[("source", s)], 3 * held[(p, s)], 0)
+    for s, q in quotas.items():
+        arc(at[("source", s)], 1, q, 0)
+    total = 0
+    while True:
+        far, via, moved = {0: 0}, {}, True
+        while moved:
+            moved = False
+            for k, (a, b, room, price) in enumerate(arcs):
+                if room > 0 and a in far and far[a] + price < far.get(b, 1 << 60):
+                    far[b], via[b], moved = far[a] + price, k, True
+        if 1 not in far:
+            return total
+        path, b = [], 1
+        while b:
+            path.append(via[b])
+            b = arcs[via[b]][0]
+        n = min(arcs[k][2] for k in path)
+        for k in path:
+            arcs[k][2] -= n
+            arcs[k ^ 1][2] += n
+        total += n * far[1]
