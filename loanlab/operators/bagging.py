@@ -1,120 +1,52 @@
-"""VAL-8: bagged trees with out-of-bag scoring.
+"""VAL-8: bagged trees with out-of-bag scoring, on the joint forest (``forest``).
 
-Spark's forest draws its bootstrap internally and does not expose it, so
-bagging is composed: tree t sees row i with a Poisson(1) multiplicity drawn
-deterministically from hash(id, t) (stable under repartitioning and retries)
-and is fitted as a one-tree forest (sqrt features per split, no internal
-bootstrap) with that multiplicity as the row weight. A row's out-of-bag vote
-averages the class probabilities of the trees with multiplicity 0 for it.
+A row's multiplicity in the bootstrap sample of tree t is a Poisson(1) number
+drawn from a hash of its id and t. Its out-of-bag vote averages the class
+shares of the trees whose sample does not hold it.
 """
 
 from __future__ import annotations
 
-import math
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from . import forest as FO
 
-from .split import hash_key
+SEED = 345
 
 
-def _poisson_cdf(kmax: int = 12) -> list:
-    """Cumulative probabilities of Poisson(1) for 0..kmax (computed)."""
-    out, acc, term = [], 0.0, math.exp(-1.0)
-    for k in range(kmax + 1):
-        acc += term
-        out.append(acc)
-        term /= (k + 1)
-    return out
-
-
-def poisson_weight(id_col: str, tree: int, seed: int = 0):
+def poisson_weight(id_col: str, tree: int, seed: int = 0) -> Column:
     """Multiplicity of a row in the bootstrap sample of ``tree``."""
-    u = (F.conv(F.substring(hash_key(id_col, seed * 100_003 + tree), 1, 12), 16, 10).cast("double")
-         / F.lit(16.0 ** 12))
-    k = F.lit(0)
-    for c in _poisson_cdf():
-        k = k + (u >= F.lit(c)).cast("int")
-    return k.cast("double")
-
-
-def fit_bagged_trees(train: DataFrame, num_trees: int = 50, max_depth: int = 12, min_instances: int = 1,
-                     max_bins: int = 64, seed: int = 345, id_col: str = "id", label: str = "label",
-                     features: str = "features") -> list:
-    """Fit ``num_trees`` trees on Poisson bootstrap weights; returns models."""
-    models = []
-    for t in range(num_trees):
-        w = poisson_weight(id_col, t, seed)
-        part = train.withColumn("_bw", w).filter(F.col("_bw") > 0)
-        rf = RandomForestClassifier(numTrees=1, bootstrap=False, featureSubsetStrategy="sqrt",
-                                    maxDepth=max_depth, minInstancesPerNode=min_instances, maxBins=max_bins,
-                                    seed=seed + t, labelCol=label, featuresCol=features, weightCol="_bw",
-                                    cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=1024)
-        models.append(rf.fit(part))
-    return models
-
-
-def _sum_arrays(cols: list):
-    """Element-wise sum of array columns as a balanced tree of ``zip_with``
-    (each input referenced once, so the expression stays linear in size)."""
-    while len(cols) > 1:
-        nxt = [F.zip_with(cols[i], cols[i + 1], lambda a, b: a + b) for i in range(0, len(cols) - 1, 2)]
-        if len(cols) % 2:
-            nxt.append(cols[-1])
-        cols = nxt
-    return cols[0]
+    @F.pandas_udf("double")
+    def times(key):
+        import pandas as pd
+        return pd.Series(FO.multiplicity(key.to_numpy(), tree, seed).astype("float64"))
+    return times(F.xxhash64(id_col))
 
 
-def _avg_prob(df: DataFrame, models: list, features: str, mask_fn=None):
-    """Adds ``_acc`` (sum of class probabilities over the used trees) and
-    ``_cnt`` (number of trees used) per row."""
-    out = df
-    k = models[0].numClasses
-    zeros = F.array(*[F.lit(0.0)] * k)
-    masked, used = [], []
-    for t, m in enumerate(models):
-        col = f"_bp{t}"
-        out = (m.copy().setFeaturesCol(features).setProbabilityCol(col).setRawPredictionCol("")
-               .setPredictionCol("").transform(out))
-        use = mask_fn(t) if mask_fn else F.lit(True)
-        out = (out.withColumn(f"_bu{t}", use.cast("int"))
-               .withColumn(f"_bm{t}", F.when(F.col(f"_bu{t}") == 1, vector_to_array(F.col(col))).otherwise(zeros))
-               .drop(col))
-        masked.append(F.col(f"_bm{t}"))
-        used.append(F.col(f"_bu{t}"))
-    tmp = [f"_bm{t}" for t in range(len(models))] + [f"_bu{t}" for t in range(len(models))]
-    total = used[0]
-    for u in used[1:]:
-        total = total + u
-    return out.withColumn("_acc", _sum_arrays(masked)).withColumn("_cnt", total).drop(*tmp)
+def fit_bagged_trees(train: DataFrame, num_trees: int = 50, max_depth: int = 30, min_split: int = 2,
+                     max_bins: int = 64, seed: int = SEED, id_col: str = "id", label: str = "label",
+                     features: str = "features", classes: int = 2) -> FO.Forest:
+    """``num_trees`` trees, all grown in the same passes."""
+    return FO.grow(train, [FO.Fit("bag", num_trees)], classes, max_depth, min_split, max_bins, seed, label, features,
+                   id_col=id_col)
 
 
-def bagged_predict(df: DataFrame, models: list, features: str = "features") -> DataFrame:
-    """Average-probability prediction of the bagged trees: adds score
-    (probability of class 1) and prediction."""
-    out = _avg_prob(df, models, features)
-    p = F.transform(F.col("_acc"), lambda v: v / F.col("_cnt"))
-    return (out.withColumn("prediction", (F.array_position(p, F.array_max(p)) - 1).cast("int"))
-            .withColumn("score", p[1]).drop("_acc", "_cnt"))
+def bagged_predict(df: DataFrame, forest: FO.Forest, features: str = "features", id_col: str = "id") -> DataFrame:
+    """id, label, prediction and score (probability of class 1) of the bagged trees."""
+    return FO.score(forest, df, features=features, id_col=id_col).drop("probability", "used")
 
 
-def oob_predict(train: DataFrame, models: list, seed: int = 345, id_col: str = "id",
+def oob_predict(train: DataFrame, forest: FO.Forest, id_col: str = "id", label: str = "label",
                 features: str = "features") -> DataFrame:
-    """Out-of-bag prediction per training row (rows in every bootstrap get
-    NULL)."""
-    out = _avg_prob(train, models, features,
-                    mask_fn=lambda t: poisson_weight(id_col, t, seed) == 0)
-    p = F.transform(F.col("_acc"), lambda v: v / F.col("_cnt"))
-    return (out.withColumn("oob_prediction",
-                           F.when(F.col("_cnt") > 0, (F.array_position(p, F.array_max(p)) - 1).cast("int")))
-            .drop("_acc", "_cnt"))
+    """id, label, oob_prediction per training row (NULL where every sample holds the row)."""
+    out = FO.score(forest, train, oob=True, label=label, features=features, id_col=id_col)
+    return out.select(id_col, label, F.col("prediction").alias("oob_prediction"))
 
 
-def oob_score(train: DataFrame, models: list, seed: int = 345, id_col: str = "id", label: str = "label",
+def oob_score(train: DataFrame, forest: FO.Forest, id_col: str = "id", label: str = "label",
               features: str = "features") -> DataFrame:
     """Out-of-bag accuracy over rows with at least one out-of-bag tree."""
-    o = oob_predict(train, models, seed, id_col, features)
+    o = oob_predict(train, forest, id_col, label, features)
     return o.filter(F.col("oob_prediction").isNotNull()).agg(
-        F.avg((F.col("oob_prediction") == F.col(label).cast("int")).cast("double")).alias("oob_accuracy"),
+        F.avg((F.col("oob_prediction") == F.col(label)).cast("double")).alias("oob_accuracy"),
         F.count(F.lit(1)).alias("n_scored"))

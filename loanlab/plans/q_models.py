@@ -10,7 +10,8 @@ from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from ..operators import bagging as BG, evaluate as V, features as FE, models as M, split as S, validate as VA
+from ..operators import (bagging as BG, evaluate as V, features as FE, forest as FO, models as M, split as S,
+                         validate as VA)
 from ..operators.adaboost import AdaBoost
 from ..operators.discriminant import DiscriminantAnalysis
 from ..session import scratch_path
@@ -20,8 +21,10 @@ from .registry import loans, query, rnd
 from .workflows import prepare
 
 # The reference's sizes: 50 trees (100 in the grid, 20 in the learning curve), none with a
-# depth limit; 30 is the deepest that Spark grows.
+# depth limit; 30 is the deepest that Spark grows. A node of fewer than 10 rows (all loans) or
+# 20 rows (closed loans) is not split.
 TREES, GRID_TREES, CURVE_TREES, DEPTH = 50, 100, 20, 30
+MIN_SPLIT, MIN_SPLIT_CLOSED = 10, 20
 
 _PREP: dict = {}
 
@@ -42,8 +45,8 @@ def _prep(spark, sf, kind="all"):
 @query("random_forest")
 def q_random_forest(spark, sf):
     p = _prep(spark, sf)
-    m = M.random_forest(50, max_depth=12).fit(p.train)
-    return rnd(M.score(m, p.test))
+    m = FO.grow(p.train, [FO.Fit("all", TREES)], max_depth=DEPTH, min_split=MIN_SPLIT)
+    return rnd(FO.score(m, p.test).drop("probability", "used"))
 
 
 @query("predict_proba")
@@ -97,8 +100,10 @@ def q_random_forest_multiclass(spark, sf):
     tr, im = FE.make_multiclass(p.train)
     te = im.transform(p.test)
     tr = tr.withColumn("weight", F.lit(4.0) * F.col("label") + F.lit(1.0))  # defaults weigh 5
-    m = M.random_forest(TREES, max_depth=DEPTH, label="label_idx", weight="weight").fit(tr)
-    pred = FE.decode_labels(m.transform(te), im, "prediction", "pred_class")
+    m = FO.grow(tr, [FO.Fit("all", TREES)], len(im.labels), DEPTH, MIN_SPLIT_CLOSED, label="label_idx", weight="weight")
+    pred = FO.score(m, te, label="label_idx", keep=("loan_status", "label")).withColumn(
+        "prediction", F.col("prediction").cast("double"))
+    pred = FE.decode_labels(pred, im, "prediction", "pred_class")
     pred = V.collapse_multiclass(pred, "pred_class", FIXTURE_STATUSES.default, "pred_default")
     return pred.select("id", "loan_status", "pred_class", F.col("label").alias("true_default"), "pred_default")
 
@@ -195,34 +200,32 @@ def q_gradient_boosted_trees(spark, sf):
 @query("cross_val_predict")
 def q_cross_val_predict(spark, sf):
     p = _prep(spark, sf, "application")
-    return rnd(VA.cross_val_predict(M.random_forest(TREES, max_depth=DEPTH), p.train))
+    return rnd(VA.forest_cross_val_predict(p.train, TREES, DEPTH, MIN_SPLIT_CLOSED))
 
 
 @query("cross_val_score")
 def q_cross_val_score(spark, sf):
     p = _prep(spark, sf, "application")
-    oof = VA.cross_val_predict(M.random_forest(TREES, max_depth=DEPTH), p.train)
-    return rnd(VA.cross_val_score(oof))
+    return rnd(VA.cross_val_score(VA.forest_cross_val_predict(p.train, TREES, DEPTH, MIN_SPLIT_CLOSED)))
 
 
 @query("grid_search")
 def q_grid_search(spark, sf):
     p = _prep(spark, sf, "application")
-    rf = M.random_forest(GRID_TREES, max_depth=DEPTH)
-    _, table_ = VA.grid_search(rf, {"numTrees": [TREES, GRID_TREES], "maxDepth": [12, DEPTH]}, p.train)
+    _, table_ = VA.forest_grid_search(p.train, (TREES, GRID_TREES), (12, DEPTH), (MIN_SPLIT_CLOSED,))
     return rnd(table_)
 
 
 @query("learning_curve")
 def q_learning_curve(spark, sf):
     p = _prep(spark, sf, "application")
-    return rnd(VA.learning_curve(M.random_forest(CURVE_TREES, max_depth=DEPTH), p.train))
+    return rnd(VA.forest_learning_curve(p.train, CURVE_TREES, max_depth=DEPTH, min_split=MIN_SPLIT_CLOSED))
 
 
 @query("learning_curve_means")
 def q_learning_curve_means(spark, sf):
     p = _prep(spark, sf, "application")
-    curve = VA.learning_curve(M.random_forest(CURVE_TREES, max_depth=DEPTH), p.train)
+    curve = VA.forest_learning_curve(p.train, CURVE_TREES, max_depth=DEPTH, min_split=MIN_SPLIT_CLOSED)
     null_acc = V.null_classifier(p.train).first()["accuracy"]
     return rnd(VA.learning_curve_means(curve, null_acc))
 
@@ -230,15 +233,15 @@ def q_learning_curve_means(spark, sf):
 @query("oob_score")
 def q_oob_score(spark, sf):
     p = _prep(spark, sf, "application")
-    trees = BG.fit_bagged_trees(p.train, num_trees=TREES, max_depth=DEPTH)
-    return rnd(BG.oob_score(p.train, trees))
+    forest = BG.fit_bagged_trees(p.train, num_trees=TREES, max_depth=DEPTH, min_split=MIN_SPLIT_CLOSED)
+    return rnd(BG.oob_score(p.train, forest))
 
 
 @query("bagged_forest")
 def q_bagged_forest(spark, sf):
     p = _prep(spark, sf, "application")
-    trees = BG.fit_bagged_trees(p.train, num_trees=TREES, max_depth=DEPTH)
-    return rnd(BG.bagged_predict(p.test, trees).select("id", "label", "prediction", "score"))
+    forest = BG.fit_bagged_trees(p.train, num_trees=TREES, max_depth=DEPTH, min_split=MIN_SPLIT_CLOSED)
+    return rnd(BG.bagged_predict(p.test, forest).select("id", "label", "prediction", "score"))
 
 
 @query("save_load_model")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import catalog
 from ..functions.expr import is_default
-from ..operators import evaluate as V, features as FE, models as M, split as S
+from ..operators import evaluate as V, features as FE, forest as FO, models as M, split as S
 from ..operators.adaboost import AdaBoost
 from ..operators.discriminant import DiscriminantAnalysis
 from ..operators.validate import cross_val_predict
@@ -77,20 +77,16 @@ def prepare(loans: DataFrame, statuses, feature_catalog, application_only: bool
     return Prepared(train, test, names, model, feat_cols)
 
 
-def approach_one(prep: Prepared, num_trees: int = 50, ada_rounds: int = 20, max_depth: int = 12):
+def approach_one(prep: Prepared, num_trees: int = 50, ada_rounds: int = 20, max_depth: int = 30, min_split: int = 10):
     """E2: returns (cv_table, test_table, importances)."""
-    learners = {
-        "LDA": DiscriminantAnalysis(),
-        "AB": AdaBoost(maxIter=ada_rounds),
-        "RF": M.random_forest(num_trees, max_depth=max_depth),
-    }
-    cv_parts, test_parts, fitted = [], [], {}
-    for name, est in learners.items():
-        oof = cross_val_predict(est, prep.train)
-        cv_parts.append(oof.withColumn("model", F.lit(name)))
-        fitted[name] = est.fit(prep.train)
-        test_parts.append(M.score(fitted[name], prep.test).withColumn("model", F.lit(name)))
     from functools import reduce
+    learners = {"LDA": DiscriminantAnalysis(), "AB": AdaBoost(maxIter=ada_rounds)}
+    oof, forest = _forests(prep, num_trees, max_depth, min_split)
+    cv_parts = [oof.withColumn("model", F.lit("RF"))]
+    test_parts = [FO.score(forest, prep.test, {"all": F.lit(True)}).drop("probability", "used").withColumn("model", F.lit("RF"))]
+    for name, est in learners.items():
+        cv_parts.append(cross_val_predict(est, prep.train).select(*oof.columns).withColumn("model", F.lit(name)))
+        test_parts.append(M.score(est.fit(prep.train), prep.test).withColumn("model", F.lit(name)))
     cv = reduce(lambda a, b: a.unionByName(b), cv_parts)
     test = reduce(lambda a, b: a.unionByName(b), test_parts)
     cv_table = cv.groupBy("model").agg(
@@ -98,11 +94,19 @@ def approach_one(prep: Prepared, num_trees: int = 50, ada_rounds: int = 20, max_
         (F.count_if((F.col("label") == 1) & (F.col("prediction") == 1))
          / F.count_if(F.col("label") == 1)).alias("recall"))
     test_table = V.model_comparison(test)
-    imp = M.feature_importance(fitted["RF"], prep.names)
-    return cv_table, test_table, imp
+    return cv_table, test_table, FO.importance(forest, prep.names, "all")
+
+
+def _forests(prep: Prepared, num_trees: int, max_depth: int, min_split: int):
+    """(out-of-fold scores, forest with the fit "all"): folds and all rows grow in the same passes."""
+    folds = sorted(r[0] for r in prep.train.select("fold").distinct().collect())  # k values
+    fits = [FO.Fit(str(i), num_trees, F.col("fold") != i) for i in folds] + [FO.Fit("all", num_trees)]
+    forest = FO.grow(prep.train, fits, 2, max_depth, min_split)
+    oof = FO.score(forest, prep.train, {str(i): F.col("fold") == i for i in folds}, keep=("fold",))
+    return oof.select("id", "label", "fold", "prediction", "score"), forest
 
 
-def approach_two(prep: Prepared, statuses, num_trees: int = 50, max_depth: int = 12,
+def approach_two(prep: Prepared, statuses, num_trees: int = 50, max_depth: int = 30, min_split: int = 20,
                  default_weight: float = 5.0, target_recall: float = 0.5):
     """E3 on application-time features of closed loans: returns a dict of
     DataFrames -- out-of-fold accuracy/recall, hold-out metrics of the binary
@@ -110,14 +114,14 @@ def approach_two(prep: Prepared, statuses, num_trees: int = 50, max_depth: int =
     ROC points, AUC, PR points, the cut-off reaching ``target_recall`` and
     the top-10 importances."""
     from ..operators.validate import cross_val_score
-    rf = M.random_forest(num_trees, max_depth=max_depth)
-    oof = cross_val_predict(rf, prep.train)
-    fitted = rf.fit(prep.train)
-    scored = M.score(fitted, prep.test)
+    oof, forest = _forests(prep, num_trees, max_depth, min_split)
+    scored = FO.score(forest, prep.test, {"all": F.lit(True)}).drop("probability", "used")
     tr, im = FE.make_multiclass(prep.train)
     tr = tr.withColumn("weight", F.when(F.col("label") == 1, F.lit(float(default_weight))).otherwise(F.lit(1.0)))
-    multi = M.random_forest(num_trees, max_depth=max_depth, label="label_idx", weight="weight").fit(tr)
-    pred = FE.decode_labels(multi.transform(prep.test), im, "prediction", "pred_class")
+    multi = FO.grow(tr, [FO.Fit("all", num_trees)], len(im.labels), max_depth, min_split, label="label_idx", weight="weight")
+    pred = FO.score(multi, prep.test, label="label_idx", keep=("label",)).withColumn(
+        "prediction", F.col("prediction").cast("double"))
+    pred = FE.decode_labels(pred, im, "prediction", "pred_class")
     pred = V.collapse_multiclass(pred, "pred_class", statuses.default, "pred_default")
     return {
         "cv_scores": cross_val_score(oof),
@@ -128,5 +132,5 @@ def approach_two(prep: Prepared, statuses, num_trees: int = 50, max_depth: int =
         "auc": V.auc(scored),
         "pr": V.pr_curve(scored),
         "cutoff": V.threshold_for_recall(scored, target_recall),
-        "importance": M.top_k_importance(M.feature_importance(fitted, prep.names), 10),
+        "importance": M.top_k_importance(FO.importance(forest, prep.names, "all"), 10),
     }
