@@ -8,11 +8,12 @@ rank is merged, leftmost first, until no pair has a rank. A word that has a
 rank itself is one token, as in the public library that reads these rank
 files. Decoding concatenates the binary pieces of the ids.
 
-The dictionary of encoded words that goes to the tasks is bounded: the
-``dictionary_words`` most frequent words of at most ``MAX_WORD_BYTES`` bytes
-(counted over the whole corpus, ties by the word), so at most
-``dictionary_words * (MAX_WORD_BYTES + 4 * MAX_WORD_BYTES)`` bytes whatever
-the corpus holds. Any other word is merged in the task that meets it, by the
+The dictionary of encoded words that goes to the tasks is bounded: about the
+``DICTIONARY_WORDS`` most frequent words of at most ``MAX_WORD_BYTES`` bytes
+(counted over the whole corpus; the count from which words go in is read off a
+histogram of at most some hundred classes, and of the class at the edge a
+share by hash goes in), so about ``DICTIONARY_WORDS * 5 * MAX_WORD_BYTES``
+bytes at most, whatever the corpus holds. Any other word is merged in the task that meets it, by the
 same rule (``merge_bytes``, a heap over a linked list: n log n, so a word of a
 megabyte is no trouble). Nothing is dropped and no text is shuffled.
 
@@ -30,24 +31,29 @@ import json
 import zlib
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import bounded_batches, stored, whole_text
 
 MAX_WORD_BYTES = 32
 DICTIONARY_WORDS = 1 << 18
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
+MEMO = 1 << 17
 _NONE = 2 ** 31 - 1
 
 
-def load_ranks(path: str) -> dict:
+def parse_ranks(raw: bytes) -> dict:
     """bytes -> rank of a rank file (one base64 piece and its rank per line)."""
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line.strip())}
+
+
+def load_ranks(path: str) -> dict:
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        return parse_ranks(f.read())
 
 
 # ---------------------------------------------------------------- Spark side
-def rank_map(ranks: dict) -> Column:
+def rank_map(spark: SparkSession, ranks: dict) -> Column:
     """The ranks as one literal: an array of small maps, addressed by the CRC-32
     of a piece (a single literal map would be searched from end to end). Pieces
     are written in hexadecimal: joining two pieces joins their texts."""
@@ -55,8 +61,20 @@ def rank_map(ranks: dict) -> Column:
     for piece, rank in ranks.items():
         text = piece.hex().upper()
         buckets[zlib.crc32(text.encode()) % BUCKETS][text] = rank
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))),
-                       T.ArrayType(T.MapType(T.StringType(), T.IntegerType())))
+    return _literal(spark, buckets, "array<map<string,int>>")
+
+
+def _literal(spark: SparkSession, value, kind: str) -> Column:
+    """``value`` as a literal that came through a session variable. Such a literal is one block
+    of memory with a short name in plans; one written out would stand there as megabytes of
+    text, which the driver keeps for every description of every plan."""
+    name = f"loanlab_llm_{len(kind)}"  # one variable a kind: a later literal replaces it
+    row = spark.createDataFrame([(json.dumps(value, separators=(",", ":")),)], "v string")
+    stored(row.select(F.from_json("v", kind).alias("v")), "bpe-ranks").createOrReplaceTempView(name)
+    spark.sql(f"DECLARE OR REPLACE VARIABLE {name} {kind}")
+    spark.sql(f"SET VARIABLE {name} = (SELECT v FROM {name})")
+    spark.catalog.dropTempView(name)
+    return F.expr(name)
 
 
 def _let(value: Column, body) -> Column:
@@ -64,13 +82,13 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def encode_words(word: Column, ranks: dict) -> Column:
+def encode_words(spark: SparkSession, word: Column, ranks: dict) -> Column:
     """Token ids (array<int>) of one word, as a column expression.
 
     The fold's state holds the pieces and, for each adjacent pair, its rank; a
     merge looks up only the two ranks that it changes. The literal occurs once
     in the expression, so that a task's plan holds one copy of it."""
-    return _let(rank_map(ranks), lambda table: _folded(word, table))
+    return _let(rank_map(spark, ranks), lambda table: _folded(word, table))
 
 
 def _folded(word: Column, table: Column) -> Column:
@@ -114,12 +132,12 @@ def _folded(word: Column, table: Column) -> Column:
     return F.when(whole != _NONE, F.array(whole)).otherwise(F.transform(folded["p"], rank))
 
 
-def decode_ids(ids: Column, ranks: dict) -> Column:
+def decode_ids(spark: SparkSession, ids: Column, ranks: dict) -> Column:
     """Bytes of an id array as a column expression: its pieces, concatenated."""
     pieces = [""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece.hex().upper()
-    table = F.from_json(F.lit(json.dumps(pieces)), T.ArrayType(T.StringType()))
+    table = _literal(spark, pieces, "array<string>")
     return _let(table, lambda t: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(t, i)), "")))
 
 
@@ -184,54 +202,99 @@ def _count_words(pattern: str):
     return run
 
 
+def _class(n: Column) -> Column:
+    """Words of like frequency share a class: counts up to 64 exactly, then eighths of a doubling."""
+    return F.when(n <= 64, n).otherwise(F.floor(F.log2(n.cast("double")) * 8).cast("long") + 16)
+
+
+def frequent_words(counted: DataFrame, words: int = DICTIONARY_WORDS) -> DataFrame:
+    """(word) of the most frequent of (word, n), about ``words`` of them: whole classes of
+    frequency while they fit, and of the next class the share that fits, by hash."""
+    left, least, share = words, 0, 0.0
+    for k, n in sorted((tuple(r) for r in counted.groupBy(_class(F.col("n")).alias("k")).count().collect()), reverse=True):
+        if n > left:
+            least, share = k, left / n
+            break
+        left -= n
+    of = _class(F.col("n"))
+    unit = F.pmod(F.xxhash64("word", F.lit("dictionary")), F.lit(1 << 30)) / float(1 << 30)
+    return counted.where((of > least) | ((of == least) & (unit < share))).select("word")
+
+
 def word_dictionary(docs: DataFrame, ranks: dict, pattern: str, words: int = DICTIONARY_WORDS) -> DataFrame:
     """(word, ids) of the most frequent words of the corpus, ids by ``encode_words``."""
     counted = (docs.select(whole_text().alias("text"))
                .mapInArrow(_count_words(pattern), "word string, n long")
                .groupBy("word").agg(F.sum("n").alias("n")))
-    top = stored(counted.orderBy(F.desc("n"), "word").limit(words).select("word"), "bpe-words")
-    # limit() leaves one partition: deal the words out before the fold
+    top = stored(frequent_words(stored(counted, "bpe-counts"), words), "bpe-words")
     return stored(top.repartition(max(8, docs.sparkSession.sparkContext.defaultParallelism * 4), "word")
-                  .select("word", encode_words(F.col("word"), ranks).alias("ids")), "bpe-dictionary")
+                  .select("word", encode_words(docs.sparkSession, F.col("word"), ranks).alias("ids")), "bpe-dictionary")
 
 
-def _encoder(pattern: str, ranks_b, known_b, keep_ids: bool):
-    memo_limit = 1 << 17
+def _ipc(table) -> bytes:
+    import pyarrow as pa
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
 
+
+class _Words:
+    """What a task knows of words: the ids of each as bytes of 32-bit numbers. Words beyond
+    the dictionary are merged when they are met, and up to ``MEMO`` short ones are kept."""
+
+    def __init__(self, ranks: dict, dictionary):
+        import numpy as np
+        self.ranks, self.memo, self.np = ranks, {}, np
+        words, ids = dictionary.column("word").to_pylist(), dictionary.column("ids").combine_chunks()
+        raw, ends = ids.flatten().to_numpy().astype(np.int32).tobytes(), np.cumsum([0, *ids.value_lengths().to_pylist()]) * 4
+        ends = ends.tolist()
+        self.known = {w: raw[i:j] for w, i, j in zip(words, ends, ends[1:], strict=False)}
+
+    def _merged(self, word: str) -> bytes:
+        ids = self.memo.get(word)
+        if ids is None:
+            ids = self.np.asarray(merge_bytes(word.encode(), self.ranks), dtype=self.np.int32).tobytes()
+            if len(word) <= MAX_WORD_BYTES:
+                if len(self.memo) >= MEMO:
+                    self.memo.clear()
+                self.memo[word] = ids
+        return ids
+
+    def ids(self, words: list):
+        """The ids of consecutive words, one array."""
+        found = list(map(self.known.get, words))
+        if None in found:
+            found = [self._merged(w) if f is None else f for f, w in zip(found, words, strict=True)]
+        return self.np.frombuffer(b"".join(found), dtype=self.np.int32)
+
+
+def _encoder(pattern: str, ranks_b, dictionary_b, keep_ids: bool):
     def run(batches):
         import numpy as np
         import pyarrow as pa
         import regex
         find = regex.compile(pattern).findall
-        ranks = ranks_b.value
-        known = dict(known_b.value)  # word -> ids as uint32 bytes
-        fixed = len(known)
-        pieces = [b""] * (max(ranks.values()) + 1)
+        ranks = parse_ranks(ranks_b.value)
+        known = _Words(ranks, pa.ipc.open_stream(dictionary_b.value).read_all())
+        pieces = [b""] * (max(ranks.values(), default=-1) + 1)
         for piece, rank in ranks.items():
             pieces[rank] = piece
-        shown = [str(i) for i in range(len(pieces))]
+        piece_of, shown_of = pieces.__getitem__, [str(i) for i in range(len(pieces))].__getitem__
         for batch in batches:
-            rows = []
+            digests, decoded, ids = [], [], []
             for text in batch.column("text").to_pylist():
-                parts = []
-                for w in find(text):
-                    ids = known.get(w)
-                    if ids is None:
-                        ids = np.asarray(merge_bytes(w.encode(), ranks), dtype=np.uint32).tobytes()
-                        if len(known) - fixed >= memo_limit:
-                            known = dict(known_b.value)
-                        if len(w) <= MAX_WORD_BYTES:
-                            known[w] = ids
-                    parts.append(ids)
-                ids = np.frombuffer(b"".join(parts), dtype=np.uint32).tolist()
-                rows.append((len(ids), hashlib.sha256(" ".join([shown[i] for i in ids]).encode()).hexdigest(),
-                             hashlib.sha256(b"".join([pieces[i] for i in ids])).hexdigest(),
-                             ids if keep_ids else None))
-            out = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array([r[0] for r in rows], pa.int64()),
-                   "ids_sha256": pa.array([r[1] for r in rows], pa.string()),
-                   "decoded_sha256": pa.array([r[2] for r in rows], pa.string())}
+                own = known.ids(find(text))
+                ids.append(own)
+                own = own.tolist()
+                digests.append(hashlib.sha256(" ".join(map(shown_of, own)).encode()).hexdigest())
+                decoded.append(hashlib.sha256(b"".join(map(piece_of, own))).hexdigest())
+            sizes = np.array([len(x) for x in ids], np.int64)
+            out = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(sizes),
+                   "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
             if keep_ids:
-                out["ids"] = pa.array([r[3] for r in rows], pa.list_(pa.int32()))
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                out["ids"] = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*ids, np.empty(0, np.int32)])))
             yield pa.RecordBatch.from_pydict(out)
     return run
 
@@ -243,12 +306,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, words: int = DICTIONA
     ids decode to) and, with ``keep_ids``, the ids themselves."""
     spark: SparkSession = docs.sparkSession
     bounded_batches(spark)
-    import numpy as np
-    ranks = load_ranks(ranks_path)
+    with open(ranks_path, "rb") as f:
+        ranks = f.read()
     sc = spark.sparkContext
-    known = {r.word: np.asarray(r.ids, dtype=np.uint32).tobytes()
-             for r in word_dictionary(docs, ranks, pattern, words).toLocalIterator()}
-    ranks_b, known_b = sc.broadcast(ranks), sc.broadcast(known)
+    # the dictionary passes the driver as Arrow, never as Python rows
+    dictionary_b = sc.broadcast(_ipc(word_dictionary(docs, parse_ranks(ranks), pattern, words).toArrow()))
+    ranks_b = sc.broadcast(ranks)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(
-        _encoder(pattern, ranks_b, known_b, keep_ids), schema + (", ids array<int>" if keep_ids else ""))
+        _encoder(pattern, ranks_b, dictionary_b, keep_ids), schema + (", ids array<int>" if keep_ids else ""))

@@ -56,8 +56,8 @@ def test_fold_heap_and_decoding_agree(spark):
     ranks, enc = bpe.load_ranks(RANKS), encoding()
     words = ["", " ", "a", " thbleatha", "ñandú", "日本語", "    ", "zzzzzzzzzzzzz", " Unconstitutionally"]
     rows = spark.createDataFrame([(w,) for w in words], "word string").select(
-        "word", bpe.encode_words(F.col("word"), ranks).alias("ids"))
-    for r in rows.withColumn("back", bpe.decode_ids(F.col("ids"), ranks)).collect():
+        "word", bpe.encode_words(spark, F.col("word"), ranks).alias("ids"))
+    for r in rows.withColumn("back", bpe.decode_ids(spark, F.col("ids"), ranks)).collect():
         assert r.ids == enc._encode_single_piece(r.word) if r.word else r.ids == []
         assert r.ids == bpe.merge_bytes(r.word.encode(), ranks)
         assert bytes(r.back) == r.word.encode()
