@@ -202,7 +202,7 @@ def kde(df: DataFrame, value: str, grid_points: int = 100, bins: int | None = No
     with density NULL.
     """
     x = F.col(value).cast("double")
-    base = df.filter(x.isNotNull()).select(x.alias("_x"))
+    base = df.filter(x.isNotNull() & ~F.isnan(x)).select(x.alias("_x"))
     # four scalars, one pass, to the driver (bounded)
     st = base.agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("mn"), F.max("_x").alias("mx"),
                   F.stddev_samp("_x").alias("sd")).first()

@@ -21,13 +21,14 @@ A NULL label, prediction or score is an error: no row is left out silently.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterable
 
-from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.expr import is_default
+from ..session import scratch_path
 from ._util import join_groups, join_small
 
 # --- metric expressions --------------------------------------------------------
@@ -155,9 +156,9 @@ def threshold_sweep(scored: DataFrame, thresholds: Iterable[float], label: str =
 
 def argmax_threshold(sweep: DataFrame, metric: str = "f1") -> DataFrame:
     """SRT-5: the cut-off with the best metric (smallest cut-off on ties)."""
-    best = sweep.agg(F.max(metric)).scalar()
-    return (sweep.filter(F.col(metric) == best)
-            .agg(F.min("threshold").alias("threshold"), F.max(metric).alias(metric)))
+    best = F.max(F.struct(F.col(metric).alias("m"), (-F.col("threshold")).alias("t")))
+    return (sweep.filter(F.col(metric).isNotNull()).agg(best.alias("_b"))
+            .select((-F.col("_b.t")).alias("threshold"), F.col("_b.m").alias(metric)))
 
 
 # --- cumulative counts in descending score order (WIN-1 / WIN-2) ---------------------
@@ -173,12 +174,14 @@ def cumulative_counts(scored: DataFrame, label: str = "label", score: str = "sco
     """
     group = list(group)
     y = _given(label).cast("int") == 1
-    # one row per distinct score; kept because the count, the boundary sketch,
-    # the bucket totals and the windows all read it (and the scored input is
-    # often a model's output, expensive to recompute)
+    # one row per distinct score; written to the shared folder because the count, the
+    # boundary sketch, the bucket totals and the windows all read it (and the scored input is
+    # often a model's output, expensive to recompute); nothing stays cached
     dist = (scored.groupBy(*group, _given(score).cast("double").alias("score"))
-            .agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
-            .persist(StorageLevel.MEMORY_AND_DISK))
+            .agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg")))
+    path = scratch_path(scored.sparkSession, f"scores-{uuid.uuid4().hex}")
+    dist.write.parquet(path)
+    dist = scored.sparkSession.read.schema(dist.schema).parquet(path)
     if buckets is None:
         n_dist = dist.count()
         buckets = max(1, min(max_buckets, math.ceil(n_dist / rows_per_bucket)))
@@ -259,9 +262,9 @@ def threshold_for_recall(scored: DataFrame, target: float, label: str = "label",
     reach the target recall, with precision and fpr there."""
     cum = cumulative_counts(scored, label, score, **kw)
     rec = _ratio(F.col("cum_tp"), F.col("P"))
-    ok = cum.filter(rec >= F.lit(float(target)))
-    best = ok.agg(F.max("score")).scalar()
-    return ok.filter(F.col("score") == best).select(
+    # the point of the highest score, its columns with it, in one aggregation
+    best = cum.filter(rec >= F.lit(float(target))).agg(F.max(F.struct("score", "cum_tp", "cum_fp", "P", "N")).alias("_b"))
+    return best.filter(F.col("_b").isNotNull()).select("_b.*").select(
         F.col("score").alias("threshold"), rec.alias("recall"),
         _ratio(F.col("cum_tp"), F.col("cum_tp") + F.col("cum_fp")).alias("precision"),
         _ratio(F.col("cum_fp"), F.col("N")).alias("fpr"))
@@ -271,8 +274,8 @@ def model_comparison(scored: DataFrame, model: str = "model", label: str = "labe
                      score: str = "score", prediction: str = "prediction", **kw) -> DataFrame:
     """EVA-14: accuracy, recall and AUC per model over a union of scored
     tables (one ``model`` column)."""
-    y = F.col(label).cast("int") == 1
-    p = F.col(prediction).cast("int") == 1
+    y = _given(label).cast("int") == 1
+    p = _given(prediction).cast("int") == 1
     m = scored.groupBy(model).agg(
         F.avg((y == p).cast("double")).alias("accuracy"),
         _ratio(F.count_if(y & p), F.count_if(y)).alias("recall"))
@@ -288,7 +291,7 @@ def collapse_multiclass(df: DataFrame, class_col: str, default: Iterable[str],
 def error_analysis(scored: DataFrame, by: str, label: str = "label",
                    prediction: str = "prediction") -> DataFrame:
     """EVA-16: errors per original class: rows, wrong rows and error rate."""
-    err = F.col(label).cast("int") != F.col(prediction).cast("int")
+    err = _given(label).cast("int") != _given(prediction).cast("int")
     return scored.groupBy(by).agg(F.count(F.lit(1)).alias("n"),
                                   F.count_if(err).alias("n_wrong"),
                                   F.avg(err.cast("double")).alias("error_rate"))
@@ -296,6 +299,6 @@ def error_analysis(scored: DataFrame, by: str, label: str = "label",
 
 def null_classifier(df: DataFrame, label: str = "label") -> DataFrame:
     """VAL-9: accuracy and matrix of always predicting 0."""
-    y = F.col(label).cast("int") == 1
+    y = _given(label).cast("int") == 1
     return df.agg(F.avg((~y).cast("double")).alias("accuracy"),
                   F.count_if(~y).alias("tn"), F.count_if(y).alias("fn"))

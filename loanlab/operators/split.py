@@ -86,11 +86,64 @@ def train_test_split(df: DataFrame, test_size: float = 0.3, seed: int = 123,
     """
     if not exact:
         return df.withColumn(out, hash_fraction_filter(id_col, seed, test_size))
+    first = first_by_hash(df, lambda n: math.ceil(n * float(test_size)), id_col, seed)
+    if first is not None:
+        return df.withColumn(out, first)
+    # the border lies between rows of one id (or without one): only a rank tells them apart
     n = df.count()
     ranked = hash_rank(df, id_col, seed, out="_r", n=n)
     return ranked.withColumn(out, F.col("_r") <= F.lit(math.ceil(n * float(test_size)))).drop("_r")
 
 
+PREFIX = 4  # hex digits a level: 65,536 counts
+AT_ONCE = 10_000  # rows whose keys are looked at directly
+
+
+def first_by_hash(df: DataFrame, wanted, id_col: str = "id", seed: int = 0):
+    """A condition that holds for exactly the first ``wanted(n)`` of the n rows in (hash, id) order
+    (rows without an id first), or None if rows of one id lie on both sides of the border.
+
+    Selection without sorting or moving rows: rows are counted by the first digits of their
+    hash, the prefix in which the border lies is counted by the next digits, and so on until
+    at most ``AT_ONCE`` rows are left, whose keys are looked at; the border is then a literal.
+    """
+    h = hash_key(id_col, seed)
+    keys = df.select(h.alias("h"), F.col(id_col).alias("i"))
+    counts = dict(keys.groupBy(F.substring("h", 1, PREFIX).alias("p")).count().collect())
+    want, before, prefix = wanted(sum(counts.values())), counts.pop(None, 0), ""
+    if want <= 0:
+        return F.lit(False)
+    if want < before:
+        return None
+    while True:
+        for prefix in sorted(counts):
+            if before + counts[prefix] >= want:
+                break
+            before += counts[prefix]
+        else:
+            return F.lit(True) if counts or want >= before else None
+        if counts[prefix] <= AT_ONCE or len(prefix) >= 32:
+            break
+        inside = keys.where(F.col("h").startswith(prefix))
+        counts = dict(inside.groupBy(F.substring("h", 1, len(prefix) + PREFIX)).count().collect())
+    inside = keys.where(F.col("h").startswith(prefix))
+    if len(prefix) >= 32 and counts[prefix] > AT_ONCE:  # rows of one hash: count them by id
+        rows = [(r.h, r.i, r["count"]) for r in inside.groupBy("h", "i").count().orderBy("h", "i").collect()]
+    else:
+        rows = [(r.h, r.i, 1) for r in inside.collect()]
+    if want == before:
+        return h.isNull() | (h < F.lit(prefix))
+    total: dict = {}
+    for k, i, n in rows:
+        total[(k, i)] = total.get((k, i), 0) + n
+    for k, i in sorted(total):
+        before += total[(k, i)]
+        if before >= want:
+            if before > want:
+                return None
+            return h.isNull() | (h < F.lit(k)) | ((h == F.lit(k)) & (F.col(id_col) <= F.lit(i)))
+
+
 def k_fold(df: DataFrame, k: int = 10, seed: int = 0, id_col: str = "id",
            out: str = "fold") -> DataFrame:
     """VAL-2: fold = (rank in hash order - 1) mod k; fold sizes differ by at

@@ -79,3 +79,38 @@ def test_evaluation_refuses_null(scored, name, gap):
     holed = scored.withColumn(gap, F.when(F.col("id") != 7, F.col(gap)))
     with pytest.raises(Exception, match=f"NULL in {gap}"):
         getattr(V, name)(holed, *([[0.2, 0.5]] if name == "threshold_sweep" else [])).collect()
+
+
+def test_split_by_selection_moves_no_rows(spark, monkeypatch):
+    df = spark.range(5000).withColumn("x", F.rand(1))
+    ranked = {r.id for r in S.hash_rank(df, "id", 123, out="r").where("r <= 1500").collect()}
+    for at_once in (10_000, 3):  # one level, and down to single digits
+        monkeypatch.setattr(S, "AT_ONCE", at_once)
+        flagged = S.train_test_split(df, 0.3, 123)
+        assert {r.id for r in flagged.where("is_test").collect()} == ranked and flagged.count() == 5000
+        assert "Exchange" not in flagged._jdf.queryExecution().toString()
+    odd = spark.createDataFrame([(None,)] * 7 + [(1,)] * 5 + [(i,) for i in range(2, 30)], "id int")
+    for share in (0.0, 0.1, 0.175, 0.2, 0.25, 0.5, 1.0):
+        flagged = S.train_test_split(odd, share)
+        assert flagged.count() == 40 and flagged.where("is_test").count() == -(-round(share * 40 * 1000) // 1000)
+    assert S.train_test_split(odd.limit(0), 0.3).count() == 0
+
+
+@pytest.mark.parametrize("column", ["label", "prediction"])
+def test_null_labels_and_predictions_are_refused(scored, column):
+    bad = scored.withColumn(column, F.when(F.col("id") != 3, F.col(column)))
+    for run in (lambda: V.model_comparison(bad).collect(), lambda: V.error_analysis(bad, "model").collect(),
+                *([lambda: V.null_classifier(bad).collect()] if column == "label" else [])):
+        with pytest.raises(Exception, match=f"NULL in {column}"):
+            run()
+
+
+def test_nan_is_missing_in_a_density_and_curves_keep_no_cache(spark, scored):
+    a = D.kde(spark.createDataFrame([(1.0,), (2.0,), (float("nan"),), (None,)], "v double"), "v").collect()
+    b = D.kde(spark.createDataFrame([(1.0,), (2.0,)], "v double"), "v").collect()
+    assert sorted(map(str, a)) == sorted(map(str, b))
+    kept = spark.sparkContext._jsc.getPersistentRDDs().size()
+    V.roc_curve(scored).count()
+    V.auc(scored).count()
+    V.threshold_for_recall(scored, 0.5).count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept
