@@ -3,13 +3,16 @@ aggregations, profiling, scalar functions, plot data."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import catalog
 from ..functions import expr as X
 from ..operators import explore as E, profile as P, split as S
 from ..sources.fixture import FIXTURE_STATUSES, LOAN_COLUMNS
-from ..sources.loans import null_sentinel
+from ..session import scratch_path
+from ..sources.loans import load_loans, null_sentinel
 from .registry import loans, oracle, query, rnd
 
 DEFAULT = list(FIXTURE_STATUSES.default)
@@ -50,7 +53,12 @@ CLEAN_CTE = ", clean AS (SELECT * REPLACE (nullif(emp_length, 'n/a') AS emp_leng
 
 @query("load_loans", oracle(_sel(LOAN_COLUMNS)))
 def q_load_loans(spark, sf):
-    return rnd(loans(spark, sf))
+    """The loan table written as CSV, columns in another order, and read back by header names."""
+    given = loans(spark, sf)
+    path = scratch_path(spark, f"loan-csv-{uuid.uuid4().hex}")
+    given.select(*reversed(given.columns)).write.options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return rnd(load_loans(spark, path, given.schema))
 
 
 @query("null_sentinel", oracle(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..catalog import SENTINEL_TEXT, loan_schema
+from .records import csv_records
 
 
 def load_loans(spark: SparkSession, path: str, schema: T.StructType | None = None,
@@ -17,7 +18,7 @@ def load_loans(spark: SparkSession, path: str, schema: T.StructType | None = Non
     span lines (free-text ``desc``), leading blanks stay (``' 36 months'`` is
     a category value), NaN becomes NULL. Cells that do not parse are NULL and
     their record is in ``MALFORMED`` (``count_malformed``). Parquet is read
-    as is. A multi-line file is one task: convert the CSV once.
+    as is. A file is read by as many tasks as it has splits (``records``).
     """
     if fmt == "parquet":
         return spark.read.parquet(path)
@@ -27,23 +28,24 @@ def load_loans(spark: SparkSession, path: str, schema: T.StructType | None = Non
 MALFORMED = "_malformed_record"
 
 
-def _csv(spark: SparkSession):
-    return (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", MALFORMED))
+OPTIONS = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "mode": "PERMISSIVE",
+           "columnNameOfCorruptRecord": MALFORMED}
 
 
 def _read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    header = _csv(spark).csv(path).columns  # names only: without inference no data is parsed
+    # names only: without inference no data is parsed
+    header = spark.read.options(header=True, multiLine=True, **OPTIONS).csv(path).columns
     known = {f.name: f for f in schema.fields}
     if set(header) != set(known) or len(header) != len(known):
         raise ValueError(f"loan file: unknown columns {sorted(set(header) - set(known))}, "
                          f"missing columns {sorted(set(known) - set(header))}")
     by_file = T.StructType([known[c] for c in header] + [T.StructField(MALFORMED, T.StringType())])
-    df = _csv(spark).schema(by_file).csv(path)
-    return df.select(*[F.nanvl(F.col(f.name), F.lit(None).cast(f.dataType)).alias(f.name)
-                       if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
-                       for f in schema.fields], MALFORMED)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in by_file)
+    text = F.regexp_replace("record", r"\r$", "")
+    df = csv_records(spark, path).select(F.from_csv(text, ddl, OPTIONS).alias("r"))
+    return df.select(*[F.nanvl(F.col(f"r.{f.name}"), F.lit(None).cast(f.dataType)).alias(f.name)
+                       if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"r.{f.name}").alias(f.name)
+                       for f in schema.fields], F.col(f"r.{MALFORMED}").alias(MALFORMED))
 
 
 def count_malformed(spark: SparkSession, path: str, schema: T.StructType | None = None) -> int:

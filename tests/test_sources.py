@@ -48,3 +48,35 @@ def test_csv_columns_go_by_header_name(spark, tmp_path):
     p.write_text("id,other\n1,2\n")
     with pytest.raises(ValueError, match="other"):
         load_loans(spark, str(p))
+
+
+def test_quoted_line_feeds_in_many_tasks(spark, tmp_path):
+    """Every split size gives the records that one task reads from the whole file."""
+    from loanlab.sources.records import csv_records
+    rng = random.Random(8)
+
+    def cell():
+        kind = rng.randrange(6)
+        plain = "".join(rng.choice("abé ") for _ in range(rng.randrange(8)))
+        if kind == 0:
+            return '"' + "".join(rng.choice(['a', ',', '\n', '""', ' ', '\n\n']) for _ in range(rng.randrange(60))) + '"'
+        return {1: plain + '5" pipe', 2: '""', 3: ""}.get(kind, "x" + plain)
+    for k, end in (("a", "\n"), ("b", "\n"), ("c", "\r\n")):
+        body = [",".join([str(i), cell().replace("\n", "\n"), cell(), "end"]) for i in range(150)]
+        (tmp_path / f"{k}.csv").write_bytes((end.join(["id,x,y,z", *body, "", '9999,"no end' if k == "b" else "9999,1,2,3"])
+                                             + ("" if k == "b" else end)).encode())
+    options = {"header": True, "multiLine": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    ddl = "id string, x string, y string, z string"
+    want = sorted(map(str, spark.read.options(**options).schema(ddl).csv(str(tmp_path)).where("id < 9999").collect()))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (old, "4000", "700", "90", "17"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            found = csv_records(spark, str(tmp_path)).selectExpr("regexp_replace(record, '\r$', '') record")
+            got = found.selectExpr(f"from_csv(record, '{ddl}', map('escape', '\"', 'ignoreLeadingWhiteSpace', 'false', "
+                                   "'ignoreTrailingWhiteSpace', 'false')) r").select("r.*").where("id < 9999")
+            assert sorted(map(str, got.collect())) == want, size
+        assert found.rdd.getNumPartitions() >= 8
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(want) == 450
