@@ -1,11 +1,10 @@
 """MOD-3: AdaBoost (discrete SAMME) over weighted decision stumps.
 
-Each round fits a ``DecisionTreeClassifier(maxDepth=1, weightCol=w)`` on
-the training rows, measures its weighted error with one aggregation, and
-re-weights misclassified rows with a column expression. The weight column's
-lineage grows by one model per round, so the working table (id, features,
-label, weight) is checkpointed -- reliably, into ``spark.checkpoint.dir`` --
-every few rounds; it survives executor loss.
+Features are binned once. All stumps of a round are one table of class weights
+by (feature, bin), a single weighted aggregation over the binned rows; the best
+Gini split and its weighted error are read off this table, so a round is one
+pass. A row's weight is never stored: it follows from the stumps so far, which
+go to the tasks as numbers. The model is one array expression.
 
 Class probabilities follow the usual SAMME rule: the stumps' leaf class
 distributions averaged with the round weights, then a softmax with
@@ -16,18 +15,43 @@ from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel, keyword_only
+from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasMaxIter, HasPredictionCol, HasSeed, Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import ensure_checkpoint_dir
+from . import forest as FO
 from ._persist import SavedState
 
 
+class Stump(Model, HasFeaturesCol, HasPredictionCol):
+    """Class shares on both sides of ``features[feature] <= threshold`` (feature -1: no split, the left side)."""
+
+    def __init__(self, feature=-1, threshold=0.0, left=(), right=()):
+        super().__init__()
+        self._setDefault(featuresCol="features", predictionCol="prediction")
+        self.feature, self.threshold, self.left, self.right = feature, threshold, list(left), list(right)
+
+    def setFeaturesCol(self, value):
+        return self._set(featuresCol=value)
+
+    def setPredictionCol(self, value):
+        return self._set(predictionCol=value)
+
+    def predict(self, features) -> float:
+        side = self.left if self.feature < 0 or features[self.feature] <= self.threshold else self.right
+        return float(side.index(max(side)))
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        x, classes = F.get(vector_to_array(self.getFeaturesCol()), F.lit(max(self.feature, 0))), []
+        for side in (self.left, self.right):
+            classes.append(F.lit(float(side.index(max(side)))))
+        return df.withColumn(self.getPredictionCol(), F.when(
+            F.lit(self.feature < 0) | (x <= F.lit(self.threshold)), classes[0]).otherwise(classes[1]))
+
+
 class _AdaParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasMaxIter, HasSeed):
     learningRate = Param(Params._dummy(), "learningRate", "shrinkage of the round weights",
                          typeConverter=TypeConverters.toFloat)
@@ -50,30 +74,22 @@ class AdaBoost(Estimator, _AdaParams, DefaultParamsReadable, DefaultParamsWritab
 
     def _fit(self, df: DataFrame):
         feat, label = self.getFeaturesCol(), self.getLabelCol()
-        spark = df.sparkSession
-        ensure_checkpoint_dir(spark)
-        data = df.select(F.col(feat).alias("_f"), F.col(label).cast("double").alias("_y"))
-        K = len(data.select("_y").distinct().collect())  # number of classes (bounded)
-        K = max(K, 2)
-        n = data.count()
-        work = data.withColumn("_w", F.lit(1.0 / n)).checkpoint()
+        data = df.select(F.monotonically_increasing_id().alias("id"), F.col(feat).alias("features"),
+                         F.col(label).cast("double").alias("label"))
+        K = max(2, len(data.select("label").distinct().collect()))  # number of classes (bounded)
+        bounds = FO.feature_bounds(data, max_bins=self.getOrDefault(self.maxBins), middle=True)
+        rows = FO._stored(FO.binned(data, bounds).select("y", "bins"), "ada")
         lr = self.getOrDefault(self.learningRate)
-        stumps, alphas = [], []
-        held = None  # the cached scored table the current weights are read from
-        for m in range(self.getMaxIter()):
-            dt = DecisionTreeClassifier(maxDepth=1, featuresCol="_f", labelCol="_y", weightCol="_w",
-                                        maxBins=self.getOrDefault(self.maxBins), seed=self.getSeed() + m)
-            stump = dt.fit(work)
-            # the scored rows are kept: the error aggregation fills the cache and the
-            # next round's weights are a projection of it (one pass per round saved)
-            pred = (stump.setPredictionCol("_p").setRawPredictionCol("").setProbabilityCol("")
-                    .transform(work).persist(StorageLevel.MEMORY_AND_DISK))
-            miss = (F.col("_p") != F.col("_y")).cast("double")
-            r = pred.agg(F.sum(F.col("_w") * miss).alias("e"), F.sum("_w").alias("t")).first()
-            if held is not None:
-                held.unpersist()
-            held = pred
-            err = (r["e"] or 0.0) / r["t"]
+        stumps, alphas, past = [], [], []  # past: (feature, bin, left class, right class, weight, log of the weights' sum)
+        for _ in range(self.getMaxIter()):
+            table = _class_weights(rows, past, len(bounds), max(map(len, bounds), default=0) + 1, K)
+            feature, cut, left, right = _best_stump(table)
+            total = float(left.sum() + right.sum())
+            err = float(total - left.max() - right.max()) / total
+            stump = Stump(feature, bounds[feature][cut] if feature >= 0 else 0.0, (left / left.sum()).tolist(),
+                          (right / right.sum()).tolist() if feature >= 0 else [])
+            if feature < 0:
+                stump.right = stump.left
             if err <= 0:
                 stumps.append(stump)
                 alphas.append(1.0)
@@ -85,22 +101,62 @@ class AdaBoost(Estimator, _AdaParams, DefaultParamsReadable, DefaultParamsWritab
             alpha = lr * (math.log((1 - err) / err) + math.log(K - 1))
             stumps.append(stump)
             alphas.append(alpha)
-            nw = F.col("_w") * F.exp(F.lit(alpha) * miss)
-            work = pred.select("_f", "_y", (nw / F.lit(r["t"])).alias("_w"))
-            if (m + 1) % self.getOrDefault(self.checkpointInterval) == 0:
-                # cut the lineage reliably (shared checkpoint folder)
-                work = work.checkpoint()
-                held.unpersist()
-                held = None
-        if held is not None:
-            held.unpersist()
-        model = AdaBoostModel(stumps=stumps, alphas=alphas, num_classes=K)
-        return self._copyValues(model)
-
-
-def _scale_by(a: float):
-    w = F.lit(float(a))
-    return lambda v: v * w
+            past.append((feature, cut, int(left.argmax()), int(right.argmax()), alpha,
+                         math.log(total) + math.log1p(err * math.expm1(alpha))))
+        return self._copyValues(AdaBoostModel(stumps=stumps, alphas=alphas, num_classes=K))
+
+
+def _class_weights(rows: DataFrame, past: list, p: int, n_bins: int, k: int):
+    """Class weights (p x n_bins x k) of all rows by feature and bin, weights as the stumps so far make them."""
+    import numpy as np
+
+    def run(batches):
+        import pyarrow as pa
+        sums = np.zeros((k, p * n_bins))
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(n, p)
+            y, log_w = batch.column("y").to_numpy(), np.zeros(n)
+            for feature, cut, left, right, alpha, norm in past:
+                said = np.where(bins[:, feature] <= cut, left, right) if feature >= 0 else np.full(n, left)
+                log_w += alpha * (said != y)
+                log_w -= norm
+            w, place = np.exp(log_w), np.arange(p) * n_bins + bins
+            for c in range(k):
+                own = y == c
+                sums[c] += np.bincount(place[own].ravel(), np.repeat(w[own], p), p * n_bins)
+        at = np.flatnonzero(sums.sum(axis=0))
+        yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int64()),
+                                          **{f"c{c}": pa.array(sums[c][at]) for c in range(k)}})
+    schema = "at long, " + ", ".join(f"c{c} double" for c in range(k))
+    found = rows.mapInArrow(run, schema).groupBy("at").agg(*[F.sum(f"c{c}").alias(f"c{c}") for c in range(k)])
+    got = found.toArrow()  # a row a feature and bin
+    table = np.zeros((p * n_bins, k))
+    for c in range(k):
+        table[got.column("at").to_numpy(), c] = got.column(f"c{c}").to_numpy()
+    return table.reshape(p, n_bins, k)
+
+
+def _best_stump(table):
+    """(feature, bin, left class weights, right ones) of the best Gini split; ties to the first
+    feature and bin; feature -1 and all weights on the left where no split separates anything."""
+    import numpy as np
+    left = table.cumsum(axis=1)
+    right = left[:, -1:, :] - left
+    whole = left[0, -1] if len(left) else np.ones(1)
+    n_left, n_right = left.sum(axis=2), right.sum(axis=2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = (left ** 2).sum(axis=2) / n_left + (right ** 2).sum(axis=2) / n_right
+    tiny = 1e-12 * whole.sum()  # what rounding leaves of an empty side
+    gain = np.where((n_left > tiny) & (n_right > tiny), gain, -np.inf)
+    best = gain.max() if gain.size else -np.inf
+    if not best > (whole ** 2).sum() / whole.sum() * (1 + 1e-12):
+        return -1, -1, whole, np.zeros_like(whole)
+    at = int(np.argmax(gain >= best * (1 - 1e-12)))  # splits that rounding alone tells apart are ties
+    f, b = at // gain.shape[1], at % gain.shape[1]
+    return f, b, left[f, b], np.maximum(right[f, b], 0)
 
 
 class AdaBoostModel(Model, _AdaParams, SavedState):
@@ -111,43 +167,38 @@ class AdaBoostModel(Model, _AdaParams, SavedState):
         self.num_classes = num_classes
 
     def _state(self) -> dict:
-        return {"alphas": [float(a) for a in self.alphas], "num_classes": self.num_classes}
-
-    def _parts(self) -> list:
-        return self.stumps
+        return {"alphas": [float(a) for a in self.alphas], "num_classes": self.num_classes,
+                "stumps": [[s.feature, s.threshold, s.left, s.right] for s in self.stumps]}
 
     @classmethod
     def _from_state(cls, state: dict, path: str) -> AdaBoostModel:
-        stumps = [DecisionTreeClassificationModel.load(f"{path}/part-{i}") for i in range(len(state["alphas"]))]
-        return cls(stumps=stumps, **state)
+        return cls([Stump(*s) for s in state["stumps"]], state["alphas"], state["num_classes"])
+
+    def _summed(self, x: Column, left: list, right: list) -> Column:
+        """Sum over the stumps of the array that their side gives (``left`` or ``right``, a row a stump)."""
+        def row(values):
+            return F.array(*[F.lit(float(v)) for v in values])
+        table = F.array(*[F.struct(F.lit(max(s.feature, 0)).alias("f"), F.lit(float(s.threshold)).alias("t"),
+                                   F.lit(s.feature < 0).alias("o"), row(a).alias("l"), row(b).alias("r"))
+                          for s, a, b in zip(self.stumps, left, right, strict=True)])
+        return F.aggregate(table, row([0.0] * self.num_classes), lambda acc, s: F.zip_with(
+            acc, F.when(s["o"] | (F.get(x, s["f"]) <= s["t"]), s["l"]).otherwise(s["r"]), lambda a, b: a + b))
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        feat = self.getFeaturesCol()
-        out = df
-        acc = None
-        votes = []  # (prediction column, weight) of every stump
-        for i, (s, a) in enumerate(zip(self.stumps, self.alphas)):
-            col = f"_ada_p{i}"
-            out = (s.copy().setFeaturesCol(feat).setProbabilityCol(col).setRawPredictionCol("")
-                   .setPredictionCol(f"_ada_v{i}").transform(out))
-            votes.append((f"_ada_v{i}", float(a)))
-            term = F.transform(vector_to_array(F.col(col)), _scale_by(a))
-            acc = term if acc is None else F.zip_with(acc, term, lambda x, y: x + y)
-            out = out.withColumn(f"_ada_acc{i}", acc).drop(col)
-            acc = F.col(f"_ada_acc{i}")
-            if i > 0:
-                out = out.drop(f"_ada_acc{i - 1}")
-        total = float(sum(self.alphas))
-        K = self.num_classes
-        dec = F.transform(acc, lambda v: F.exp(v / F.lit(total) / F.lit(float(K - 1))))
-        z = F.aggregate(dec, F.lit(0.0), lambda s_, v: s_ + v)
-        prob = F.transform(dec, lambda v: v / z)
-        last = f"_ada_acc{len(self.stumps) - 1}"
-        out = out.withColumn("probability", array_to_vector(prob))
+        K, total = self.num_classes, float(sum(self.alphas))
+
+        def vote(side, a):
+            return [a if k == side.index(max(side)) else 0.0 for k in range(K)]
+        pairs = list(zip(self.stumps, self.alphas, strict=True))
+        out = df.withColumn("_ada_x", vector_to_array(self.getFeaturesCol()))
+        x = F.col("_ada_x")
+        shares = self._summed(x, [[a * v for v in s.left] for s, a in pairs], [[a * v for v in s.right] for s, a in pairs])
         # the label is the weighted vote of the stumps, ties to the smaller class
-        tally = F.array(*[F.aggregate(
-            F.array(*[F.when(F.col(v) == k, F.lit(a)).otherwise(F.lit(0.0)) for v, a in votes]),
-            F.lit(0.0), lambda s_, v: s_ + v) for k in range(K)])
-        return (out.withColumn(self.getPredictionCol(),
-                               (F.array_position(tally, F.array_max(tally)) - 1).cast("double"))
-                .drop(last, *[v for v, _ in votes]))
+        tally = self._summed(x, [vote(s.left, a) for s, a in pairs], [vote(s.right, a) for s, a in pairs])
+        out = out.withColumns({"_ada_d": F.transform(shares, lambda v: F.exp(v / F.lit(total) / F.lit(float(K - 1)))),
+                               "_ada_t": tally})
+        z = F.aggregate("_ada_d", F.lit(0.0), lambda s, v: s + v)
+        return out.withColumns({
+            "probability": array_to_vector(F.transform("_ada_d", lambda v: v / z)),
+            self.getPredictionCol(): (F.array_position("_ada_t", F.array_max("_ada_t")) - 1).cast("double")}).drop(
+            "_ada_x", "_ada_d", "_ada_t")

@@ -102,9 +102,10 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def feature_bounds(df: DataFrame, features: str = "features", max_bins: int = 64, seed: int = 0, id_col: str = "id",
-                   sample: int = BIN_SAMPLE) -> list:
+                   sample: int = BIN_SAMPLE, middle: bool = False) -> list:
     """Upper bounds of the bins of every feature, from about ``sample`` rows chosen by hash: all
-    values but the largest where there are at most ``max_bins``, else quantiles."""
+    values but the largest where there are at most ``max_bins``, else quantiles. With ``middle``
+    a bound lies half way to the next value."""
     share = min(1.0, sample / max(1, df.count()))
     u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     values = df.where(u < share).select(F.posexplode(vector_to_array(features)).alias("f", "v"))
@@ -112,6 +113,8 @@ def feature_bounds(df: DataFrame, features: str = "features", max_bins: int = 64
     values = values.groupBy("f").agg(F.collect_set("v").alias("s"), cuts.alias("q"))
     bounds = F.when(F.size("s") <= max_bins, F.array_sort("s")).otherwise(F.array_sort(F.array_distinct("q")))
     rows = values.select("f", bounds.alias("b")).orderBy("f").collect()  # a row a feature, max_bins numbers each
+    if middle:
+        return [[(a + b) / 2 for a, b in zip(r.b, r.b[1:], strict=False)] for r in rows]
     return [list(r.b[:-1]) for r in rows]
 
 

@@ -140,3 +140,35 @@ def test_classes_weights_importance_and_odd_rows(spark, data):
     assert {r.feature for r in model.nodes.collect()} <= {-1}
     with pytest.raises(ValueError):
         FO.grow(data.withColumn("label", F.lit(None).cast("double")), [FO.Fit("a", 1)])
+
+
+def test_stumps_are_those_of_whole_fits(spark):
+    """The stump table gives, round by round, what a decision tree of depth 1 over weighted rows gives."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    from loanlab.operators.adaboost import AdaBoost
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, 30, (400, 4)) / 10.0
+    y = ((x[:, 0] + x[:, 1] ** 2 / 3 + rng.normal(size=400) * 0.4) > 2.5).astype(float)
+    df = spark.createDataFrame([(x[i].tolist(), float(y[i])) for i in range(400)], "x array<double>, label double")
+    df = df.select(array_to_vector("x").alias("features"), "label").repartition(3).persist()
+    model = AdaBoost(maxIter=6).fit(df)
+    w = np.full(400, 1 / 400)
+    for stump, alpha in zip(model.stumps, model.alphas, strict=True):
+        weighted = spark.createDataFrame([(x[i].tolist(), float(y[i]), float(w[i])) for i in range(400)],
+                                         "x array<double>, label double, w double")
+        tree = DecisionTreeClassifier(maxDepth=1, weightCol="w", maxBins=64).fit(
+            weighted.select(array_to_vector("x").alias("features"), "label", "w"))
+        said = np.array([stump.predict(r) for r in x])
+        whole = np.array([r.prediction for r in tree.transform(
+            weighted.select(array_to_vector("x").alias("features"))).collect()])
+        assert tree.toDebugString.count(f"feature {stump.feature} <= {stump.threshold}") == 1 and (said == whole).all()
+        err = w[said != y].sum()
+        assert alpha == pytest.approx(np.log((1 - err) / err), rel=1e-9)
+        w = w * np.exp(alpha * (said != y))
+        w /= w.sum()
+    many = AdaBoost(maxIter=40).fit(df)
+    out = many.transform(df).select("features", "label", "prediction").collect()
+    assert len(many.stumps) == 40 and np.mean([r.label == r.prediction for r in out]) > 0.88
+    flat = df.withColumn("features", array_to_vector(F.array(F.lit(1.0), F.lit(2.0))))
+    assert {r.prediction for r in AdaBoost(maxIter=3).fit(flat).transform(flat).collect()} == {float(y.mean() > 0.5)}
