@@ -17,9 +17,10 @@ a window by query merges them. The pivots are ``PIVOTS`` rows chosen by hash.
 Defined results: rows whose id or vector is null, whose vector is empty, holds a null or a
 non-finite component, or has another length than the most frequent one (ties:
 the shorter) take no part; a query has as many rows as there are candidates, up to k; rows that
-repeat an id are candidates each, except for the query's own id; extra
-columns are ignored; empty tables give an empty result. Components must stay
-below 2^20 after scaling for the score to be exact in 64 bits.
+repeat an id are candidates each, except for the query's own id; query rows that share an
+id but not the vector have k rows each, query rows equal in both are one; extra
+columns are ignored; empty tables give an empty result. Where components are so large
+that a score or squared distance could leave 64 bits, an ArithmeticError says so.
 """
 
 from __future__ import annotations
@@ -40,7 +41,9 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.coalesce(finite, F.lit(False)))
-    return rows.select("vec_id", F.transform("v", lambda x: F.floor(x * float(scale)).cast("long")).alias("v"))
+    # what lies beyond is held there, and refused by top_k()
+    return rows.select("vec_id", F.transform("v", lambda x: F.floor(F.least(F.greatest(
+        x * float(scale), F.lit(-2.0 ** 40)), F.lit(2.0 ** 40))).cast("long")).alias("v"))
 
 
 def _with_pivots(pivots):
@@ -70,15 +73,15 @@ def pivot_table(rows: DataFrame, n_pivots: int = PIVOTS) -> DataFrame:
                   "pivots")
 
 
-def best_of_block(q_id, q, q_square, q_dist, ids, x, squares, dist, k: int):
-    """Top k of the rows for one query: (ids, scores, rows evaluated)."""
+def best_of_block(q_id, q, q_square, q_dist, ids, x, squares, dist, k: int, before=None):
+    """Top k of the rows, and of ``before`` (ids, scores), for one query: (ids, scores, rows evaluated)."""
     import numpy as np
     low = np.abs(dist - q_dist[None, :]).max(axis=1) * (1 - 1e-9) - 1e-6
     bound = (q_square + squares - np.square(np.maximum(low, 0))) / 2 + 1e-3
     bound[ids == q_id] = -np.inf
     order = np.argsort(-bound, kind="stable")
     order = order[:np.searchsorted(-bound[order], np.inf)]  # without the query's own rows
-    best_id, best = np.empty(0, np.int64), np.empty(0, np.int64)
+    best_id, best = before or (np.empty(0, np.int64), np.empty(0, np.int64))
     seen = 0
     while seen < len(order):
         if len(best) >= k and best[k - 1] > bound[order[seen]]:
@@ -96,17 +99,11 @@ def _searcher(queries_b, k: int):
         import numpy as np
         import pyarrow as pa
         q_ids, q, q_squares, q_dists = queries_b.value
-        kept: list = []  # per query the best of this task so far
+        kept: list = [None] * len(q_ids)  # per query the best of this task so far
 
         def block(ids, x, squares, dist):
             for i in range(len(q_ids)):
-                a, s, _ = best_of_block(q_ids[i], q[i], q_squares[i], q_dists[i], ids, x, squares, dist, k)
-                if len(kept) <= i:
-                    kept.append((a, s))
-                    continue
-                a, s = np.concatenate([kept[i][0], a]), np.concatenate([kept[i][1], s])
-                top = np.lexsort((a, -s))[:k]
-                kept[i] = (a[top], s[top])
+                kept[i] = best_of_block(q_ids[i], q[i], q_squares[i], q_dists[i], ids, x, squares, dist, k, kept[i])[:2]
         parts: list = []
 
         def flush():
@@ -124,8 +121,8 @@ def _searcher(queries_b, k: int):
             if sum(len(p[0]) for p in parts) >= 8192:
                 flush()
         flush()
-        for i, (a, s) in enumerate(kept):
-            yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.full(len(a), q_ids[i]), pa.int64()),
+        for i, (a, s) in ((i, best) for i, best in enumerate(kept) if best):
+            yield pa.RecordBatch.from_pydict({"query": pa.array(np.full(len(a), i), pa.int64()), "query_id": pa.array(np.full(len(a), q_ids[i]), pa.int64()),
                                               "vec_id": pa.array(a, pa.int64()), "score": pa.array(s, pa.int64())})
     return run
 
@@ -135,12 +132,16 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, query_block: int = QUERY_BL
     ``is_query`` (a condition on vec_id) selects; the query's id is no candidate."""
     import numpy as np
     spark = vectors.sparkSession
-    schema = "query_id long, vec_id long, score long"
+    schema = "query long, query_id long, vec_id long, score long"
     rows = usable(vectors)
     lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     if not lengths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    table = pivot_table(rows.where(F.size("v") == lengths[0].n))
+    rows = rows.where(F.size("v") == lengths[0].n)
+    largest = rows.agg(F.max(F.greatest(F.array_max("v"), -F.array_min("v")))).first()[0]
+    if 4 * lengths[0].n * largest * largest >= 1 << 63:  # the squared distance of two rows, at most
+        raise ArithmeticError(f"components of up to {largest} after scaling leave the exact 64-bit range of scores")
+    table = pivot_table(rows)
     queries = table.where(is_query).dropDuplicates(["vec_id", "v"])
     n_blocks = max(1, -(-queries.count() // query_block))
     found = None
@@ -150,12 +151,12 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, query_block: int = QUERY_BL
             continue
         value = (np.array([r.vec_id for r in own], np.int64), np.array([r.v for r in own], np.int64),
                  np.array([r.square for r in own], np.int64), np.array([r.distances for r in own], np.float64))
-        part = table.mapInArrow(_searcher(spark.sparkContext.broadcast(value), k), schema)
+        part = table.mapInArrow(_searcher(spark.sparkContext.broadcast(value), k), schema).withColumn("block", F.lit(b))
         part = stored(part, "top-k") if n_blocks > 1 else part
         found = part if found is None else found.union(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    w = Window.partitionBy("block", "query").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
 

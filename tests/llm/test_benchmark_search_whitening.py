@@ -7,6 +7,8 @@ import re
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from loanlab.llm import bidiagonal, decontam, lexical, whiten
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -214,3 +216,23 @@ def test_dqds_against_the_definition():
         a, b = rng.standard_normal(d), rng.standard_normal(max(d - 1, 0))
         want = np.linalg.svd(np.diag(a) + np.diag(b, 1), compute_uv=False) ** 2
         assert np.allclose(bidiagonal.squared_singular_values(a, b), want, rtol=1e-10, atol=1e-14 * want[0])
+
+
+# ------------------------------------------------------------------ exact top-k
+def test_top_k_refuses_overflow_and_tells_queries_apart(spark):
+    from loanlab.llm import pivots
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(9000)] + [(0, rng.standard_normal(8).tolist())]
+    rows += [rows[0]]  # a query twice, and another under its id
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = pivots.top_k(df, F.col("vec_id") % 3000 == 0, k=5).collect()
+    ids, x = np.array([r[0] for r in rows]), np.floor(1024 * np.array([r[1] for r in rows])).astype(np.int64)
+    want = []
+    for q in [0, 3000, 6000, 9000]:
+        scores = x @ x[q]
+        best = sorted((-s, i) for s, i in zip(scores.tolist(), ids.tolist(), strict=True) if i != ids[q])[:5]
+        want += [(int(ids[q]), r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    for far in (4e6, 1e30):
+        with pytest.raises(ArithmeticError):
+            pivots.top_k(spark.createDataFrame([(1, [far, far]), (100, [1.0, 0.0])], df.schema), F.col("vec_id") % 100 == 0)
