@@ -31,7 +31,8 @@ HEADLINE = [
     # evaluation on the given score
     "threshold_sweep", "roc_curve", "auc", "pr_curve",
     # models (encoding/split prepared once, timed as "prepare")
-    "random_forest", "adaboost", "discriminant_analysis", "ovr_logistic", "cross_val_predict",
+    "random_forest", "adaboost", "discriminant_analysis", "ovr_logistic", "ovr_linear_svm", "cross_val_predict",
+    "grid_search", "learning_curve", "oob_score",
 ]
 
 
