@@ -14,8 +14,9 @@ temperature 1/(K-1).
 from __future__ import annotations
 
 import math
+import sys
 
-from pyspark import keyword_only
+from pyspark import cloudpickle, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasMaxIter, HasPredictionCol, HasSeed, Param, Params, TypeConverters
@@ -25,6 +26,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import forest as FO
 from ._persist import SavedState
 
+# task functions travel by value: executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class Stump(Model, HasFeaturesCol, HasPredictionCol):
     """Class shares on both sides of ``features[feature] <= threshold`` (feature -1: no split, the left side)."""

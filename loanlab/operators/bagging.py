@@ -7,19 +7,27 @@ shares of the trees whose sample does not hold it.
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import forest as FO
 
+# task functions travel by value: executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SEED = 345
 
 
 def poisson_weight(id_col: str, tree: int, seed: int = 0) -> Column:
     """Multiplicity of a row in the bootstrap sample of ``tree``."""
+    draw = FO.multiplicity
+
     @F.pandas_udf("double")
     def times(key):
         import pandas as pd
-        return pd.Series(FO.multiplicity(key.to_numpy(), tree, seed).astype("float64"))
+        return pd.Series(draw(key.to_numpy(), tree, seed).astype("float64"))
     return times(F.xxhash64(id_col))
 
 

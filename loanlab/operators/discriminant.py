@@ -19,8 +19,10 @@ prediction time.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
-from pyspark import keyword_only
+from pyspark import cloudpickle, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol, Param, Params, TypeConverters
@@ -30,6 +32,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ._persist import SavedState
 
+# task functions travel by value: executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class _LDAParams(HasFeaturesCol, HasLabelCol, HasPredictionCol):
     probabilityCol = Param(Params._dummy(), "probabilityCol", "class probabilities column",

@@ -23,14 +23,19 @@ to the tasks in blocks of at most ``NODES_SENT`` nodes.
 from __future__ import annotations
 
 import math
+import sys
 import uuid
 from dataclasses import dataclass, field
 
+from pyspark import cloudpickle
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import scratch_path
 
+# task functions travel by value: executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 LOCAL_ROWS = 50_000
 NODES_SENT = 2_000_000
 NODES_A_PASS = 20_000

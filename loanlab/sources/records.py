@@ -12,9 +12,14 @@ start, as in the reader of Spark itself.
 from __future__ import annotations
 
 import re
+import sys
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+# task functions travel by value: executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _CELL = re.compile(r'(?:"(?:[^"]|"")*"(?!")[^,]*|(?!")[^,]*)(,|$)')
 _CLOSE = re.compile(r'(?:[^"]|"")*"(?!")[^,]*(,|$)')
 
