@@ -14,6 +14,8 @@ from ..operators import (bagging as BG, evaluate as V, features as FE, forest as
                          validate as VA)
 from ..operators.adaboost import AdaBoost
 from ..operators.discriminant import DiscriminantAnalysis
+from ..operators.kernel import kernel_svm
+from ..operators.sgd import AveragedSGD
 from ..session import scratch_path
 from ..sources import model_io
 from ..sources.fixture import FIXTURE_FEATURES, FIXTURE_STATUSES, table
@@ -154,6 +156,28 @@ def q_ovr_logistic(spark, sf):
                                                           F.col("prediction").cast("int"))
 
 
+def _statuses(spark, sf, default_weight):
+    p = _prep(spark, sf)
+    tr, im = FE.make_multiclass(p.train)
+    tr = FE.class_weights(tr, "loan_status", {s: default_weight for s in FIXTURE_STATUSES.default})
+    m = AveragedSGD(labelCol="label_idx", weightCol="weight").fit(tr)
+    pred = FE.decode_labels(m.transform(p.test), im, "prediction", "pred_class")
+    pred = V.collapse_multiclass(pred, "pred_class", FIXTURE_STATUSES.default, "pred_default")
+    return pred.select("id", "loan_status", "pred_class", F.col("label").alias("true_default"), "pred_default")
+
+
+@query("sgd_statuses")
+def q_sgd_statuses(spark, sf):
+    """MOD-5 on all loan statuses, decoded and collapsed to default."""
+    return _statuses(spark, sf, 1.0)
+
+
+@query("sgd_statuses_weighted")
+def q_sgd_statuses_weighted(spark, sf):
+    """FEA-11 in a fit: the default statuses weigh 10."""
+    return _statuses(spark, sf, 10.0)
+
+
 @query("ovr_linear_svm")
 def q_ovr_linear_svm(spark, sf):
     e = S.train_test_split(_embeddings(spark, sf), 0.3, seed=123)
@@ -170,6 +194,12 @@ def q_linear_svm(spark, sf):
     return rnd(M.score(m, p.test))
 
 
+@query("kernel_svm")
+def q_kernel_svm(spark, sf):
+    p = _prep(spark, sf)
+    return rnd(M.score(kernel_svm().fit(p.train), p.test))
+
+
 @query("standard_scaler_population")
 def q_standard_scaler_population(spark, sf):
     """FEA-5 on vectors: Spark's scaler uses the sample std; multiplying by
