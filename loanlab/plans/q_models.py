@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import (bagging as BG, evaluate as V, features as FE, forest as FO, models as M, split as S,
                          validate as VA)
 from ..operators.adaboost import AdaBoost
+from ..operators.boost import NewtonBoost
 from ..operators.discriminant import DiscriminantAnalysis
 from ..operators.kernel import kernel_svm
 from ..operators.sgd import AveragedSGD
@@ -227,6 +228,13 @@ def q_gradient_boosted_trees(spark, sf):
     return rnd(M.score(m, p.test))
 
 
+@query("newton_boost")
+def q_newton_boost(spark, sf):
+    """MOD-8 with second-order leaves: depth 4, 100 rounds."""
+    p = _prep(spark, sf, "application")
+    return rnd(M.score(NewtonBoost().fit(p.train), p.test))
+
+
 @query("cross_val_predict")
 def q_cross_val_predict(spark, sf):
     p = _prep(spark, sf, "application")
