@@ -728,6 +728,31 @@ def q_kde_exact(spark, sf):
     return rnd(D.kde(loans(spark, sf), "dti", grid_points=100))
 
 
+def _kde_by(x: str) -> str:
+    return oracle(
+        "SELECT loan_status, CAST(i AS INTEGER) AS i, round(x, 6) AS x, round(CASE WHEN h > 0 THEN d END, 6) AS density FROM ("
+        "SELECT g.loan_status, g.i, g.x, g.h, sum(exp(-0.5 * ((g.x - v.x) / g.h) * ((g.x - v.x) / g.h))) / (g.n * g.h * sqrt(2 * pi())) AS d "
+        "FROM g JOIN v ON g.loan_status = v.loan_status GROUP BY g.loan_status, g.i, g.x, g.h, g.n)",
+        f", v AS (SELECT loan_status, CAST({x} AS DOUBLE) AS x FROM loans WHERE {x} IS NOT NULL), "
+        "st AS (SELECT loan_status, count(*) AS n, min(x) AS mn, max(x) AS mx, "
+        "stddev_samp(x) * pow(CAST(count(*) AS DOUBLE), -0.2) AS h FROM v GROUP BY 1), "
+        "g AS (SELECT loan_status, n, CASE WHEN mx > mn THEN h ELSE 0 END AS h, i, "
+        "CASE WHEN mx > mn THEN mn - 3 * h + i * ((mx - mn + 6 * h) / CAST(99 AS DOUBLE)) ELSE mn END AS x "
+        "FROM st, (SELECT unnest(generate_series(0, 99)) AS i) WHERE mx > mn OR i = 0)")
+
+
+@query("kde_by_status", _kde_by("dti"))
+def q_kde_by_status(spark, sf):
+    return rnd(D.kde_by(loans(spark, sf), "dti", ["loan_status"]))
+
+
+@query("kde_dates_by_status", _kde_by("date_diff('day', DATE '1970-01-01', strptime(last_pymnt_d, '%b-%Y')::DATE)"))
+def q_kde_dates_by_status(spark, sf):
+    """The density of a date column per status (days since 1970-01-01)."""
+    df = loans(spark, sf).withColumn("last_pymnt_d", X.parse_month("last_pymnt_d"))
+    return rnd(D.kde_by(df, "last_pymnt_d", ["loan_status"]))
+
+
 @query("box_stats_by_default", oracle(
     "SELECT w.is_default, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, "
     "round(min(loan_amnt) FILTER (WHERE loan_amnt >= wlo), 6) AS whisker_lo, "
