@@ -126,6 +126,25 @@ def test_folds_curve_and_blocks(data, monkeypatch):
     assert [r[:3] for r in again] == [r[:3] for r in got] and np.allclose([r[3:] for r in again], [r[3:] for r in got])
 
 
+def test_large_models_do_not_pass_through_the_driver(data, monkeypatch):
+    """Rows are led to the tasks that have the nodes: the same votes, and no node table on the driver."""
+    model = FO.grow(data, [FO.Fit(str(i), 5, F.col("fold") != i) for i in range(3)], min_split=10, local_rows=100)
+    own = {str(i): F.col("fold") == i for i in range(3)}
+    parts = [FO.Part(f"{i}{d}{t}", str(i), F.col("fold") == i, t, d, 15) for i in range(3) for d in (1, 3, 30) for t in (2, 5)]
+
+    def all_of_it():
+        yield FO.score(model, data, own, keep=("fold",))
+        yield FO.score(model, data, {"1": F.col("fold") != 1}, oob=True)
+        yield FO.score(model, data, {"2": F.lit(True)}, trees=3, max_depth=2)
+        yield FO.score(FO.Forest(FO.cut(model, 5, 4, 2, 20), model.bounds, 2, model.seed, {"cut": (5, 4)}), data.drop("label"))
+        yield FO.part_accuracy(model, data, parts)
+    plain = [sorted(map(repr, df.collect())) for df in all_of_it()]
+    for name, value in (("NODES_SENT", 0), ("LOCAL_ROWS", 60), ("CHUNK_BITS", 5)):  # groups dealt to several, many chunks
+        monkeypatch.setattr(FO, name, value)
+    monkeypatch.setattr(FO, "_packed_trees", None)
+    assert [sorted(map(repr, df.collect())) for df in all_of_it()] == plain
+
+
 def test_classes_weights_importance_and_odd_rows(spark, data):
     names = [f"f{i}" for i in range(6)]
     three = data.withColumn("label", F.when(F.col("id") % 7 == 0, 2.0).otherwise(F.col("label")))
