@@ -12,9 +12,12 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.feature import StandardScaler, VectorSlicer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, functions as F
 
+from . import forest as FO
+
 
 def random_forest(num_trees: int = 50, max_depth: int = 12, min_instances: int = 1,
                   max_bins: int = 64, seed: int = 345, label: str = "label",
@@ -34,6 +37,45 @@ def random_forest(num_trees: int = 50, max_depth: int = 12, min_instances: int =
     return rf
 
 
+class DeepForest:
+    """MOD-1/MOD-2 without a practical depth limit: sqrt features per split, bootstrap, Gini, all
+    trees grown jointly (``forest``). Spark's own forest keeps its nodes on the driver and passes
+    over all rows for each group of them, which deep trees on many rows do not allow."""
+
+    def __init__(self, num_trees: int, max_depth: int, min_split: int, max_bins: int, seed: int, label: str, features: str,
+                 weight: str | None):
+        self.trees, self.options = num_trees, (max_depth, min_split, max_bins, seed)
+        self.label, self.features, self.weight = label, features, weight
+
+    def fit(self, df: DataFrame) -> DeepForestModel:
+        classes = max(2, int(df.agg(F.max(self.label)).first()[0]) + 1)
+        forest = FO.grow(df, [FO.Fit("all", self.trees)], classes, *self.options, label=self.label, features=self.features,
+                         weight=self.weight)
+        p = len(forest.bounds)
+        by = {int(r.feature): r.importance for r in FO.importance(forest, [str(i) for i in range(p)]).collect()}  # p values
+        return DeepForestModel(forest, Vectors.dense([by[i] for i in range(p)]), self.label, self.features)
+
+
+class DeepForestModel:
+    """``transform`` keeps the id, the label and other plain columns and adds probability and prediction."""
+
+    def __init__(self, forest: FO.Forest, importances, label: str, features: str):
+        self.forest, self.featureImportances, self.label, self.features = forest, importances, label, features
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        keep = [f.name for f in df.schema if not isinstance(f.dataType, VectorUDT) and f.name not in ("id", self.label)]
+        out = FO.score(self.forest, df.drop(*{"probability", "prediction"} & set(df.columns)), label=self.label,
+                       features=self.features, keep=[c for c in keep if c not in ("probability", "prediction")])
+        return out.drop("score", "used").withColumns({
+            "probability": array_to_vector("probability"), "prediction": F.col("prediction").cast("double")})
+
+
+def deep_forest(num_trees: int = 50, max_depth: int = 30, min_split: int = 2, max_bins: int = 64, seed: int = 345,
+                label: str = "label", features: str = "features", weight: str | None = None) -> DeepForest:
+    """MOD-1/MOD-2 for trees of any depth up to 30; ids must be distinct."""
+    return DeepForest(num_trees, max_depth, min_split, max_bins, seed, label, features, weight)
+
+
 def gradient_boosted_trees(max_depth: int = 4, max_iter: int = 100, step: float = 0.1,
                            seed: int = 0, label: str = "label", features: str = "features",
                            max_bins: int = 64) -> GBTClassifier:

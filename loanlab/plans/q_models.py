@@ -55,7 +55,7 @@ def q_random_forest(spark, sf):
 @query("predict_proba")
 def q_predict_proba(spark, sf):
     p = _prep(spark, sf)
-    m = M.random_forest(TREES, max_depth=DEPTH).fit(p.train)
+    m = M.deep_forest(TREES, max_depth=DEPTH).fit(p.train)
     out = m.transform(p.test)
     arr = vector_to_array("probability")
     return rnd(out.select("id", arr[0].alias("p0"), arr[1].alias("p1"), F.col("prediction").cast("int")))
@@ -64,32 +64,32 @@ def q_predict_proba(spark, sf):
 @query("feature_importance")
 def q_feature_importance(spark, sf):
     p = _prep(spark, sf)
-    m = M.random_forest(TREES, max_depth=DEPTH).fit(p.train)
+    m = M.deep_forest(TREES, max_depth=DEPTH).fit(p.train)
     return rnd(M.feature_importance(m, p.names))
 
 
 @query("top_k_importance")
 def q_top_k_importance(spark, sf):
     p = _prep(spark, sf)
-    m = M.random_forest(TREES, max_depth=DEPTH).fit(p.train)
+    m = M.deep_forest(TREES, max_depth=DEPTH).fit(p.train)
     return rnd(M.top_k_importance(M.feature_importance(m, p.names), 10))
 
 
 @query("select_top_importance")
 def q_select_top_importance(spark, sf):
     p = _prep(spark, sf)
-    m = M.random_forest(TREES, max_depth=DEPTH).fit(p.train)
+    m = M.deep_forest(TREES, max_depth=DEPTH).fit(p.train)
     idx = M.top_indices(M.feature_importance(m, p.names), p.names, 20)
     tr = M.slice_features(p.train, idx)
     te = M.slice_features(p.test, idx)
-    m2 = M.random_forest(TREES, max_depth=DEPTH, features="features_k").fit(tr)
+    m2 = M.deep_forest(TREES, max_depth=DEPTH, features="features_k").fit(tr)
     return rnd(M.score(m2, te))
 
 
 @query("select_ranked_features")
 def q_select_ranked_features(spark, sf):
     p = _prep(spark, sf)
-    m = M.random_forest(TREES, max_depth=DEPTH).fit(p.train)  # ranked by importance, over unchanged features
+    m = M.deep_forest(TREES, max_depth=DEPTH).fit(p.train)  # ranked by importance, over unchanged features
     idx = sorted(M.top_indices(M.feature_importance(m, p.names), p.names, 5))
     out = M.slice_features(p.test, idx)
     slot = F.array(*[F.lit(p.names[i]) for i in idx])

@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from loanlab.operators import bagging as BG, forest as FO, validate as VA
+from loanlab.operators import bagging as BG, forest as FO, models as M, validate as VA
 
 
 @pytest.fixture(scope="module")
@@ -145,6 +145,22 @@ def test_large_models_do_not_pass_through_the_driver(data, monkeypatch):
     assert [sorted(map(repr, df.collect())) for df in all_of_it()] == plain
 
 
+def test_deep_forest_stands_in_for_the_learner(data):
+    """Fitted without Spark's forest: probabilities, predictions and importances of the joint growth."""
+    model = M.deep_forest(10).fit(data)
+    forest = FO.grow(data, [FO.Fit("all", 10)])
+    want = {r.id: (r.prediction, r.score) for r in FO.score(forest, data).collect()}
+    assert {r.id: (r.prediction, r.score) for r in M.score(model, data).collect()} == want
+    out = model.transform(data).first()
+    assert sum(out.probability.toArray()) == pytest.approx(1) and {"id", "label", "fold"} <= set(out.asDict())
+    names = [f"f{i}" for i in range(6)]
+    top = M.top_k_importance(M.feature_importance(model, names), 3).collect()
+    assert top[0].feature == "f0" and sum(model.featureImportances.toArray()) == pytest.approx(1)
+    sliced = M.slice_features(data, M.top_indices(M.feature_importance(model, names), names, 3))
+    again = M.deep_forest(10, features="features_k").fit(sliced)
+    assert M.score(again, sliced).where("label = prediction").count() > 800
+
+
 def test_classes_weights_importance_and_odd_rows(spark, data):
     names = [f"f{i}" for i in range(6)]
     three = data.withColumn("label", F.when(F.col("id") % 7 == 0, 2.0).otherwise(F.col("label")))
