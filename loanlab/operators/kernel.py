@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 # task functions travel by value: executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+PART_BYTES = 64 << 20
+
 
 def directions(p: int, components: int, gamma: float, seed: int):
     """(p x components directions, offsets) of the seed; gamma 0 means 1 / p."""
@@ -78,10 +80,25 @@ def _typed(run):
     return f
 
 
+def dealt(df: DataFrame, components: int) -> DataFrame:
+    """The rows in so many partitions that the features made from one come to ``PART_BYTES`` at most."""
+    parts = math.ceil(df.count() * components * 8.0 / PART_BYTES)
+    return df.repartition(parts) if parts > df.rdd.getNumPartitions() else df
+
+
+class _KernelPipeline(Pipeline):
+    """Deals the rows before the fit: the learner holds and reads again the wide features by partition,
+    which are far larger than the rows they are made from."""
+
+    def _fit(self, dataset: DataFrame):
+        wide = [s for s in self.getStages() if isinstance(s, FourierFeatures)]
+        return super()._fit(dealt(dataset, wide[0].getOrDefault(wide[0].components)) if wide else dataset)
+
+
 def kernel_svm(components: int = 256, gamma: float = 0.0, reg: float = 1e-4, max_iter: int = 50, seed: int = 0,
                label: str = "label", features: str = "features") -> Pipeline:
     """MOD-7: large-margin classifier with a Gaussian kernel; decision score = rawPrediction[1]."""
-    return Pipeline(stages=[
+    return _KernelPipeline(stages=[
         StandardScaler(inputCol=features, outputCol="_scaled", withMean=True, withStd=True),
         FourierFeatures(inputCol="_scaled", outputCol="_fourier", components=components, gamma=gamma, seed=seed),
         LinearSVC(regParam=reg, maxIter=max_iter, featuresCol="_fourier", labelCol=label)])

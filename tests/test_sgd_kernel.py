@@ -141,3 +141,20 @@ def test_fourier_features_come_near_the_kernel(spark, tmp_path):
     z = np.array([r.fourier.toArray() for r in rows[0][:-1]])
     exact = np.exp(-0.2 * ((x[:, None] - x[None]) ** 2).sum(-1))
     assert np.abs(z @ z.T - exact).max() < 0.05
+
+
+def test_kernel_learner_reads_bounded_partitions(spark, monkeypatch):
+    """The wide features of a partition stay below a bound, whatever the rows' own partitions hold."""
+    from loanlab.operators import kernel as K
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 3))
+    df = spark.createDataFrame([(i, x[i].tolist(), float((x[i] ** 2).sum() > 2.4)) for i in range(600)],
+                               "id long, x array<double>, label double")
+    df = df.select("id", array_to_vector("x").alias("features"), "label").coalesce(1)
+    seen, fit = [], K.LinearSVC._fit
+    monkeypatch.setattr(K.LinearSVC, "_fit", lambda self, d: seen.append(d.rdd.getNumPartitions()) or fit(self, d))
+    plain = K.kernel_svm(components=32).fit(df).transform(df).orderBy("id").collect()
+    monkeypatch.setattr(K, "PART_BYTES", 32 * 8 * 100)
+    spread = K.kernel_svm(components=32).fit(df).transform(df).orderBy("id").collect()
+    assert seen == [1, 6]
+    assert np.mean([a.prediction == b.prediction for a, b in zip(plain, spread, strict=True)]) > 0.99
