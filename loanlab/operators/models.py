@@ -18,16 +18,22 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import forest as FO
 
+SPARK_DEPTH = 20
+
 
 def random_forest(num_trees: int = 50, max_depth: int = 12, min_instances: int = 1,
                   max_bins: int = 64, seed: int = 345, label: str = "label",
-                  features: str = "features", weight: str | None = None) -> RandomForestClassifier:
+                  features: str = "features", weight: str | None = None) -> RandomForestClassifier | DeepForest:
     """MOD-1/MOD-2: random forest, sqrt features per split, bootstrap.
 
     Node ids are cached between passes (checkpointed every 10 levels into
     the shared checkpoint folder) and up to 1 GB of split statistics are
     gathered per pass: fewer passes over the training data for deep trees.
+    Trees deeper than ``SPARK_DEPTH`` are grown by ``deep_forest``, which needs
+    an id column and is no pipeline stage.
     """
+    if max_depth > SPARK_DEPTH and min_instances == 1:
+        return deep_forest(num_trees, max_depth, 2, max_bins, seed, label, features, weight)
     rf = RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, minInstancesPerNode=min_instances,
                                 maxBins=max_bins, featureSubsetStrategy="sqrt", seed=seed,
                                 labelCol=label, featuresCol=features, bootstrap=True,

@@ -147,7 +147,7 @@ def test_large_models_do_not_pass_through_the_driver(data, monkeypatch):
 
 def test_deep_forest_stands_in_for_the_learner(data):
     """Fitted without Spark's forest: probabilities, predictions and importances of the joint growth."""
-    model = M.deep_forest(10).fit(data)
+    model = M.random_forest(10, max_depth=30).fit(data)
     forest = FO.grow(data, [FO.Fit("all", 10)])
     want = {r.id: (r.prediction, r.score) for r in FO.score(forest, data).collect()}
     assert {r.id: (r.prediction, r.score) for r in M.score(model, data).collect()} == want
