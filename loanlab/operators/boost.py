@@ -12,8 +12,10 @@ sides.
 
 A row's margin is the sum of its leaves so far. Tasks walk the trees since the
 margins were last written (every ``checkpointInterval`` rounds, to the shared
-folder), so a pass does not grow with the rounds. The model is a list of small
-trees, scored by one column expression.
+folder), so a pass does not grow with the rounds. Rows are kept in blocks of byte
+columns (``forest.blocks``): a walk combines masks of whole columns, and an
+indicator feature costs only the rows that have it. The model is a list of small
+trees, walked by Arrow batches.
 
 NULL labels, NULL features and NULL or negative weights are refused, as is an
 empty table; NaN goes right at every split. With one class the model is
@@ -22,22 +24,25 @@ the margin of its share, held off infinity by half a row.
 
 from __future__ import annotations
 
-import json
 import math
 import sys
 import uuid
 
+import pyarrow as pa
 from pyspark import cloudpickle, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.param.shared import (HasFeaturesCol, HasLabelCol, HasMaxIter, HasPredictionCol, HasProbabilityCol,
                                      HasRawPredictionCol, Param, Params, TypeConverters)
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.functions import arrow_udf
 
 from ..session import scratch_path
 from . import forest as FO
+from .forest import chunks_of, matrix
 from ._persist import SavedState
 
 # task functions travel by value: executors need no copy of this package
@@ -62,73 +67,79 @@ class _BoostParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasProbability
                          minHessian=1.0, maxBins=64, checkpointInterval=10, weightCol="")
 
 
-def _leaf_of(tree: dict, bins):
-    """Node of every row: ``tree`` maps an inner node to (feature, bin)."""
+def _nodes_of(tree: dict, bins):
+    """Node of every row of ``bins`` (features x rows): ``tree`` maps an inner node to (feature, bin).
+    Masks of bytes are combined, which costs a fraction of a nanosecond a row and node."""
     import numpy as np
-    at, open_ = np.zeros(len(bins), np.int64), [0] if 0 in tree else []
-    while open_:
-        below = []
-        for node in open_:
-            feature, cut = tree[node]
-            here = at == node
-            at[here] = 2 * node + 1 + (bins[here, feature] > cut)
-            below += [c for c in (2 * node + 1, 2 * node + 2) if c in tree]
-        open_ = below
+    at = np.zeros(bins.shape[1], np.uint8 if max(tree, default=0) < 127 else np.int64)
+    reach = {0: np.ones(bins.shape[1], bool)}
+    for node in sorted(tree):
+        feature, cut = tree[node]
+        here, right = reach.pop(node), bins[feature] > cut
+        reach[2 * node + 1], reach[2 * node + 2] = here & ~right, here & right
+    for node, mask in reach.items():
+        if node:
+            at += mask.astype(at.dtype) * at.dtype.type(node)
     return at
 
 
-def _margins(batch, bins, done: list):
-    """Margins of a batch: those written plus the leaves of the trees since."""
+def _margins(written, bins, done: list):
+    """Margins of the rows: those written plus the leaves of the trees since."""
     import numpy as np
-    m = batch.column("margin").to_numpy().copy()
+    m = written.copy()
     for tree, leaves in done:
-        at = _leaf_of(tree, bins)
-        for node in np.unique(at).tolist():
-            m[at == node] += leaves[node]
+        value = np.zeros(max(leaves) + 1)
+        for node, v in leaves.items():
+            value[node] = v
+        m += value[_nodes_of(tree, bins)]
     return m
 
 
-def _bins_of(batch):
-    import numpy as np
-    return np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-
-
-def _sums(done: list, tree: dict, opened: list, p: int, n_bins: int):
+def _sums(done: list, tree: dict, opened: list, hist: FO.Histogram, pull):
     """(node, sums): of the open nodes over a task's rows, gradients then Hessians by feature and bin."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        out: dict = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bins = _bins_of(batch)
-            prob = 1 / (1 + np.exp(-np.clip(_margins(batch, bins, done), -700, 700)))
-            w, y = batch.column("w").to_numpy(), batch.column("y").to_numpy()
-            at = _leaf_of(tree, bins)
-            for node in opened:
-                own = np.flatnonzero(at == node)
-                if not len(own):
-                    continue
-                place = (np.arange(p) * n_bins + bins[own]).ravel()
-                sums = out.setdefault(node, np.zeros((2, p * n_bins)))
-                for i, v in enumerate(((prob - y) * w, prob * (1 - prob) * w)):
-                    sums[i] += np.bincount(place, np.repeat(v[own], p), p * n_bins)
-        if out:
-            yield pa.RecordBatch.from_pydict({"node": pa.array(list(out), pa.int64()), "sums": pa.array(
-                [v.ravel() for v in out.values()], pa.list_(pa.float64()))})
+        out = 0
+        slots = np.full(2 * max(opened) + 3 if not tree else 2 * max(max(tree), max(opened)) + 3, len(opened), np.int64)
+        slots[opened] = np.arange(len(opened))
+        for _, _, cols, bins in chunks_of(batches, hist.p, ("margin",)):
+            at = slots[_nodes_of(tree, bins)]
+            out = out + hist.add(at, len(opened), bins, pull(_margins(cols["margin"], bins, done), cols["y"], cols["w"]))
+        if not np.isscalar(out):
+            yield pa.RecordBatch.from_pydict({"node": pa.array(opened, pa.int64()), "sums": pa.array(
+                [v.ravel() for v in out], pa.list_(pa.float64()))})
     return run
 
 
-def _moved(done: list):
+def _logistic(m, y, w):
+    """Gradients and Hessians of the logistic loss."""
+    import numpy as np
+    prob = 1 / (1 + np.exp(-np.clip(m, -700, 700)))
+    return [(prob - y) * w, prob * (1 - prob) * w]
+
+
+def _labels(m, y, w):
+    """What a first tree is fitted to: labels of -1 and 1."""
+    return [(1.0 - 2.0 * y) * w, w]
+
+
+def _residuals(m, y, w):
+    """Negative residuals of the loss 2 log(1 + exp(-2 s m)), s a label of -1 or 1, and the rows' weights."""
+    import numpy as np
+    s = 2.0 * y - 1.0
+    return [-4.0 * s / (1.0 + np.exp(np.clip(2.0 * s * m, -700, 700))) * w, w]
+
+
+def _moved(done: list, p: int):
     """The row table with its margins brought up to date."""
     def run(batches):
+        import numpy as np
         import pyarrow as pa
-        for batch in batches:
-            if batch.num_rows:
-                m = _margins(batch, _bins_of(batch), done)
-                yield pa.RecordBatch.from_pydict({"y": batch.column("y"), "w": batch.column("w"),
-                                                  "bins": batch.column("bins"), "margin": pa.array(m)})
+        for part, n, cols, bins in chunks_of(batches, p, ("margin",)):
+            m, ends = _margins(cols["margin"], bins, done), np.cumsum([0, *n])
+            yield pa.RecordBatch.from_pydict({**{c: part.column(c) for c in ("n", "y", "w", "bins")}, "margin": pa.array(
+                [m[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)], pa.binary())}).select(part.schema.names)
     return run
 
 
@@ -175,84 +186,138 @@ class NewtonBoost(Estimator, _BoostParams, DefaultParamsReadable, DefaultParamsW
         if not seen["n"]:
             raise ValueError("no row to fit")
         bounds = FO.feature_bounds(data, max_bins=get(self.maxBins), middle=True)
-        p, n_bins = len(bounds), max(map(len, bounds), default=0) + 1
-        start = math.log((seen["pos"] + 0.5) / (seen["n"] - seen["pos"] + 0.5))
+        hist = FO.Histogram(bounds, max(map(len, bounds), default=0) + 1)
+        start = self._start(seen["n"], seen["pos"])
         rows = FO.binned(data, bounds, weight="w").select("y", "w", "bins").withColumn("margin", F.lit(start))
-        rows = FO._stored(rows, "boost")
+        rows = FO._stored(FO.blocks(FO._spread(rows), len(bounds), ("margin",)), "boost")
         trees, since = [], []
-        for _ in range(get(self.maxIter)):
-            if len(since) == get(self.checkpointInterval):
-                path = scratch_path(spark, f"boost-{uuid.uuid4().hex}")
-                rows.mapInArrow(_moved(since), rows.schema).write.parquet(path)
-                rows, since = spark.read.schema(rows.schema).parquet(path), []
-            tree, leaves = self._tree(rows, since, p, n_bins)
-            if not tree and abs(leaves.get(0, 0.0)) < 1e-12:
-                break  # nothing left to learn
-            since.append((tree, leaves))
-            trees.append([[n, f, bounds[f][b], 0.0] for n, (f, b) in tree.items()]
-                         + [[n, -1, 0.0, v] for n, v in leaves.items()])
-        return self._copyValues(NewtonBoostModel(start, trees))
-
-    def _tree(self, rows: DataFrame, since: list, p: int, n_bins: int):
-        """({inner node: (feature, bin)}, {leaf: value}) of the next round."""
+        with FO.small_batches(spark):
+            for _ in range(get(self.maxIter)):
+                if len(since) == get(self.checkpointInterval):
+                    path = scratch_path(spark, f"boost-{uuid.uuid4().hex}")
+                    rows.mapInArrow(_moved(since, len(bounds)), rows.schema).write.parquet(path)
+                    rows, since = spark.read.schema(rows.schema).parquet(path), []
+                tree, leaves, gains = self._tree(rows, since, hist, not trees)
+                if not tree and abs(leaves.get(0, 0.0)) < 1e-12:
+                    break  # nothing left to learn
+                since.append((tree, leaves))
+                trees.append([[n, f, bounds[f][b], gains[n]] for n, (f, b) in tree.items()]
+                             + [[n, -1, 0.0, v] for n, v in leaves.items()])
+        return self._copyValues(NewtonBoostModel(start, trees, self.slope, len(bounds)))
+
+    slope = 1.0  # of the margin in the log odds
+
+    def _start(self, n: float, pos: float) -> float:
+        return math.log((pos + 0.5) / (n - pos + 0.5))
+
+    def _round(self, first: bool):
+        """(gradients and Hessians, shrinkage) of a round."""
+        return _logistic, self.getOrDefault(self.stepSize)
+
+    def _tree(self, rows: DataFrame, since: list, hist: FO.Histogram, first: bool):
+        """({inner node: (feature, bin)}, {leaf: value}, {inner node: gain}) of the next round."""
         get = self.getOrDefault
         reg, least, gamma = get(self.regLambda), get(self.minHessian), get(self.gamma)
-        tree, leaves, opened = {}, {}, [0]
+        tree, leaves, gains, opened = {}, {}, {}, [0]
+        pull, step = self._round(first)
 
         def value(g, h):
-            return -get(self.stepSize) * g / (h + reg) if h + reg > 0 else 0.0
+            return -step * g / (h + reg) if h + reg > 0 else 0.0
         for depth in range(get(self.maxDepth)):
-            found = rows.mapInArrow(_sums(since, tree, opened, p, n_bins), "node long, sums array<double>")
+            found = rows.mapInArrow(_sums(since, tree, opened, hist, pull), "node long, sums array<double>")
             found = found.groupBy("node").agg(Summarizer.sum(array_to_vector("sums")).alias("sums"))
             below = []
             for r in sorted(found.collect(), key=lambda r: r["node"]):  # a row an open node: at most 2^depth of 2 x features x bins numbers
-                g, h, gain, f, b, gl, hl = _best(r["sums"].toArray().reshape(2, p, n_bins), reg, least)
+                g, h, gain, f, b, gl, hl = _best(r["sums"].toArray().reshape(2, hist.p, hist.n_bins), reg, least)
                 if gain is None or not gain > 2 * gamma + 1e-12:
                     leaves[r["node"]] = float(value(g, h))
                     continue
-                tree[r["node"]] = (f, b)
+                tree[r["node"]], gains[r["node"]] = (int(f), int(b)), gain
                 for child, a, c in ((2 * r["node"] + 1, gl, hl), (2 * r["node"] + 2, g - gl, h - hl)):
                     leaves[child] = float(value(a, c))
                     below.append(child)
             opened = below
             if not opened:
                 break
-        return tree, {n: v for n, v in leaves.items() if n not in tree}
+        return tree, {n: v for n, v in leaves.items() if n not in tree}, gains
+
+
+class FirstOrderBoost(NewtonBoost):
+    """Boosted regression trees of Friedman's logistic loss, as Spark's ``GBTClassifier``: the first
+    tree is fitted to labels of -1 and 1 and counts whole, each further one to the residuals, by
+    variance; a leaf is the mean of its rows."""
+
+    slope = 2.0
+
+    @keyword_only
+    def __init__(self, featuresCol="features", labelCol="label", predictionCol="prediction", probabilityCol="probability",
+                 rawPredictionCol="rawPrediction", maxIter=20, maxDepth=5, stepSize=0.1, regLambda=0.0, gamma=0.0,
+                 minHessian=1.0, maxBins=64, checkpointInterval=10, weightCol=""):
+        kwargs = self._input_kwargs
+        super().__init__(**{"maxIter": 20, "maxDepth": 5, "regLambda": 0.0, **kwargs})
+
+    def _start(self, n: float, pos: float) -> float:
+        return 0.0
+
+    def _round(self, first: bool):
+        return (_labels, 1.0) if first else (_residuals, self.getOrDefault(self.stepSize))
 
 
 class NewtonBoostModel(Model, _BoostParams, SavedState):
-    """``start`` margin and ``trees``: per tree [node, feature, threshold, value], leaves with feature -1."""
+    """``start`` margin and ``trees``: per tree [node, feature, threshold, value], leaves with feature -1;
+    the value of an inner node is its gain."""
 
-    def __init__(self, start=0.0, trees=None):
+    def __init__(self, start=0.0, trees=None, slope=1.0, features=0):
         super().__init__()
-        self.start, self.trees = start, trees or []
+        self.start, self.trees, self.slope, self.features = start, trees or [], slope, features
 
     def _state(self) -> dict:
-        return {"start": self.start, "trees": self.trees}
+        return {"start": self.start, "trees": self.trees, "slope": self.slope, "features": self.features}
+
+    @property
+    def featureImportances(self):
+        """Share of each feature in the gains of all splits."""
+        gains = [0.0] * self.features
+        for _, f, _, gain in (n for t in self.trees for n in t if n[1] >= 0):
+            gains[f] += gain
+        return Vectors.dense([g / (sum(gains) or 1.0) for g in gains])
 
     @classmethod
     def _from_state(cls, state: dict, path: str) -> NewtonBoostModel:
         return cls(**state)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        # one text literal that the optimiser folds: per tree its nodes in full binary order, leaves spread down
-        depth = max([(n + 1).bit_length() - 1 for t in self.trees for n, *_ in t], default=0)
-        table = F.from_json(F.lit(json.dumps([_complete(t, depth) for t in self.trees])),
-                            "array<struct<f: array<int>, t: array<double>, v: array<double>>>")
-
-        def leaf(x, t):
-            at = F.lit(0)
-            for _ in range(depth):
-                at = at * 2 + 1 + F.when(F.get(x, F.get(t["f"], at)) <= F.get(t["t"], at), 0).otherwise(1)
-            return F.get(t["v"], at - F.lit(2 ** depth - 1))
-        out = df.withColumn("_boost_x", vector_to_array(self.getFeaturesCol()))
-        out = out.withColumn("_boost_m", F.aggregate(table, F.lit(float(self.start)), lambda s, t: s + leaf(F.col("_boost_x"), t)))
+        # the margin in Arrow batches: in a column expression every node of a path would read the vector anew
+        margin = arrow_udf(_walked(self.start, self.trees), "double")
+        out = df.withColumn("_boost_m", margin(vector_to_array(self.getFeaturesCol())))
         m = F.col("_boost_m")
-        share = F.lit(1.0) / (F.lit(1.0) + F.exp(-m))
+        share = F.lit(1.0) / (F.lit(1.0) + F.exp(-m if self.slope == 1.0 else -m * F.lit(float(self.slope))))
         return out.withColumns({
             self.getRawPredictionCol(): array_to_vector(F.array(-m, m)),
             self.getProbabilityCol(): array_to_vector(F.array(F.lit(1.0) - share, share)),
-            self.getPredictionCol(): (m > 0).cast("double")}).drop("_boost_x", "_boost_m")
+            self.getPredictionCol(): (m > 0).cast("double")}).drop("_boost_m")
+
+
+def _walked(start: float, trees: list):
+    """Margins of the rows: the leaves of all trees, added in their order."""
+    depth = max([(n + 1).bit_length() - 1 for t in trees for n, *_ in t], default=0)
+    full = [_complete(t, depth) for t in trees]
+
+    def run(x: pa.Array) -> pa.Array:
+        import numpy as np
+        import pyarrow as pa
+        rows = matrix(x)
+        wide = 1 + max((max(t["f"], default=0) for t in full), default=0)
+        if rows.shape[1] < wide:
+            rows = np.hstack([rows, np.full((len(rows), wide - rows.shape[1]), np.nan)])
+        m, every = np.full(len(rows), float(start)), np.arange(len(rows))
+        for t in full:
+            f, cut, at = np.array(t["f"], np.int64), np.array(t["t"]), np.zeros(len(rows), np.int64)
+            for _ in range(depth):
+                at = 2 * at + 2 - (rows[every, f[at]] <= cut[at])
+            m += np.array(t["v"])[at - (2 ** depth - 1)]
+        return pa.array(m)
+    return run
 
 
 def _complete(tree: list, depth: int) -> dict:

@@ -162,7 +162,101 @@ def binned(df: DataFrame, bounds: list, label: str = "label", features: str = "f
     return rows.mapInArrow(run, schema + ", bins binary")
 
 
-# ---------------------------------------------------------------- task side
+BLOCK_BYTES = 1 << 18
+BATCH_BLOCKS = 32
+
+
+def blocks(rows: DataFrame, p: int, keep=()) -> DataFrame:
+    """The row table with some ``BLOCK_BYTES`` of rows of one task in a record: n, their y, w, columns of
+    ``keep`` (8 bytes a value) and ``bins``, feature by feature. A pass then moves and compares whole
+    columns of bytes instead of rows."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        size = max(64, BLOCK_BYTES // (p + 16))
+        for batch in _buffered(batches):
+            bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(batch.num_rows, p).T
+            cols = {c: batch.column(c).to_numpy() for c in ("y", "w", *keep)}
+            for at in range(0, batch.num_rows, size):
+                own = slice(at, min(at + size, batch.num_rows))
+                yield pa.RecordBatch.from_pydict({
+                    "n": pa.array([own.stop - at], pa.int64()), **{c: pa.array([v[own].tobytes()], pa.binary()) for c, v in cols.items()},
+                    "bins": pa.array([bins[:, own].tobytes()], pa.binary())})
+    return rows.select("y", "w", *keep, "bins").mapInArrow(run, "n long, " + "".join(f"{c} binary, " for c in ("y", "w", *keep)) + "bins binary")
+
+
+def chunks_of(batches, p: int, keep=()):
+    """Some ``BATCH_BLOCKS`` blocks at a time: (records, n, {column: values}, bins p x n)."""
+    import numpy as np
+    kinds = {"y": np.int32, "w": np.float64, **dict.fromkeys(keep, np.float64)}
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_BLOCKS):
+            part = batch.slice(at, BATCH_BLOCKS)
+            n = part.column("n").to_pylist()
+            cols = {c: np.frombuffer(b"".join(part.column(c).to_pylist()), kind) for c, kind in kinds.items()}
+            bins = np.concatenate([np.frombuffer(b, np.uint8).reshape(p, k) for b, k in zip(part.column("bins").to_pylist(), n, strict=True)],
+                                  axis=1)
+            yield part, n, cols, bins
+
+
+class small_batches:
+    """Few records a batch for Python while blocks are read."""
+
+    def __init__(self, spark):
+        self.conf, self.name = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def __enter__(self):
+        self.before = self.conf.get(self.name)
+        self.conf.set(self.name, str(2 * BATCH_BLOCKS))
+
+    def __exit__(self, *_):
+        self.conf.set(self.name, self.before)
+
+
+class Histogram:
+    """Sums of weights by (node, feature, bin). A feature of two bins is added up over its second bin
+    alone, the first being the rest of the node: indicators are mostly 0."""
+
+    def __init__(self, bounds: list, n_bins: int):
+        import numpy as np
+        two = np.array([len(b) == 1 for b in bounds], bool)
+        self.two, self.more = np.flatnonzero(two), np.flatnonzero(~two)
+        self.p, self.n_bins = len(bounds), n_bins
+
+    def add(self, slot, nodes: int, bins, values: list):
+        """nodes x len(values) x p x n_bins: ``slot`` is a row's node from 0; rows of slot ``nodes`` do not count."""
+        import numpy as np
+        out = np.zeros((nodes, len(values), self.p, self.n_bins))
+        base = slot * self.n_bins
+        for f in self.more:
+            at = base + bins[f]
+            for i, v in enumerate(values):
+                out[:, i, f] = np.bincount(at, v, (nodes + 1) * self.n_bins)[:nodes * self.n_bins].reshape(nodes, self.n_bins)
+        if len(self.two):
+            m = len(self.two)
+            kind, row = np.nonzero(bins[self.two].view(bool))
+            at = slot[row] * m + kind
+            for i, v in enumerate(values):
+                second = np.bincount(at, v[row], (nodes + 1) * m)[:nodes * m].reshape(nodes, m)
+                whole = np.bincount(slot, v, nodes + 1)[:nodes, None]
+                first = whole - second
+                first[np.abs(first) <= 1e-13 * np.abs(whole)] = 0.0  # what rounding leaves of an empty bin
+                out[:, i, self.two, 0], out[:, i, self.two, 1] = first, second
+        return out
+
+
+def matrix(x):
+    """Rows of an Arrow array of number lists as an n x p matrix; what is missing is NaN."""
+    import numpy as np
+    sizes = x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat, p = x.flatten().to_numpy(zero_copy_only=False), int(sizes.max(initial=0))
+    if (sizes == p).all():
+        return flat.reshape(len(x), p)
+    out = np.full((len(x), p), np.nan)
+    out[np.arange(p) < sizes[:, None]] = flat
+    return out
+
+
 def _rows_of(batch):
     """(bins n x p, key, y, w, fits n x k) of a batch of the row table."""
     import numpy as np

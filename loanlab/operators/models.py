@@ -9,14 +9,14 @@ second-order terms; the one-vs-rest linear models use L-BFGS/OWL-QN.
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, functions as F
 
 from . import forest as FO
+from .boost import FirstOrderBoost
 
 SPARK_DEPTH = 20
 
@@ -84,11 +84,11 @@ def deep_forest(num_trees: int = 50, max_depth: int = 30, min_split: int = 2, ma
 
 def gradient_boosted_trees(max_depth: int = 4, max_iter: int = 100, step: float = 0.1,
                            seed: int = 0, label: str = "label", features: str = "features",
-                           max_bins: int = 64) -> GBTClassifier:
-    """MOD-8: gradient-boosted trees (logistic loss)."""
-    return GBTClassifier(maxDepth=max_depth, maxIter=max_iter, stepSize=step, seed=seed,
-                         labelCol=label, featuresCol=features, maxBins=max_bins,
-                         checkpointInterval=10, maxMemoryInMB=1024)
+                           max_bins: int = 64) -> FirstOrderBoost:
+    """MOD-8: gradient-boosted trees (logistic loss, first-order leaves). Nothing is drawn, so
+    ``seed`` changes nothing, as in Spark's ``GBTClassifier`` without subsampling."""
+    return FirstOrderBoost(maxDepth=max_depth, maxIter=max_iter, stepSize=step, labelCol=label, featuresCol=features,
+                           maxBins=max_bins)
 
 
 def ovr_logistic(reg: float = 1e-4, max_iter: int = 100, label: str = "label",
