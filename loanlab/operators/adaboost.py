@@ -4,7 +4,7 @@ Features are binned once. All stumps of a round are one table of class weights
 by (feature, bin), a single weighted aggregation over the binned rows; the best
 Gini split and its weighted error are read off this table, so a round is one
 pass. A row's weight is never stored: it follows from the stumps so far, which
-go to the tasks as numbers. The model is one array expression.
+go to the tasks as numbers. The model scores Arrow batches, a comparison of a column a stump.
 
 Class probabilities follow the usual SAMME rule: the stumps' leaf class
 distributions averaged with the round weights, then a softmax with
@@ -16,14 +16,17 @@ from __future__ import annotations
 import math
 import sys
 
+import pyarrow as pa
 from pyspark import cloudpickle, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasMaxIter, HasPredictionCol, HasSeed, Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.functions import arrow_udf
 
 from . import forest as FO
+from .forest import chunks_of, matrix
 from ._persist import SavedState
 
 # task functions travel by value: executors need no copy of this package
@@ -82,11 +85,12 @@ class AdaBoost(Estimator, _AdaParams, DefaultParamsReadable, DefaultParamsWritab
                          F.col(label).cast("double").alias("label"))
         K = max(2, len(data.select("label").distinct().collect()))  # number of classes (bounded)
         bounds = FO.feature_bounds(data, max_bins=self.getOrDefault(self.maxBins), middle=True)
-        rows = FO._stored(FO.binned(data, bounds).select("y", "bins"), "ada")
+        rows = FO._stored(FO.blocks(FO._spread(FO.binned(data, bounds).select("y", "w", "bins")), len(bounds)), "ada")
         lr = self.getOrDefault(self.learningRate)
         stumps, alphas, past = [], [], []  # past: (feature, bin, left class, right class, weight, log of the weights' sum)
         for _ in range(self.getMaxIter()):
-            table = _class_weights(rows, past, len(bounds), max(map(len, bounds), default=0) + 1, K)
+            with FO.small_batches(df.sparkSession):
+                table = _class_weights(rows, past, FO.Histogram(bounds, max(map(len, bounds), default=0) + 1), K)
             feature, cut, left, right = _best_stump(table)
             total = float(left.sum() + right.sum())
             err = float(total - left.max() - right.max()) / total
@@ -110,27 +114,21 @@ class AdaBoost(Estimator, _AdaParams, DefaultParamsReadable, DefaultParamsWritab
         return self._copyValues(AdaBoostModel(stumps=stumps, alphas=alphas, num_classes=K))
 
 
-def _class_weights(rows: DataFrame, past: list, p: int, n_bins: int, k: int):
+def _class_weights(rows: DataFrame, past: list, hist: FO.Histogram, k: int):
     """Class weights (p x n_bins x k) of all rows by feature and bin, weights as the stumps so far make them."""
     import numpy as np
+    p, n_bins = hist.p, hist.n_bins
 
     def run(batches):
         import pyarrow as pa
         sums = np.zeros((k, p * n_bins))
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(n, p)
-            y, log_w = batch.column("y").to_numpy(), np.zeros(n)
+        for _, _, cols, bins in chunks_of(batches, p):
+            y, log_w = cols["y"], np.zeros(bins.shape[1])
             for feature, cut, left, right, alpha, norm in past:
-                said = np.where(bins[:, feature] <= cut, left, right) if feature >= 0 else np.full(n, left)
+                said = np.where(bins[feature] <= cut, left, right) if feature >= 0 else np.full(len(y), left)
                 log_w += alpha * (said != y)
                 log_w -= norm
-            w, place = np.exp(log_w), np.arange(p) * n_bins + bins
-            for c in range(k):
-                own = y == c
-                sums[c] += np.bincount(place[own].ravel(), np.repeat(w[own], p), p * n_bins)
+            sums += hist.add(y.astype(np.int64), k, bins, [np.exp(log_w)]).reshape(k, p * n_bins)
         at = np.flatnonzero(sums.sum(axis=0))
         yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int64()),
                                           **{f"c{c}": pa.array(sums[c][at]) for c in range(k)}})
@@ -178,31 +176,32 @@ class AdaBoostModel(Model, _AdaParams, SavedState):
     def _from_state(cls, state: dict, path: str) -> AdaBoostModel:
         return cls([Stump(*s) for s in state["stumps"]], state["alphas"], state["num_classes"])
 
-    def _summed(self, x: Column, left: list, right: list) -> Column:
-        """Sum over the stumps of the array that their side gives (``left`` or ``right``, a row a stump)."""
-        def row(values):
-            return F.array(*[F.lit(float(v)) for v in values])
-        table = F.array(*[F.struct(F.lit(max(s.feature, 0)).alias("f"), F.lit(float(s.threshold)).alias("t"),
-                                   F.lit(s.feature < 0).alias("o"), row(a).alias("l"), row(b).alias("r"))
-                          for s, a, b in zip(self.stumps, left, right, strict=True)])
-        return F.aggregate(table, row([0.0] * self.num_classes), lambda acc, s: F.zip_with(
-            acc, F.when(s["o"] | (F.get(x, s["f"]) <= s["t"]), s["l"]).otherwise(s["r"]), lambda a, b: a + b))
-
     def _transform(self, df: DataFrame) -> DataFrame:
-        K, total = self.num_classes, float(sum(self.alphas))
-
-        def vote(side, a):
-            return [a if k == side.index(max(side)) else 0.0 for k in range(K)]
-        pairs = list(zip(self.stumps, self.alphas, strict=True))
-        out = df.withColumn("_ada_x", vector_to_array(self.getFeaturesCol()))
-        x = F.col("_ada_x")
-        shares = self._summed(x, [[a * v for v in s.left] for s, a in pairs], [[a * v for v in s.right] for s, a in pairs])
-        # the label is the weighted vote of the stumps, ties to the smaller class
-        tally = self._summed(x, [vote(s.left, a) for s, a in pairs], [vote(s.right, a) for s, a in pairs])
-        out = out.withColumns({"_ada_d": F.transform(shares, lambda v: F.exp(v / F.lit(total) / F.lit(float(K - 1)))),
-                               "_ada_t": tally})
-        z = F.aggregate("_ada_d", F.lit(0.0), lambda s, v: s + v)
-        return out.withColumns({
-            "probability": array_to_vector(F.transform("_ada_d", lambda v: v / z)),
-            self.getPredictionCol(): (F.array_position("_ada_t", F.array_max("_ada_t")) - 1).cast("double")}).drop(
-            "_ada_x", "_ada_d", "_ada_t")
+        # probabilities and the prediction of a row in one array: the features reach the stumps once a row
+        stumps = [(s.feature, s.threshold, s.left, s.right) for s in self.stumps]
+        out = arrow_udf(_voted(stumps, self.alphas, self.num_classes), "array<double>")
+        K = self.num_classes
+        return df.withColumn("_ada", out(vector_to_array(self.getFeaturesCol()))).withColumns({
+            "probability": array_to_vector(F.slice("_ada", 1, K)), self.getPredictionCol(): F.get("_ada", F.lit(K))}).drop("_ada")
+
+
+def _voted(stumps: list, alphas: list, k: int):
+    """Probabilities, then the label, of every row. The label is the weighted vote of the stumps, ties to the smaller class."""
+    def run(x: pa.Array) -> pa.Array:
+        import numpy as np
+        import pyarrow as pa
+        rows = matrix(x)
+        shares, tally = np.zeros((k, len(rows))), np.zeros((k, len(rows)))
+        for (feature, threshold, *sides), a in zip(stumps, alphas, strict=True):
+            go = rows[:, feature] <= threshold if 0 <= feature < rows.shape[1] else np.full(len(rows), feature < 0)
+            best = [side.index(max(side)) for side in sides]
+            for c in range(k):
+                shares[c] += np.where(go, a * sides[0][c], a * sides[1][c])
+                tally[c] += np.where(go, *(a if c == b else 0.0 for b in best))
+        shares = np.exp(shares / float(sum(alphas)) / float(k - 1))
+        total = np.zeros(len(rows))
+        for c in range(k):
+            total += shares[c]
+        out = np.vstack([shares / total, tally.argmax(axis=0)[None]])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * (k + 1)), pa.array(out.T.ravel()))
+    return run

@@ -13,8 +13,8 @@ Fitting is two distributed passes and a small driver solve:
    collinear), linear discriminant coefficients, and the explained
    variance ratio of the discriminant directions.
 
-Scoring is a column expression (dot products, softmax), no Python at
-prediction time.
+Scoring takes Arrow batches (dot products, softmax); a column expression
+would read a row's vector again for each class and each use of its scores.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from __future__ import annotations
 import sys
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -29,7 +30,9 @@ from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCo
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.functions import arrow_udf
 
+from .forest import matrix
 from ._persist import SavedState
 
 # task functions travel by value: executors need no copy of this package
@@ -121,6 +124,24 @@ class DiscriminantAnalysis(Estimator, _LDAParams, DefaultParamsReadable, Default
         return self._copyValues(m)
 
 
+def _scored(coef: list, intercept: list, classes: list):
+    """Scores, probabilities, class of every row. Products are added feature by feature, so that a
+    row's numbers do not depend on its batch."""
+    def run(x: pa.Array) -> pa.Array:
+        import pyarrow as pa
+        rows, k = matrix(x), len(classes)
+        raw = np.zeros((k, len(rows)))
+        for j, w in enumerate(np.array(coef).T):
+            raw += w[:, None] * (rows[:, j] if j < rows.shape[1] else np.nan)
+        raw += np.array(intercept)[:, None]
+        prob, total = np.exp(raw - raw.max(axis=0)), np.zeros(len(rows))
+        for c in range(k):
+            total += prob[c]
+        out = np.vstack([raw, prob / total, np.array(classes)[raw.argmax(axis=0)][None]])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * (2 * k + 1)), pa.array(out.T.ravel()))
+    return run
+
+
 class DiscriminantAnalysisModel(Model, _LDAParams, SavedState):
     def __init__(self, classes=None, coef=None, intercept=None, explained_variance_ratio=None, means=None):
         super().__init__()
@@ -143,22 +164,13 @@ class DiscriminantAnalysisModel(Model, _LDAParams, SavedState):
         return w, self.intercept[1] - self.intercept[0]
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        x = vector_to_array(F.col(self.getFeaturesCol()))
-        scores = []
-        for w, b in zip(self.coef, self.intercept):
-            wl = F.array(*[F.lit(float(v)) for v in w])
-            dot = F.aggregate(F.zip_with(x, wl, lambda a, c: a * c), F.lit(0.0), lambda acc, v: acc + v)
-            scores.append(dot + F.lit(float(b)))
-        raw = F.array(*scores)
-        mx = F.array_max(raw)
-        ex = F.transform(raw, lambda v: F.exp(v - mx))
-        tot = F.aggregate(ex, F.lit(0.0), lambda acc, v: acc + v)
-        prob = F.transform(ex, lambda v: v / tot)
-        cls = F.array(*[F.lit(c) for c in self.classes])
-        pred = F.element_at(cls, F.array_position(raw, mx).cast("int"))
-        return (df.withColumn(self.getOrDefault(self.rawPredictionCol), array_to_vector(raw))
-                .withColumn(self.getOrDefault(self.probabilityCol), array_to_vector(prob))
-                .withColumn(self.getPredictionCol(), pred))
+        # scores, probabilities and the prediction of a row in one array: the features are read once a row
+        out = arrow_udf(_scored(self.coef, self.intercept, self.classes), "array<double>")
+        K = len(self.classes)
+        return df.withColumn("_lda", out(vector_to_array(F.col(self.getFeaturesCol())))).withColumns({
+            self.getOrDefault(self.rawPredictionCol): array_to_vector(F.slice("_lda", 1, K)),
+            self.getOrDefault(self.probabilityCol): array_to_vector(F.slice("_lda", K + 1, K)),
+            self.getPredictionCol(): F.get("_lda", F.lit(2 * K))}).drop("_lda")
 
     def coefficients_table(self, names: list) -> DataFrame:
         """SRT-6 input: (feature, coef) of the two-class discriminant."""
