@@ -14,8 +14,8 @@ The dictionary of encoded words that goes to the tasks is bounded: about the
 histogram of at most some hundred classes, and of the class at the edge a
 share by hash goes in), so about ``DICTIONARY_WORDS * 5 * MAX_WORD_BYTES``
 bytes at most, whatever the corpus holds. Any other word is merged in the task that meets it, by the
-same rule (``merge_bytes``, a heap over a linked list: n log n, so a word of a
-megabyte is no trouble). Nothing is dropped and no text is shuffled.
+same rule (``merge_bytes``; from ``SHORT`` bytes on a heap over a linked list: n log n, so a
+word of a megabyte is no trouble). Nothing is dropped and no text is shuffled.
 
 Defined results: null text = empty text = no ids; the digest of no ids is that
 of the empty string; a null doc_id stays null; repeated rows are encoded each;
@@ -39,6 +39,7 @@ MAX_WORD_BYTES = 32
 DICTIONARY_WORDS = 1 << 18
 BUCKETS = 1 << 14
 MEMO = 1 << 17
+SHORT = 48
 _NONE = 2 ** 31 - 1
 
 
@@ -142,14 +143,35 @@ def decode_ids(spark: SparkSession, ids: Column, ranks: dict) -> Column:
 
 
 # ----------------------------------------------------------------- task side
+def _merge_short(word: bytes, ranks: dict) -> list:
+    """Ids of a short word: the lowest of all pair ranks is looked for anew after each merge."""
+    get, piece = ranks.get, [word[i:i + 1] for i in range(len(word))]
+    rank = [get(word[i:i + 2], _NONE) for i in range(len(word) - 1)]
+    while rank:
+        best = min(rank)
+        if best == _NONE:
+            break
+        i = rank.index(best)  # the leftmost
+        piece[i:i + 2] = [piece[i] + piece[i + 1]]
+        del rank[i]
+        if i:
+            rank[i - 1] = get(piece[i - 1] + piece[i], _NONE)
+        if i < len(rank):
+            rank[i] = get(piece[i] + piece[i + 1], _NONE)
+    return [ranks[p] for p in piece]
+
+
 def merge_bytes(word: bytes, ranks: dict) -> list:
-    """Ids of one word: the same merges with a heap over a linked list."""
+    """Ids of one word: the same merges, by a scan of the pairs of a short word, else with a heap
+    over a linked list."""
     whole = ranks.get(word)
     if whole is not None:
         return [whole]
     n = len(word)
     if n == 0:
         return []
+    if n <= SHORT:
+        return _merge_short(word, ranks)
     piece = [word[i:i + 1] for i in range(n)]
     nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
     heap = []
@@ -269,6 +291,22 @@ class _Words:
         return self.np.frombuffer(b"".join(found), dtype=self.np.int32)
 
 
+class _Joined:
+    """``values`` (bytes) joined by their numbers, as one gather of bytes instead of an object a number."""
+
+    def __init__(self, values: list):
+        import numpy as np
+        self.np, self.flat = np, np.frombuffer(b"".join(values), np.uint8)
+        self.size = np.array([len(v) for v in values], np.int64)
+        self.first = self.size.cumsum() - self.size
+
+    def __call__(self, numbers):
+        size = self.size[numbers]
+        at = self.np.repeat(self.first[numbers] - (size.cumsum() - size), size)
+        at += self.np.arange(len(at))
+        return self.flat[at]
+
+
 def _encoder(pattern: str, ranks_b, dictionary_b, keep_ids: bool):
     def run(batches):
         import numpy as np
@@ -280,15 +318,14 @@ def _encoder(pattern: str, ranks_b, dictionary_b, keep_ids: bool):
         pieces = [b""] * (max(ranks.values(), default=-1) + 1)
         for piece, rank in ranks.items():
             pieces[rank] = piece
-        piece_of, shown_of = pieces.__getitem__, [str(i) for i in range(len(pieces))].__getitem__
+        decode, show = _Joined(pieces), _Joined([b"%d " % i for i in range(len(pieces))])
         for batch in batches:
             digests, decoded, ids = [], [], []
             for text in batch.column("text").to_pylist():
                 own = known.ids(find(text))
                 ids.append(own)
-                own = own.tolist()
-                digests.append(hashlib.sha256(" ".join(map(shown_of, own)).encode()).hexdigest())
-                decoded.append(hashlib.sha256(b"".join(map(piece_of, own))).hexdigest())
+                digests.append(hashlib.sha256(show(own)[:-1]).hexdigest())  # without the last blank
+                decoded.append(hashlib.sha256(decode(own)).hexdigest())
             sizes = np.array([len(x) for x in ids], np.int64)
             out = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(sizes),
                    "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}

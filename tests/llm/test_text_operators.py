@@ -281,3 +281,59 @@ def test_empty_tables(spark, odd):
 def test_pattern_is_read_as_the_library_does():
     text = "a  b 　c\n\n 1²x'll"
     assert "".join(regex.findall(public_tokenizers.PATTERN, text)) == text
+
+
+def test_short_words_merge_like_long_ones():
+    """op1: a scan of a short word's pairs gives the heap's ids."""
+    import random
+
+    import public_tokenizers
+
+    from loanlab.llm import bpe
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    draw = random.Random(4)
+    words = [bytes(draw.choices(b"etaoinshrdlu .9\xc3\xa9", k=draw.randint(2, 48))) for _ in range(2000)] + [b"a" * k for k in range(2, 49)]
+    words = [w for w in words if w not in ranks]
+    for w in words:
+        heap = _heap_ids(w, ranks)
+        assert bpe._merge_short(w, ranks) == heap == bpe.merge_bytes(w, ranks)
+    long = b"the quick brown fox" * 9
+    assert bpe.merge_bytes(long, ranks) == bpe._merge_short(long, ranks)
+
+
+def _heap_ids(word, ranks):
+    from loanlab.llm import bpe
+    before, bpe.SHORT = bpe.SHORT, 0
+    try:
+        return bpe.merge_bytes(word, ranks)
+    finally:
+        bpe.SHORT = before
+
+
+def test_joined_bytes():
+    """op1: ids are decoded and shown by one gather."""
+    import numpy as np
+
+    from loanlab.llm import bpe
+    values = [b"ab", b"", b"c", b"\xff\x00d"]
+    join = bpe._Joined(values)
+    for numbers in ([], [1], [0, 3, 1, 2, 2, 0], [3]):
+        assert join(np.array(numbers, np.int32)).tobytes() == b"".join(values[i] for i in numbers)
+    assert bpe._Joined([])(np.array([], np.int32)).tobytes() == b""
+
+
+def test_packing_by_whole_texts(spark):
+    """op10: long runs and odd characters, whole texts by the library, as word by word before."""
+    import public_tokenizers
+    import regex
+    import tiktoken
+
+    from loanlab.llm import bpe, packing
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    texts = ["a b  c\n\n d", " " * 30000 + "x", "y" * 3000, "\u00e9\u4e2d\U0001f600 it's 12\t3", "", None, "z \u00a0\u2003 \u0000q"]
+    got = {r.doc_id: r.ids for r in packing.unpack(packing.pack(spark.createDataFrame(
+        list(enumerate(texts)), "doc_id long, text string"), path, public_tokenizers.PATTERN, length=1 << 15)).collect()}
+    for i, text in enumerate(texts):
+        ids = [t for w in regex.findall(public_tokenizers.PATTERN, text or "") for t in enc.encode_ordinary(w)]
+        assert got.get(i, b"") == b"".join(t.to_bytes(2, "little") for t in ids)
