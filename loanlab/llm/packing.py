@@ -1,7 +1,7 @@
 """Token-ID output: best-fit-decreasing packing into rows of fixed length.
 
-Documents are tokenised (ids of a public rank file; each distinct word of a
-task once), split losslessly into pieces of at most ``length`` ids, and the
+Documents are tokenised (ids of a public rank file, whole texts by the public
+library: splitting, looking up and merging word by word costs more), split losslessly into pieces of at most ``length`` ids, and the
 pieces of a block are packed: longest first, each into the row with the least
 room that still holds it. The search for that room is a segment tree over
 capacities: a leaf counts the rows with that much room, a descent finds the
@@ -29,7 +29,6 @@ from .common import bounded_batches, whole_text
 LENGTH = 2048
 PAD = 50256  # free in the rank file
 BLOCK_PIECES = 8192
-MEMO_WORDS = 1 << 17
 
 
 class RoomTree:
@@ -86,25 +85,14 @@ def best_fit_decreasing(sizes: list, length: int) -> list:
 
 def _packer(ranks_path_b, pattern: str, length: int, pad: int):
     def run(batches):
+        from array import array
+
         import numpy as np
         import pyarrow as pa
-        import regex
         import tiktoken
-        ranks = ranks_path_b.value
-        enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        find = regex.compile(pattern).findall
-        memo: dict = {}
+        enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks_path_b.value, special_tokens={})
         pieces: list = []  # (doc_id, first, ids as bytes)
 
-        def ids_of(word):
-            ids = memo.get(word)
-            if ids is None:
-                ids = np.array(enc.encode_ordinary(word), np.uint16).tobytes()
-                if len(memo) >= MEMO_WORDS:
-                    memo.clear()
-                memo[word] = ids
-            return ids
-
         def packed():
             out = {k: [] for k in ("ids", "cu_seqlens", "position_resets", "doc_ids", "starts")}
             for row in best_fit_decreasing([len(p[2]) // 2 for p in pieces], length):
@@ -127,7 +115,7 @@ def _packer(ranks_path_b, pattern: str, length: int, pad: int):
                 "ids": pa.array(out["ids"], pa.binary())})
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = b"".join(map(ids_of, find(text)))
+                ids = array("H", enc.encode_ordinary(text)).tobytes()
                 for k in range(0, len(ids), 2 * length):
                     pieces.append((doc_id, k // 2, ids[k:k + 2 * length]))
                 if len(pieces) >= BLOCK_PIECES:
