@@ -60,6 +60,8 @@ def _date_sql(c: str, sentinel: float, pre_epoch: str) -> str:
     s = int(sentinel)
     if pre_epoch == "keep":
         return f"coalesce(CAST({ud} AS BIGINT) * 86400000000000L, {s}L)"
+    if -86_400_000_000_000 <= s <= 0:  # not above any day before 1970: one parse of the text instead of two
+        return f"greatest(coalesce(CAST({ud} AS BIGINT) * 86400000000000L, {s}L), {s}L)"
     return (f"coalesce(CASE WHEN {ud} < 0 THEN {s}L ELSE CAST({ud} AS BIGINT) * 86400000000000L END, {s}L)")
 
 

@@ -62,7 +62,8 @@ def prepare(loans: DataFrame, statuses, feature_catalog, application_only: bool
     train_raw = S.stratified_k_fold(df.filter(~F.col("is_test")), "label", folds, fold_seed)
     test_raw = df.filter(F.col("is_test")).withColumn("fold", F.lit(-1))
     pipe = FE.feature_pipeline(feat_cols, feature_catalog)
-    model = pipe.fit((train_raw if fit_on == "train" else df).select(*feat_cols))
+    # on the training rows before they are ranked into folds: each fit of a stage would rank them again
+    model = pipe.fit((df.filter(~F.col("is_test")) if fit_on == "train" else df).select(*feat_cols))
     names = FE.feature_names(model, feat_cols, feature_catalog)
     keep = ["id", "label", "fold"] + [c for c in extra_keep if c in keep_cols]
 
