@@ -63,3 +63,32 @@ def test_missing_features_go_right(spark, rows):
         "features", array_to_vector("x"))
     a, b = (r.p for r in model.transform(odd).orderBy("id").select(F.col("probability").alias("p")).collect())
     assert a == b
+
+
+def test_encoder_is_fitted_on_unranked_rows(spark, sf001, monkeypatch):
+    """The folds' ranks are no part of the encoder's input: each of its fits would rank the rows again."""
+    from loanlab.operators import features as FE
+    from loanlab.plans import q_models as Q
+    from loanlab.plans.registry import loans
+    from loanlab.plans.workflows import prepare
+    seen, real = [], FE.feature_pipeline
+
+    def spy(*a, **kw):
+        pipe = real(*a, **kw)
+        fit = pipe.fit
+        pipe.fit = lambda df: (seen.append((df._jdf.queryExecution().optimizedPlan().toString(), df.count())), fit(df))[1]
+        return pipe
+    monkeypatch.setattr(FE, "feature_pipeline", spy)
+    p = prepare(loans(spark, sf001), Q.FIXTURE_STATUSES, Q.FIXTURE_FEATURES)
+    (plan, n), = seen
+    assert "Window" not in plan and n == p.train.count()
+    p.unpersist()
+
+
+def test_months_by_one_parse(spark):
+    from loanlab.operators.features import _date_sql
+    df = spark.createDataFrame([("Jan-1970",), ("Dec-1969",), ("Feb-2015",), (None,), ("odd",), ("Jan-1900",)], "d string")
+    for s in (-99.0, 5.0):
+        got = [r.v for r in df.selectExpr(f"{_date_sql('d', s, 'sentinel')} AS v").collect()]
+        assert got == [0, int(s), 16467 * 86_400_000_000_000, int(s), int(s), int(s)]
+    assert _date_sql("d", -99.0, "sentinel").count("try_to_date") == 1
