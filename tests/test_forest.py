@@ -207,3 +207,60 @@ def test_stumps_are_those_of_whole_fits(spark):
     assert len(many.stumps) == 40 and np.mean([r.label == r.prediction for r in out]) > 0.88
     flat = df.withColumn("features", array_to_vector(F.array(F.lit(1.0), F.lit(2.0))))
     assert {r.prediction for r in AdaBoost(maxIter=3).fit(flat).transform(flat).collect()} == {float(y.mean() > 0.5)}
+
+
+def test_packed_rows_are_the_rows():
+    rng = np.random.default_rng(8)
+    for sizes in ([2, 64, 1, 2, 7], [2] * 17, [64] * 3, [1]):
+        pack = FO.Pack([list(range(s - 1)) for s in sizes])
+        bins = np.column_stack([rng.integers(0, s, 50) for s in sizes]).astype(np.uint8)
+        packed = pack.packed(bins)
+        assert packed.shape == (50, sum(s > 2 for s in sizes) + -(-sum(s <= 2 for s in sizes) // 8))
+        assert (pack.columns(packed) == bins.T).all()
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_best_splits_against_loops(whole):
+    """Cells one after the other, empty ones among them, against a loop over all splits."""
+    rng = np.random.default_rng(2)
+    sizes, k, m = np.array([2, 5, 64, 1, 2, 9]), 3, 3
+    feats = np.array([rng.permutation(6)[:m] for _ in range(40)])
+    first = FO._places(feats, sizes)
+    sums = rng.integers(0, 3, (k + 1, first[-1])) * (rng.random(first[-1]) < 0.3) * (1.0 if whole else 0.1)
+    for i in range(40):  # every node has a row
+        sums[0, first[i * m]] += 1.0
+    slot, cut, gain, left = FO.best_splits(sums, k, first, m, 64, FO.whole_numbers(sums))
+    assert FO.whole_numbers(sums) == whole
+    for i in range(40):
+        gains = {}
+        for j in range(m):
+            own = sums[:, first[i * m + j]:first[i * m + j + 1]]
+            for b in range(own.shape[1] - 1):
+                a, c = own[:k, :b + 1].sum(axis=1), own[:k, b + 1:].sum(axis=1)
+                if a.sum() > 0 and c.sum() > 0:
+                    gains[(j, b)] = ((a ** 2).sum() / a.sum() + (c ** 2).sum() / c.sum(), own[:, :b + 1].sum(axis=1))
+        if not gains:
+            assert slot[i] == -1
+            continue
+        assert gain[i] == pytest.approx(max(g for g, _ in gains.values())) == pytest.approx(gains[(slot[i], cut[i])][0])
+        assert left[:, i] == pytest.approx(gains[(slot[i], cut[i])][1])
+
+
+def test_trees_in_rounds_and_blocks_are_the_same(data, monkeypatch):
+    """A tree at a time between gathering and growing and between leading and voting; nodes of few rows apart or together."""
+    fits = [FO.Fit(str(i), 3, F.col("fold") != i) for i in range(3)]
+    own = {str(i): F.col("fold") == i for i in range(3)}
+    parts = [FO.Part(f"{i}", str(i), F.col("fold") == i) for i in range(3)]
+    model = FO.grow(data, fits, local_rows=200)
+    plain = _nodes(model), sorted(map(repr, FO.score(model, data, own).collect())), sorted(FO.part_accuracy(model, data, parts).collect())
+    for name, value in (("ROUND_BYTES", 1), ("OWN_ROWS", 20), ("LEVEL_ROWS", 50), ("CELLS", 100), ("CELLS_A_PASS", 300), ("BLOCK_NODES", 2),
+                        ("NODES_SENT", 0), ("SCORE_ROWS", 30), ("TASK_ROWS", 100)):
+        monkeypatch.setattr(FO, name, value)
+    again = FO.grow(data, fits, local_rows=200)
+    assert (_nodes(again), sorted(map(repr, FO.score(again, data, own).collect())),
+            sorted(FO.part_accuracy(again, data, parts).collect())) == plain
+    every = {(r.tree, r.node): r for r in again.nodes.collect()}
+    for (tree, node), r in every.items():
+        if r.feature >= 0:
+            below = [every[(tree, 2 * node + i)].counts for i in (1, 2)]
+            assert r.below == pytest.approx(sum(sum(c * c for c in cs) / sum(cs) for cs in below))
