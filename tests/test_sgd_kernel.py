@@ -158,3 +158,28 @@ def test_kernel_learner_reads_bounded_partitions(spark, monkeypatch):
     spread = K.kernel_svm(components=32).fit(df).transform(df).orderBy("id").collect()
     assert seen == [1, 6]
     assert np.mean([a.prediction == b.prediction for a, b in zip(plain, spread, strict=True)]) > 0.99
+
+
+def test_kernel_learner_minimises_sparks_objective_and_holds_no_features(spark, monkeypatch):
+    """As low a loss as Spark's learner on the same features, which are made in passes and kept nowhere."""
+    from loanlab.operators import kernel as K
+    x, y = circles(900, 3)
+    df = table(spark, x, y).repartition(3).persist()
+    monkeypatch.setattr(K, "BLOCK_ROWS", 100)
+    kept = []
+    monkeypatch.setattr(K, "scratch_path", lambda s, name, f=K.scratch_path: kept.append(f(s, name)) or kept[-1])
+    model = K.kernel_svm(components=64).fit(df)
+    assert len(kept) == 1 and len(spark.read.parquet(kept[0]).first().x) == 2 * 4 * spark.read.parquet(kept[0]).first().n
+    wide = model.transform(df).drop("prediction", "rawPrediction").persist()
+    plain = K.SparkLinearSVC(regParam=1e-4, maxIter=50, featuresCol="_fourier", labelCol="label").fit(wide)
+    z = np.array([r._fourier.toArray() for r in wide.orderBy("id").collect()])
+    sign = np.array([2 * r.label - 1 for r in wide.orderBy("id").collect()])
+
+    def loss(m):
+        c = m.coefficients.toArray()
+        return np.maximum(0, 1 - sign * (z @ c + m.intercept)).mean() + 0.5e-4 * ((c * z.std(axis=0, ddof=1)) ** 2).sum()
+    assert loss(model.stages[-1]) <= 1.03 * loss(plain)
+    same = [a.prediction == b.prediction for a, b in zip(model.transform(df).orderBy("id").collect(), plain.transform(wide).orderBy("id").collect())]
+    assert np.mean(same) > 0.98
+    with pytest.raises(Exception):
+        K.kernel_svm(components=8).fit(table(spark, x[:5], [0, 1, 2, 0, 1]))
