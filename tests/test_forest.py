@@ -246,6 +246,22 @@ def test_best_splits_against_loops(whole):
         assert left[:, i] == pytest.approx(gains[(slot[i], cut[i])][1])
 
 
+def test_best_binary_against_the_general_splits():
+    rng = np.random.default_rng(6)
+    sizes, n, nodes, m = np.array([2, 5, 64, 1, 2, 9]), 120, 60, 3
+    bins = np.array([rng.integers(0, s, n) for s in sizes]).astype(np.uint8)
+    size = np.bincount(np.append(rng.integers(0, nodes, n - nodes), np.arange(nodes)), minlength=nodes)
+    y, w, rows = rng.integers(0, 2, n), rng.integers(1, 5, n).astype(float), rng.permutation(n)
+    feats = np.array([rng.permutation(6)[:m] for _ in range(nodes)])
+    first = FO._places(feats, sizes)
+    want = FO.best_splits(FO._sums(bins.ravel(), n, rows, size, feats, first, [w[rows]], 2, y), 2, first, m, 64, True)
+    counts = np.bincount(np.repeat(np.arange(nodes) * 2, size) + y[rows], w[rows], 2 * nodes).reshape(-1, 2)
+    got = FO.best_binary(bins.ravel(), n, rows, size, feats, sizes, w[rows] * np.where(y[rows], FO.HALF, 1.0), counts)
+    some = want[0] >= 0
+    assert (got[0] == want[0]).all() and (got[1][some] == want[1][some]).all() and (got[2] == want[2]).all() and 0 < (~some).sum() < nodes
+    assert (FO._orders(3, np.arange(9), 1, 20, 4) == FO._orders(3, np.arange(9), 1, 20)[:, :4]).all()
+
+
 def test_trees_in_rounds_and_blocks_are_the_same(data, monkeypatch):
     """A tree at a time between gathering and growing and between leading and voting; nodes of few rows apart or together."""
     fits = [FO.Fit(str(i), 3, F.col("fold") != i) for i in range(3)]
@@ -253,7 +269,7 @@ def test_trees_in_rounds_and_blocks_are_the_same(data, monkeypatch):
     parts = [FO.Part(f"{i}", str(i), F.col("fold") == i) for i in range(3)]
     model = FO.grow(data, fits, local_rows=200)
     plain = _nodes(model), sorted(map(repr, FO.score(model, data, own).collect())), sorted(FO.part_accuracy(model, data, parts).collect())
-    for name, value in (("ROUND_BYTES", 1), ("OWN_ROWS", 20), ("LEVEL_ROWS", 50), ("CELLS", 100), ("CELLS_A_PASS", 300), ("BLOCK_NODES", 2),
+    for name, value in (("ROUND_BYTES", 1), ("ROUND_ROW", 0), ("OWN_ROWS", 20), ("LEVEL_ROWS", 50), ("CELLS", 100), ("CELLS_A_PASS", 300), ("BLOCK_NODES", 2),
                         ("NODES_SENT", 0), ("SCORE_ROWS", 30), ("TASK_ROWS", 100)):
         monkeypatch.setattr(FO, name, value)
     again = FO.grow(data, fits, local_rows=200)
